@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rotagraph.llm import urls
+from rotagraph.llm import rules, urls
 from rotagraph.session import table
 
 #: Fixed rules of the URL query: host, path, verdict.
@@ -28,8 +28,17 @@ SELECT s.page_id, s.host, s.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 """
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = rules.fit(docs, table(spark, sf_dir, "labels"))
+    return rules.judge_quality(docs, learned).select("doc_id", *rules.BASE, "base_failed", "kept")
+
+
 def queries() -> dict:
-    return {"op3_url_filters": op3_url_filters}
+    return {
+        "op3_url_filters": op3_url_filters,
+        "op6_quality_rules": op6_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
