@@ -23,7 +23,7 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 #: The list is fitted on at most so many labelled rows of each class.
 SAMPLE = 2000
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-FEATURES = ["n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "distinct_share", "capital_share", "mark_share"]
+FEATURES = ["n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "vocabulary_growth", "capital_share", "mark_share"]
 
 
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -62,9 +62,11 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     per = lambda a, b: (F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("double")
     shares = {
         "mean_word": ("word_chars", "n_words"), "symbol_share": ("n_symbols", "word_chars"), "dup_line_share": ("n_dup_lines", "_n_lines"), "repeat_share": ("n_repeat_words", "n_words"),
-        "distinct_share": ("_distinct", "n_words"), "capital_share": ("_capitals", "word_chars"), "mark_share": ("_marks", "n_words"),
+        "capital_share": ("_capitals", "word_chars"), "mark_share": ("_marks", "n_words"),
     }
     out = out.withColumns({k: per(*v) for k, v in shares.items()})
+    # the exponent with which the text's vocabulary grows: unlike a share of distinct words it hardly depends on length
+    out = out.withColumn("vocabulary_growth", F.ln(F.greatest("_distinct", F.lit(1))) / F.ln(F.greatest("n_words", F.lit(2))))
     return out.drop(*[c for c in out.columns if c.startswith("_") and c not in docs.columns])
 
 
@@ -125,10 +127,11 @@ def _grow(x: np.ndarray, bad: np.ndarray, longest: int) -> list:
     return rule
 
 
-def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0.95, least: int = 5, most_rules: int = 16, longest: int = 4) -> DecisionList:
+def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0.99, least: int = 5, most_rules: int = 16, longest: int = 4, clean_cost: float = 10.0) -> DecisionList:
     """Sequential covering over rows ``x`` (their order decides grow and prune thirds).
-    Rules must reach ``precision`` on the pruning third and on all remaining rows, and
-    cover ``least`` rows. Without rows of both classes the list is empty: all are kept."""
+    Pruning weighs a clean row lost as ``clean_cost`` bad rows caught. A rule must cover
+    ``least`` bad rows, reach ``precision`` on all rows left and be worth more than 0 on
+    the pruning third. Without rows of both classes the list is empty: all are kept."""
     out = DecisionList()
     left = np.ones(len(x), bool)
     third = np.arange(len(x)) % 3 == 2
@@ -140,12 +143,12 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0
         def worth(r: list) -> float:
             m = _met(x, r) & left & third
             p, n = int((bad & m).sum()), int((~bad & m).sum())
-            return (p - n) / (p + n) if p + n else -1.0
+            return (p - clean_cost * n) / (p + n) if p + n else -clean_cost
 
         rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=worth)
         m = _met(x, rule) & left
         p, n = int((bad & m).sum()), int((~bad & m).sum())
-        if p < least or p < precision * (p + n) or worth(rule) < 2 * precision - 1:
+        if p < least or p < precision * (p + n) or worth(rule) <= 0:
             break
         out.rules.append([(names[j], op, t) for j, op, t in rule])
         out.trace.append((p / (p + n), p + n))
