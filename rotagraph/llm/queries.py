@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rotagraph.llm import rules, urls
+from rotagraph.llm import rules, tokenbin, urls
 from rotagraph.session import table
 
 #: Fixed rules of the URL query: host, path, verdict.
@@ -28,6 +28,18 @@ SELECT s.page_id, s.host, s.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 """
 
 
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer's file; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenbin.encode_to_shards(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learned = rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -37,6 +49,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op3_url_filters": op3_url_filters,
+        "op4_token_files": op4_token_files,
         "op6_quality_rules": op6_quality_rules,
     }
 
