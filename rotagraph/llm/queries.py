@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rotagraph.llm import rules, tokenbin, urls
+from rotagraph.llm import rules, simhash, tokenbin, urls
 from rotagraph.session import table
 
 #: Fixed rules of the URL query: host, path, verdict.
@@ -46,11 +46,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge_quality(docs, learned).select("doc_id", *rules.BASE, "base_failed", "kept")
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op3_url_filters": op3_url_filters,
         "op4_token_files": op4_token_files,
         "op6_quality_rules": op6_quality_rules,
+        "op8_simhash_near_dedup": op8_simhash_near_dedup,
     }
 
 
