@@ -14,6 +14,7 @@ what a lost task left behind is never read.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -25,20 +26,28 @@ from rotagraph.session import fresh_path, written
 #: Ids per sequence, sequences per record batch.
 SEQUENCE, BATCH = 2048, 64
 #: Segments whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 INDEX = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
 MANIFEST = "shard int, ids_uri string, index_uri string, n_docs long, n_ids long"
 
 
+#: A space that no visible character follows: such texts are encoded uncut.
+UNCUT = re.compile(r" (?=\s|$)")
+
+
 class SegmentEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library, once per segment.
 
     The pre-tokenizer of such a vocabulary starts a new pre-token at each single space
     that a visible character follows, so a text is the concatenation of segments cut
-    there, and so are its ids. New segments are encoded by the library, many at once.
+    there, and so are its ids. New segments go to the library in long runs, which are
+    texts of the same kind; the bytes that each id stands for tell where a segment ends.
     """
 
+    #: Characters of new segments that are encoded as one text.
+    RUN = 8192
+
     def __init__(self, path: str):
         import os
 
@@ -47,44 +56,69 @@ class SegmentEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.size = self.tokenizer.get_vocab_size()
-        self.known: dict[str, list[int]] = {}
+        # a token of a byte-level vocabulary has one character for each byte
+        self.bytes_of = np.zeros(self.size, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(x) for x in vocabulary]
+        self.dtype = np.dtype(np.uint16 if self.size < 1 << 16 else np.uint32)
+        self.known: dict[str, bytes] = {}  # the ids of a space and the segment that follows it
 
-    def _learn(self, segments: list[str]) -> None:
-        got = self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)
-        self.known.update(zip(segments, (x.ids for x in got), strict=True))
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def _learn(self, segments: list[str]) -> None:
+        runs, held = [[]], 0
+        for s in segments:
+            if held > self.RUN:
+                runs.append([])
+                held = 0
+            runs[-1].append(s)
+            held += len(s)
+        for run, ids in zip(runs, self._ids([" " + " ".join(r) for r in runs]), strict=True):
+            ends = np.cumsum(np.fromiter((len(s) for s in map(str.encode, run)), np.int64, len(run)) + 1)
+            at = np.cumsum(self.bytes_of[ids])
+            cut = np.searchsorted(at, ends, "right")
+            if len(at) and not np.array_equal(at[cut - 1], ends):
+                raise ValueError("a token crosses two segments: not a byte-level vocabulary")
+            raw, width, lo = ids.tobytes(), self.dtype.itemsize, 0
+            for s, hi in zip(run, (cut * width).tolist(), strict=True):
+                self.known[s] = raw[lo:hi]
+                lo = hi
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        cut, new, whole = [], {}, []
+        cut, new, whole = [], set(), []
+        known = self.known
         for k, text in enumerate(texts):
-            first, *rest = text.split(" ")
-            if not all(w and not w[0].isspace() for w in rest):
+            if not text or text[0].isspace() or UNCUT.search(text):
                 whole.append(k)
                 cut.append(None)
                 continue
-            segments = [first, *[" " + w for w in rest]]
-            cut.append(segments)
-            for s in segments:
-                if s not in self.known:
-                    new[s] = None
+            first, *segments = text.split(" ")
+            cut.append((first, segments))
+            new.update(set(segments).difference(known))
         if new:
             self._learn(list(new))
-        plain = dict(zip(whole, self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True)) if whole else {}
+        firsts = dict(zip((k for k, c in enumerate(cut) if c), self._ids([c[0] for c in cut if c]), strict=True))
+        plain = dict(zip(whole, self._ids([texts[k] for k in whole]), strict=True))
         out = []
-        known = self.known
-        for k, segments in enumerate(cut):
-            if segments is None:
-                out.append(plain[k].ids)
-            else:
-                ids: list[int] = []
-                for s in segments:
-                    ids += known[s]
-                out.append(ids)
+        for k, c in enumerate(cut):
+            out.append(plain[k] if c is None else np.concatenate((firsts[k], np.frombuffer(b"".join(map(known.__getitem__, c[1])), self.dtype))))
         return out
 
 
+_encoders: dict[str, SegmentEncoder] = {}
+
+
+def encoder_of(path: str) -> SegmentEncoder:
+    """One encoder per worker process: its vocabulary is read and its segments are learned once."""
+    if path not in _encoders:
+        _encoders[path] = SegmentEncoder(path)
+    return _encoders[path]
+
+
 class ShardWriter:
     """One shard: ids in order, cut into sequences, written batch by batch."""
 
@@ -181,7 +215,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 if writer is None:
-                    encoder = SegmentEncoder(tokenizer)
+                    encoder = encoder_of(tokenizer)
                     dtype = np.uint16 if max(encoder.size, end_id + 1) <= 1 << 16 else np.uint32
                     writer = ShardWriter(sink := _open(base + ".arrow", True), dtype, sequence)
                     kept = _open(base + ".index.arrow", True)
@@ -190,7 +224,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str
                 for ids in encoder.encode(part.column(1).to_pylist()):
                     starts.append(writer.n)
                     counts.append(len(ids) + 1)
-                    writer.add(np.array([*ids, end_id], writer.dtype))
+                    writer.add(np.append(ids, writer.dtype.type(end_id)).astype(writer.dtype, copy=False))
                 index.write_batch(pa.RecordBatch.from_arrays([part.column(0), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=INDEX))
                 n_docs += part.num_rows
         if writer is not None:
