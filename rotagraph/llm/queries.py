@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rotagraph.llm import rules, simhash, tokenbin, urls
+from rotagraph.llm import pieces, rules, simhash, tokenbin, urls
 from rotagraph.session import table
 
 #: Fixed rules of the URL query: host, path, verdict.
@@ -40,6 +40,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.encode_to_shards(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_pieces(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learned = rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -54,6 +59,7 @@ def queries() -> dict:
     return {
         "op3_url_filters": op3_url_filters,
         "op4_token_files": op4_token_files,
+        "op5_piece_codec": op5_piece_codec,
         "op6_quality_rules": op6_quality_rules,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
     }
