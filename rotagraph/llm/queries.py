@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rotagraph.llm import pieces, rules, simhash, tokenbin, urls
+from rotagraph.llm import pieces, rules, simhash, tokenbin, toxicity, urls
+from rotagraph.llm.shared import is_remainder
 from rotagraph.session import table
 
 #: Fixed rules of the URL query: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep=lambda c: ~is_remainder(c, 4, 2))
+    scored = toxicity.with_toxicity(docs, model)
+    return scored.select("doc_id", is_remainder("doc_id", 4, 2).alias("held_out"), "score", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -57,6 +65,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_toxicity": op2_toxicity,
         "op3_url_filters": op3_url_filters,
         "op4_token_files": op4_token_files,
         "op5_piece_codec": op5_piece_codec,
