@@ -14,8 +14,8 @@ what a lost task left behind is never read.
 
 from __future__ import annotations
 
-import re
 import zlib
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +25,15 @@ from rotagraph.session import fresh_path, written
 
 #: Ids per sequence, sequences per record batch.
 SEQUENCE, BATCH = 2048, 64
-#: Segments whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Segments whose ids a worker remembers: those met once of late, and those met again.
+YOUNG, REMEMBERED = 150_000, 400_000
 
 INDEX = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
 MANIFEST = "shard int, ids_uri string, index_uri string, n_docs long, n_ids long"
 
 
-#: A space that no visible character follows: such texts are encoded uncut.
-UNCUT = re.compile(r" (?=\s|$)")
+CLOSING = ".,;:!?"
+ID = attrgetter("id")
 
 
 class SegmentEncoder:
@@ -62,51 +62,105 @@ class SegmentEncoder:
         self.bytes_of = np.zeros(self.size, np.int64)
         self.bytes_of[list(vocabulary.values())] = [len(x) for x in vocabulary]
         self.dtype = np.dtype(np.uint16 if self.size < 1 << 16 else np.uint32)
+        plain = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b > 173]
+        shown = dict(zip(plain, plain, strict=True)) | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        self.letters = shown  # the character that stands for each byte in such a vocabulary
+        self.closing: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}  # the ids of a space and the segment that follows it
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[np.ndarray] = []
+        for lo in range(0, len(texts), 16):  # the library's results are large until read
+            out += [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts[lo : lo + 16], add_special_tokens=False)]
+        return out
 
     def _learn(self, segments: list[str]) -> None:
-        runs, held = [[]], 0
+        """New segments. Letters are one pre-token, which the library's model takes as it
+        is, and closing punctuation after them is another; the rest is encoded in runs."""
+        young, closing, tokenize = self.young, self.closing, self.tokenizer.model.tokenize
+        rest, letters, tails = [], [], []
         for s in segments:
-            if held > self.RUN:
-                runs.append([])
-                held = 0
-            runs[-1].append(s)
+            if s.isalpha():
+                letters.append(s)
+                continue
+            core = s.rstrip(CLOSING)
+            if core.isalpha():
+                tails.append((s, core))
+                if core not in young:
+                    letters.append(core)
+            else:
+                rest.append(s)
+        ids: list[int] = []
+        ends: list[int] = []
+        for s in letters:
+            ids += map(ID, tokenize("\u0120" + (s if s.isascii() else s.encode().decode("latin-1").translate(self.letters))))
+            ends.append(len(ids))
+        self._keep(letters, np.array(ids, self.dtype), ends)
+        for s, core in tails:
+            tail = s[len(core) :]
+            if tail not in closing:
+                closing[tail] = self._ids([tail])[0].tobytes()
+            young[s] = young[core] + closing[tail]
+        self._learn_runs(rest)
+
+    def _keep(self, segments: list[str], ids: np.ndarray, ends: list[int]) -> None:
+        raw, width, lo = ids.tobytes(), self.dtype.itemsize, 0
+        for s, end in zip(segments, ends, strict=True):
+            hi = end * width
+            self.young[s] = raw[lo:hi]
+            lo = hi
+
+    def _learn_runs(self, segments: list[str]) -> None:
+        run: list[str] = []
+        held = 0
+        for s in segments:
+            run.append(s)
             held += len(s)
-        for run, ids in zip(runs, self._ids([" " + " ".join(r) for r in runs]), strict=True):
-            ends = np.cumsum(np.fromiter((len(s) for s in map(str.encode, run)), np.int64, len(run)) + 1)
-            at = np.cumsum(self.bytes_of[ids])
-            cut = np.searchsorted(at, ends, "right")
-            if len(at) and not np.array_equal(at[cut - 1], ends):
-                raise ValueError("a token crosses two segments: not a byte-level vocabulary")
-            raw, width, lo = ids.tobytes(), self.dtype.itemsize, 0
-            for s, hi in zip(run, (cut * width).tolist(), strict=True):
-                self.known[s] = raw[lo:hi]
-                lo = hi
+            if held > self.RUN:
+                self._learn_run(run)
+                run, held = [], 0
+        if run:
+            self._learn_run(run)
+
+    def _learn_run(self, run: list[str]) -> None:
+        ids = self._ids([" " + " ".join(run)])[0]
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, run)), np.int64, len(run)) + 1)
+        at = np.cumsum(self.bytes_of[ids])
+        cut = np.searchsorted(at, ends, "right")
+        if len(at) and not np.array_equal(at[cut - 1], ends):
+            raise ValueError("a token crosses two segments: not a byte-level vocabulary")
+        self._keep(run, ids, cut.tolist())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut, new, whole = [], set(), []
-        known = self.known
+        known, young = self.known, self.young
+        if len(known) > REMEMBERED:
+            known.clear()
+        if len(young) > YOUNG:
+            young.clear()
+        parts, gaps, new = [], [], set()
         for k, text in enumerate(texts):
-            if not text or text[0].isspace() or UNCUT.search(text):
-                whole.append(k)
-                cut.append(None)
-                continue
             first, *segments = text.split(" ")
-            cut.append((first, segments))
-            new.update(set(segments).difference(known))
-        if new:
-            self._learn(list(new))
-        firsts = dict(zip((k for k, c in enumerate(cut) if c), self._ids([c[0] for c in cut if c]), strict=True))
+            got = list(map(known.get, segments))
+            missing = [i for i, x in enumerate(got) if x is None] if None in got else []
+            parts.append((first, got))
+            for i in missing:
+                s = segments[i]
+                if s in young:
+                    got[i] = known[s] = young.pop(s)
+                else:
+                    gaps.append((got, i, s))
+                    new.add(s)
+            if text[:1].isspace() or any(not s or s[0].isspace() for s in new.intersection([segments[i] for i in missing])):
+                parts[-1] = None
+        # no segment that starts with white space is ever learned, so such texts are seen above
+        self._learn([s for s in new if s and not s[0].isspace()])
+        for got, i, s in gaps:
+            got[i] = young.get(s, b"")
+        whole = [k for k, p in enumerate(parts) if p is None]
         plain = dict(zip(whole, self._ids([texts[k] for k in whole]), strict=True))
-        out = []
-        for k, c in enumerate(cut):
-            out.append(plain[k] if c is None else np.concatenate((firsts[k], np.frombuffer(b"".join(map(known.__getitem__, c[1])), self.dtype))))
-        return out
+        firsts = iter(self._ids([p[0] for p in parts if p]))
+        return [plain[k] if p is None else np.concatenate((next(firsts), np.frombuffer(b"".join(p[1]), self.dtype))) for k, p in enumerate(parts)]
 
 
 _encoders: dict[str, SegmentEncoder] = {}
