@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rotagraph.llm import chat, pieces, rules, simhash, tokenbin, toxicity, urls
+from rotagraph.llm import chat, ngram, pieces, rules, simhash, tokenbin, toxicity, urls
 from rotagraph.llm.shared import is_remainder
 from rotagraph.session import table
 
@@ -83,6 +83,12 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = is_remainder("doc_id", 7, 2)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram.score(docs, ~held).select("doc_id", is_remainder("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict:
     return {
         "op2_toxicity": op2_toxicity,
@@ -92,6 +98,7 @@ def queries() -> dict:
         "op6_quality_rules": op6_quality_rules,
         "op7_chat_format": op7_chat_format,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
+        "op9_lm_scores": op9_lm_scores,
     }
 
 
