@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rotagraph.llm import chat, ngram, pieces, rules, simhash, tokenbin, toxicity, urls
+from rotagraph.llm import chat, mixing, ngram, pieces, rules, simhash, tokenbin, toxicity, urls
 from rotagraph.llm.shared import is_remainder
 from rotagraph.session import table
 
@@ -89,6 +89,16 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score(docs, ~held).select("doc_id", is_remainder("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+#: No source is repeated more often than this; each is given once in full at least.
+MOST_REPEATS = 4.0
+
+
+def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    _, given = mixing.mix(docs, most_repeats=MOST_REPEATS)
+    return given.select(F.col("id").alias("doc_id"), "source", "n_tokens", "epoch", "position")
+
+
 def queries() -> dict:
     return {
         "op2_toxicity": op2_toxicity,
@@ -99,6 +109,7 @@ def queries() -> dict:
         "op7_chat_format": op7_chat_format,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_lm_scores": op9_lm_scores,
+        "op10_temperature_mixing": op10_temperature_mixing,
     }
 
 
