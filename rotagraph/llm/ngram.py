@@ -31,7 +31,9 @@ from rotagraph.llm.shared import utf8
 from rotagraph.session import written
 
 #: Bytes of text in a chunk.
-CHUNK = 12 << 20
+CHUNK = 8 << 20
+#: Tokens of a chunk that are scored at once.
+SLICE = 1 << 18
 #: Context-frequency buckets: by the number of binary digits of c(h), the last open.
 FREQUENCIES = 20
 #: Cells per decade of the grid of estimates that expectation-maximisation runs on.
@@ -204,7 +206,8 @@ def _answers(rows: DataFrame) -> DataFrame:
     def run(batches):
         now, held = None, []
         for batch in batches:
-            for chunk, kind, bucket, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for i in range(batch.num_rows):  # payloads are large: one at a time
+                chunk, kind, bucket, payload = (batch.column(c)[i].as_py() for c in range(4))
                 if kind == TOKENS:
                     yield _batch([(chunk, kind, bucket, payload)])
                     continue
@@ -266,8 +269,8 @@ def learn_weights(grid: list[tuple[int, int, int, int]], kinds: int, rounds: int
 
 
 def _assembled(rows: DataFrame, f, schema: str) -> DataFrame:
-    """Brings the answers of each chunk to its tokens and yields the columns of
-    ``f(ids, null, modes, lengths, c(h,w), c(h), c(w), base c(w))`` for each chunk."""
+    """Brings the answers of each chunk to its tokens and yields batches of
+    ``f(ids, null, modes, lengths, c(h,w), c(h), c(w), base c(w))``, of some documents at once."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -280,9 +283,15 @@ def _assembled(rows: DataFrame, f, schema: str) -> DataFrame:
         twos = np.empty(len(answered), answered.dtype)
         twos[np.argsort(pair_bucket, kind="stable")] = answered
         _, number = _pairs(flat, end, n)
-        context = np.concatenate(([end], flat[:-1]))
-        columns = f(ids, null, modes, lengths, twos[number], ones[context], ones[flat], base[flat])
-        return pa.RecordBatch.from_arrays([pa.array(c, type=x.type) for c, x in zip(columns, arrow, strict=True)], schema=arrow)
+        before = np.concatenate((np.array([end], flat.dtype), flat[:-1]))
+        ends = np.cumsum(lengths)
+        lo = 0
+        while lo < len(lengths):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + SLICE)))
+            own = slice(int(ends[lo] - lengths[lo]), int(ends[hi - 1]))
+            columns = f(ids[lo:hi], null[lo:hi], modes[lo:hi], lengths[lo:hi], twos[number[own]], ones[before[own]], ones[flat[own]], base[flat[own]])
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=x.type) for c, x in zip(columns, arrow, strict=True)], schema=arrow)
+            lo = hi
 
     def run(batches):
         now, held = None, {}
@@ -292,7 +301,7 @@ def _assembled(rows: DataFrame, f, schema: str) -> DataFrame:
                 if chunk != now:
                     now, held = chunk, {WORDS: [], PAIRS: []}
                 if kind == TOKENS:  # the last row of its chunk
-                    yield one(held, payload)
+                    yield from one(held, payload)
                     held = {WORDS: [], PAIRS: []}
                 else:
                     held[kind].append(_unpack(payload))
