@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rotagraph.llm import chat, mixing, ngram, pieces, rules, simhash, tokenbin, toxicity, urls
+from rotagraph.llm import chat, media, mixing, ngram, pieces, rules, simhash, tokenbin, toxicity, urls
 from rotagraph.llm.shared import is_remainder
 from rotagraph.session import table
 
@@ -12,6 +12,10 @@ from rotagraph.session import table
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep=lambda c: ~is_remainder(c, 4, 2))
@@ -101,6 +105,7 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_progressive_jpeg": op1_progressive_jpeg,
         "op2_toxicity": op2_toxicity,
         "op3_url_filters": op3_url_filters,
         "op4_token_files": op4_token_files,
