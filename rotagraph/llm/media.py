@@ -13,6 +13,7 @@ they are: a payload byte is one coefficient (less OFFSET) of a 4:2:0 image.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from dataclasses import dataclass, field
@@ -316,6 +317,10 @@ class MediaError(ValueError):
     pass
 
 
+#: What ends a scan's data: a marker other than a stuffed byte or a restart.
+_MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7]")
+
+
 def parse(raw: bytes, at: int = 0) -> Image:
     """The segments of one progressive file that begins at ``at``."""
     if raw[at : at + 2] != b"\xff\xd8":
@@ -375,14 +380,10 @@ def parse(raw: bytes, at: int = 0) -> Image:
             components = [ids.index(body[1 + 2 * k]) for k in range(n)]
             tables = [(huffman.get(body[2 + 2 * k] >> 4, b""), huffman.get(16 | body[2 + 2 * k] & 15, b"")) for k in range(n)]
             lo, hi, bits = body[1 + 2 * n : 4 + 2 * n]
-            end = at
-            while True:
-                end = raw.find(b"\xff", end)
-                if end < 0 or end + 1 >= len(raw):
-                    raise MediaError("a scan is cut off")
-                if raw[end + 1] != 0 and not 0xD0 <= raw[end + 1] <= 0xD7:
-                    break
-                end += 2
+            stop = _MARKER.search(raw, at)
+            if not stop:
+                raise MediaError("a scan is cut off")
+            end = stop.start()
             out.scans.append(Scan(components, tables, lo, hi, bits >> 4, bits & 15, restart, raw[at:end]))
             at = end
         elif 0xC0 <= marker <= 0xCF and marker != 0xC8:
@@ -564,6 +565,28 @@ def _decode_dc(coef: np.ndarray, seq: np.ndarray, part: np.ndarray, lane: np.nda
             at, block, who, stop = (x[live] for x in (at, block, who, stop))
 
 
+@lru_cache(4096)
+def _order(sampling: tuple, geometry: tuple, components: tuple) -> tuple[np.ndarray, np.ndarray, int]:
+    """The blocks of a scan in its order, from the image's first block on; the place in the
+    scan of each block's component; blocks of a coded unit."""
+    starts = np.cumsum([0] + [g[0] * g[1] for g in geometry])
+    if len(components) == 1:
+        c = components[0]
+        _, columns, own_rows, own_columns = geometry[c]
+        ids = starts[c] + (np.arange(own_rows)[:, None] * columns + np.arange(own_columns)).ravel()
+        return ids, np.zeros(len(ids), np.int64), 1
+    ids = [starts[c] + _units(*sampling[c], *geometry[c][:2]) for c in components]
+    part = [np.full(x.shape, k) for k, x in enumerate(ids)]
+    return np.concatenate(ids, 1).ravel(), np.concatenate(part, 1).ravel(), sum(x.shape[1] for x in ids)
+
+
+def _units(h: int, v: int, rows: int, columns: int) -> np.ndarray:
+    """A component's blocks by coded unit: row by row within a unit."""
+    r, q = np.divmod(np.arange(rows // v * (columns // h)), columns // h)
+    a, b = np.divmod(np.arange(h * v), h)
+    return (v * r[:, None] + a) * columns + h * q[:, None] + b
+
+
 def decode_coefficients(images: list[Image]) -> tuple[np.ndarray, list[list[int]], np.ndarray]:
     """Coefficients (block, zigzag place) of all images, where each component's blocks begin,
     and which images hold broken data."""
@@ -584,52 +607,34 @@ def decode_coefficients(images: list[Image]) -> tuple[np.ndarray, list[list[int]
                 groups.setdefault((tuple(s.components), tuple(s.tables), s.lo, s.hi, s.high, s.low, tuple(x.sampling)), []).append(i)
         for members in groups.values():
             scan = images[members[0]].scans[nth]
-            seqs, parts, firsts, stops, owner, lanes = [], [], [], [], [], 0
-            for i in members:
-                x, s = images[i], images[i].scans[nth]
-                if len(s.components) == 1:
-                    rows, columns, own_rows, own_columns = geometry[i][s.components[0]]
-                    ids = starts[i][s.components[0]] + (np.arange(own_rows)[:, None] * columns + np.arange(own_columns)).ravel()
-                    part, unit = np.zeros(len(ids), np.int64), 1
-                else:
-                    ids, part = [], []
-                    for order, c in enumerate(s.components):
-                        h, v = x.sampling[c]
-                        rows, columns, _, _ = geometry[i][c]
-                        r, q = np.divmod(np.arange(rows // v * (columns // h)), columns // h)
-                        a, b = np.divmod(np.arange(h * v), h)
-                        ids.append(starts[i][c] + (v * r[:, None] + a) * columns + h * q[:, None] + b)
-                        part.append(np.full(ids[-1].shape, order))
-                    unit = sum(y.shape[1] for y in ids)
-                    ids, part = np.concatenate(ids, 1).ravel(), np.concatenate(part, 1).ravel()
-                step = (s.restart or len(ids)) * unit
-                first = np.arange(0, len(ids), step)
-                seqs.append(ids)
-                parts.append(part)
-                firsts.append(lanes + first)
-                stops.append(lanes + np.minimum(first + step, len(ids)))
-                owner.append(np.full(len(first), i))
-                lanes += len(ids)
+            patterns = [_order(tuple(images[i].sampling), tuple(geometry[i]), tuple(scan.components)) for i in members]
+            sizes = np.array([len(x[0]) for x in patterns])
+            base = np.array([starts[i][0] for i in members])
+            seq = np.concatenate([x[0] for x in patterns]) + np.repeat(base, sizes)
+            part = np.concatenate([x[1] for x in patterns])
+            step = np.array([images[i].scans[nth].restart * x[2] or len(x[0]) for i, x in zip(members, patterns, strict=True)])
+            wanted = -(-sizes // step)
             bits = _Bits([images[i].scans[nth].data for i in members])
-            wanted = np.array([len(f) for f in firsts])
-            if not np.array_equal(bits.count, wanted):  # a lost or surplus restart marker: such images are left out
-                wrong = [m for m, a, b in zip(members, bits.count, wanted, strict=True) if a != b]
-                broken[wrong] = True
-                for m in wrong:
-                    images[m].scans = images[m].scans[:nth]
-                good = [k for k, (a, b) in enumerate(zip(bits.count, wanted, strict=True)) if a == b]
-                if not good:
+            good = bits.count == wanted  # others have lost or surplus restart markers and are left out
+            if not good.all():
+                for k in np.flatnonzero(~good).tolist():
+                    broken[members[k]] = True
+                    images[members[k]].scans = images[members[k]].scans[:nth]
+                if not good.any():
                     continue
-                bits = _Bits([images[members[k]].scans[nth].data for k in good])
-                firsts, stops, owner = ([x[k] for k in good] for x in (firsts, stops, owner))
-            seq, part, first, stop = (np.concatenate(x) for x in (seqs, parts, firsts, stops))
+                bits = _Bits([images[i].scans[nth].data for i, ok in zip(members, good, strict=True) if ok])
+            lanes = np.where(good, wanted, 0)
+            which = np.repeat(np.arange(len(members)), lanes)
+            begin = (np.cumsum(sizes) - sizes)[which]
+            first = begin + (np.arange(len(which)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * step[which]
+            stop = np.minimum(first + step[which], begin + sizes[which])
             bad = np.zeros(len(first), bool)
             seq = np.append(seq, 0)
             if scan.lo == 0:
                 _decode_dc(coef, seq, np.append(part, 0), first, stop, bits, scan, bad)
             else:
                 (_decode_refine_ac if scan.high else _decode_first_ac)(coef, seq, first, stop, bits, scan, bad)
-            broken[np.concatenate(owner)[bad]] = True
+            broken[np.array(members)[which[bad]]] = True
     return coef, starts, broken
 
 
@@ -656,27 +661,33 @@ def tensors(images: list[Image], coef: np.ndarray, starts: list[list[int]]) -> l
         groups.setdefault((tuple(x.sampling), b"".join(q.tobytes() for q in x.quant)), []).append(i)
     for (sampling, _), members in groups.items():
         hm, vm = (max(s[i] for s in sampling) for i in (0, 1))
-        planes, counts = [], []
-        for c, (h, v) in enumerate(sampling):
-            ids = []
-            for i in members:
-                rows, columns, _, _ = _geometry(images[i])[c]
-                r, q = np.divmod(np.arange(rows // v * (columns // h)), columns // h)
-                a, b = np.divmod(np.arange(h * v), h)
-                ids.append(starts[i][c] + (v * r[:, None] + a) * columns + h * q[:, None] + b)
-            counts = [len(x) for x in ids]
-            blocks = coef[np.concatenate(ids).ravel()] * images[members[0]].quant[c]
-            pixels = np.floor((blocks.astype(np.float64) @ _basis() + (1 << SHIFT - 1)) * 2.0**-SHIFT) + 128
-            pixels = np.clip(pixels, 0, 255).astype(np.int32).reshape(-1, v, h, 8, 8).transpose(0, 1, 3, 2, 4).reshape(-1, 8 * v, 8 * h)
-            planes.append(pixels.repeat(vm // v, 1).repeat(hm // h, 2))
-        if len(planes) == 1:
-            rgb = np.repeat(planes[0][..., None], 3, -1).astype(np.uint8)
-        else:
-            y, cb, cr = planes[0] << SHIFT, planes[1] - 128, planes[2] - 128
-            fix = lambda w: round(w * (1 << SHIFT))
-            half = 1 << SHIFT - 1
-            rgb = np.stack([y + fix(1.402) * cr + half >> SHIFT, y - fix(0.344136) * cb - fix(0.714136) * cr + half >> SHIFT, y + fix(1.772) * cb + half >> SHIFT], -1)
-            rgb = np.clip(rgb, 0, 255).astype(np.uint8)
+        ids = [np.concatenate([starts[i][c] + _units(h, v, *_geometry(images[i])[c][:2]) for i in members]) for c, (h, v) in enumerate(sampling)]
+        counts = [g[0] * g[1] // (sampling[0][0] * sampling[0][1]) for g in (_geometry(images[i])[0] for i in members)]
+        n_units = len(ids[0])
+        rgb = np.empty((n_units, 8 * vm, 8 * hm, 3), np.uint8)
+        for lo in range(0, n_units, 256):  # few enough to stay in the processor's cache
+            planes = []
+            for c, (h, v) in enumerate(sampling):
+                blocks = coef[ids[c][lo : lo + 256].ravel()] * images[members[0]].quant[c]
+                pixels = blocks.astype(np.float64) @ _basis()
+                pixels += (128 << SHIFT) + (1 << SHIFT - 1)
+                pixels *= 2.0**-SHIFT
+                np.clip(pixels, 0, 255.5, out=pixels)
+                pixels = pixels.astype(np.int32).reshape(-1, v, h, 8, 8).transpose(0, 1, 3, 2, 4).reshape(-1, 8 * v, 8 * h)
+                planes.append(pixels if (h, v) == (hm, vm) else pixels.repeat(vm // v, 1).repeat(hm // h, 2))
+            own = rgb[lo : lo + 256]
+            if len(planes) == 1:
+                own[...] = planes[0][..., None]
+                continue
+            y, cb, cr = (planes[0] << SHIFT) + (1 << SHIFT - 1), planes[1] - 128, planes[2] - 128
+            for channel, (b, r) in enumerate(((0, 1.402), (-0.344136, -0.714136), (1.772, 0))):
+                value = y
+                for weight, plane in ((b, cb), (r, cr)):
+                    if weight:
+                        value = value + round(weight * (1 << SHIFT)) * plane
+                value = value >> SHIFT
+                np.clip(value, 0, 255, out=value)
+                own[..., channel] = value
         at = 0
         for i, n in zip(members, counts, strict=True):
             x = images[i]
@@ -775,10 +786,12 @@ def read_back(media: list[bytes]) -> list[Stored]:
 
 def feature(frames: list[np.ndarray]) -> str:
     """Size of the pictures, and mean and deviation of each channel over them."""
-    n = sum(x.shape[0] * x.shape[1] for x in frames)
-    flat = [x.reshape(-1, 3) for x in frames]
-    sums = sum(x.sum(0, dtype=np.int64) for x in flat)
-    squares = sum(np.einsum("ij,ij->j", x.astype(np.int64), x.astype(np.int64)) for x in flat)
+    n, sums, squares = 0, np.zeros(3), np.zeros(3)
+    for x in frames:  # sums of whole numbers in doubles: exact in any order
+        flat = x.reshape(-1, 3).astype(np.float64)
+        n += len(flat)
+        sums += np.ones(len(flat)) @ flat
+        squares += np.diag(flat.T @ flat)
     mean = sums / n
     dev = np.sqrt(np.maximum(squares / n - mean**2, 0))
     return f"{frames[0].shape[1]}x{frames[0].shape[0]}x{len(frames)}:" + ",".join(f"{m:.4f}/{d:.4f}" for m, d in zip(mean, dev, strict=True))
