@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that neither the base rules nor the learned list reject."""
     learned = rules.fit(docs, table(spark, sf_dir, "labels"))
-    return rules.judge_quality(docs, learned).where("kept").select(*docs.columns)
+    return rules.keep_quality(docs, learned)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -172,3 +172,10 @@ def judge_quality(docs: DataFrame, rules: DecisionList, text: str = "text") -> D
     got = got.withColumn("base_failed", failed)
     got = got.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~rules.rejects()))
     return got.drop(*[f for f in FEATURES if f not in BASE])
+
+
+def keep_quality(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept. The row number stands between verdict and filter:
+    pushed below the statistics, the filter would repeat their expressions within each other."""
+    judged = judge_quality(docs, rules, text).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where("kept AND _row >= 0").select(*docs.columns)
