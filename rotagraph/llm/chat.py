@@ -20,6 +20,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from rotagraph.llm.shared import bounded
+
 Piece = tuple[str, bool]
 
 TEMPLATE = "{% for message in messages %}{{ '<turn ' + message.role | escape + '>' }}{% if message.role == 'assistant' %}{% generation %}{{ message.text | escape }}{% endgeneration %}{% else %}{{ message.text | escape }}{% endif %}{{ '</turn>' + '\\n' }}{% endfor %}"
@@ -433,7 +435,7 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE, part: int =
         if done:
             yield pa.RecordBatch.from_pylist(done, schema=_PARTS)
 
-    return turns.mapInArrow(run, PARTS)
+    return bounded(turns).mapInArrow(run, PARTS)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -461,4 +463,4 @@ def read_back(parts: DataFrame) -> DataFrame:
         if digest is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip((now, *digest.row()), schema, strict=True)], schema=schema)
 
-    return parts.mapInArrow(run, DIGESTS)
+    return bounded(parts).mapInArrow(run, DIGESTS)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rotagraph.llm.shared import utf8
+from rotagraph.llm.shared import bounded, utf8
 
 #: What a payload byte is less as a coefficient; bytes about it are rare in texts, and
 #: coefficients of -1, 0 and 1 are those that refinement scans code at length.
@@ -828,7 +828,7 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c, type=f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))], schema=arrow)
                 lo = hi
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).alias("text")).mapInArrow(run, schema)
+    return bounded(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).alias("text"))).mapInArrow(run, schema)
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -840,7 +840,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
                 part = batch.slice(lo, 64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(store(utf8(part)), pa.binary())], names=[id_col, "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).alias("text")).mapInArrow(run, f"{id_col} long, media binary")
+    return bounded(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).alias("text"))).mapInArrow(run, f"{id_col} long, media binary")
 
 
 def decode_media(df: DataFrame, id_col: str, media: str = "media") -> DataFrame:
@@ -855,4 +855,4 @@ def decode_media(df: DataFrame, id_col: str, media: str = "media") -> DataFrame:
                 shape = lambda i, got=got: pa.array([None if x is None else x.shape[i] for x in got], pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), shape(0), shape(1), pa.array([None if x is None else x.tobytes() for x in got], pa.binary())], names=[id_col, "height", "width", "rgb"])
 
-    return df.select(F.col(id_col).cast("long").alias(id_col), F.col(media)).mapInArrow(run, f"{id_col} long, height int, width int, rgb binary")
+    return bounded(df.select(F.col(id_col).cast("long").alias(id_col), F.col(media))).mapInArrow(run, f"{id_col} long, height int, width int, rgb binary")

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rotagraph.llm.shared import utf8
+from rotagraph.llm.shared import bounded, utf8
 from rotagraph.session import written
 
 #: Bytes of text in a chunk.
@@ -179,7 +179,7 @@ def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
             if open_chunks[odd].ids:
                 yield out(odd)
 
-    return docs.mapInArrow(run, ROW)
+    return bounded(docs).mapInArrow(run, ROW)
 
 
 def _answers(rows: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def _answers(rows: DataFrame) -> DataFrame:
         if held:
             yield answer(*now, held)
 
-    return rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInArrow(run, ROW)
+    return bounded(rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk")).mapInArrow(run, ROW)
 
 
 @dataclass
@@ -306,7 +306,7 @@ def _assembled(rows: DataFrame, f, schema: str) -> DataFrame:
                 else:
                     held[kind].append(_unpack(payload))
 
-    return rows.where(f"kind != {SUMS}").repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(run, schema)
+    return bounded(rows.where(f"kind != {SUMS}").repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, learns, id_col: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:

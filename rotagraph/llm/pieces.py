@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from rotagraph.llm.shared import bounded
+
 MARK = "▁"
 #: Words whose path a worker remembers, and the longest such word.
 REMEMBERED, LONGEST = 300_000, 64
@@ -173,4 +175,4 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
                 columns = [part.column(k).cast(arrow.field(k).type) for k in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(counts), pa.array(same)], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return bounded(rows).mapInArrow(run, schema)

@@ -47,7 +47,7 @@ def map_batches(df: DataFrame, f, schema: str) -> DataFrame:
                 out = f(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.name], type=x.type) for x in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
@@ -55,3 +55,17 @@ def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     got = batch.column(batch.schema.get_field_index(column))
     kind = pa.large_binary() if pa.types.is_large_string(got.type) else pa.binary()
     return [x or b"" for x in got.cast(kind).to_pylist()]
+
+
+#: Bytes of rows that one Arrow batch hands to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded by bytes, not only by rows. A
+    bound that the session has set itself stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if conf.get(key, "").rstrip("bB") in ("", str((1 << 31) - 1)):
+        conf.set(key, str(BATCH_BYTES))
+    return df

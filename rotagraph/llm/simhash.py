@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rotagraph.llm.shared import map_batches, utf8
+from rotagraph.llm.shared import bounded, map_batches, utf8
 from rotagraph.session import written
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
@@ -97,7 +97,7 @@ def _postings(distinct: DataFrame) -> DataFrame:
                     key = key << np.uint64(8) | fp >> np.uint64(8 * k) & np.uint64(255)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0)], names=["key", "fp"])
 
-    return distinct.mapInArrow(run, "key long, fp long")
+    return bounded(distinct).mapInArrow(run, "key long, fp long")
 
 
 def _near(one: np.uint64, others: np.ndarray) -> np.ndarray:
@@ -191,7 +191,7 @@ def links(distinct: DataFrame) -> DataFrame:
         if held_k and sum(map(len, held_k)):
             yield out(np.concatenate(held_k), np.concatenate(held_u), np.concatenate(held_f))
 
-    return units.repartition("key", "unit").sortWithinPartitions("key", "unit").mapInArrow(run, "a long, b long").distinct()
+    return bounded(units.repartition("key", "unit").sortWithinPartitions("key", "unit")).mapInArrow(run, "a long, b long").distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from rotagraph.llm.shared import bounded
 from rotagraph.session import fresh_path, written
 
 #: Ids per sequence, sequences per record batch.
@@ -289,7 +290,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str
             kept.close()
             yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "ids_uri": base + ".arrow", "index_uri": base + ".index.arrow", "n_docs": n_docs, "n_ids": writer.n}], schema=pa.schema([("shard", pa.int32()), ("ids_uri", pa.string()), ("index_uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    return written(rows.mapInArrow(run, MANIFEST), "token-manifest")
+    return written(bounded(rows).mapInArrow(run, MANIFEST), "token-manifest")
 
 
 def read_token_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -320,7 +321,7 @@ def read_token_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                         crcs = [zlib.crc32(reader.ids(s, n).astype("<u4").tobytes()) for s, n in zip(starts, counts, strict=True)]
                         yield pa.RecordBatch.from_arrays([part.column(0), pa.array([row["before"] + s for s in starts], pa.int64()), part.column(2), pa.array(crcs, pa.int64())], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return bounded(rows).mapInArrow(run, schema)
 
 
 def encode_to_shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id") -> DataFrame:

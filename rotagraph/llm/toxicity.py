@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from rotagraph.llm.shared import labelled_sample, utf8
+from rotagraph.llm.shared import bounded, labelled_sample, utf8
 
 #: The classifier is fitted on at most so many labelled rows of each class.
 SAMPLE = 3000
@@ -111,7 +111,7 @@ def learn_lexicons(rows: DataFrame, n_toxic: int, n_other: int, least: int = 4,
                 terms = [*(b"w" + w for w in words), *(b"b" + w for w in heads)]
                 yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array([y] * len(terms), pa.int64()), pa.array([1 - y] * len(terms), pa.int64())], names=["term", "a", "b"])
 
-    counts = rows.select("text", "y").mapInArrow(run, "term binary, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = bounded(rows.select("text", "y")).mapInArrow(run, "term binary, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     p = F.col("a") / F.lit(max(1, n_toxic))
     q = (F.col("b") + 0.5) / F.lit(n_other + 1.0)
     every = (F.col("a") + F.col("b")) / F.lit(max(1, n_toxic + n_other))
@@ -248,4 +248,4 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sco
         kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
         return pa.array(model.scores([x or b"" for x in texts.cast(kind).to_pylist()]), pa.float64())
 
-    return docs.withColumn(score, scored(F.col(text)))
+    return bounded(docs).withColumn(score, scored(F.col(text)))
