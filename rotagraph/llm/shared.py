@@ -66,6 +66,6 @@ def bounded(df: DataFrame) -> DataFrame:
     bound that the session has set itself stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = df.sparkSession.conf
-    if conf.get(key, "").rstrip("bB") in ("", str((1 << 31) - 1)):
+    if conf.get(key).rstrip("bB") == str((1 << 31) - 1):
         conf.set(key, str(BATCH_BYTES))
     return df
