@@ -31,9 +31,9 @@ from rotagraph.llm.shared import bounded, utf8
 from rotagraph.session import written
 
 #: Bytes of text in a chunk.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Tokens of a chunk that are scored at once.
-SLICE = 1 << 18
+SLICE = 1 << 17
 #: Context-frequency buckets: by the number of binary digits of c(h), the last open.
 FREQUENCIES = 20
 #: Cells per decade of the grid of estimates that expectation-maximisation runs on.
