@@ -1,11 +1,248 @@
-"""The queries of the graph engine and the SQL that states their results."""
+"""The queries of the graph engine and the SQL that states their results.
+
+Verdicts of five-vertex graphs have rules in plain SQL: planar iff fewer than ten edges;
+K2,3-free iff no two vertices have three common neighbours; K4-free iff no four vertices
+have six edges, or five with the missing two both adjacent to the fifth; outerplanar iff
+both; a K3,3 homeomorph needs six. A bipartite graph whose smaller side has three vertices
+has a K3,3 homeomorph, and is nonplanar, iff three of the others are adjacent to all three.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from rotagraph.functions import kernels
+from rotagraph.operators import collections, components, embedding, relational, verify
+from rotagraph.plans import derive
+from rotagraph.session import table
+from rotagraph.sources import graph6, texts
+
+ID = "graph_id"
+
+_TYPES = "types AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS number FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL))"
+_PART = {"user": "0", "day": "dayofyear(ts)", "5day": "CAST(floor((dayofyear(ts) - 1) / 5) AS BIGINT)"}
+
+
+def _arcs_sql(bucket: str = "user") -> str:
+    return f"""{_TYPES}, typed AS (SELECT user_id * 1000 + {_PART[bucket]} AS graph_id, ts, event_id, number FROM events JOIN types USING (event_type)),
+ arcs AS (SELECT graph_id, src, dst FROM (SELECT graph_id, number AS src, lead(number) OVER (PARTITION BY graph_id ORDER BY ts, event_id) AS dst FROM typed) WHERE dst IS NOT NULL),
+ edges AS (SELECT DISTINCT graph_id, least(src, dst) AS u, greatest(src, dst) AS v FROM arcs WHERE src <> dst),
+ ends AS (SELECT graph_id, u AS src, v AS dst FROM edges UNION ALL SELECT graph_id, v, u FROM edges),
+ graphs AS (SELECT graph_id, CAST(count(*) AS INTEGER) AS m FROM edges GROUP BY 1)"""
+
+
+#: g6 of five-vertex graphs: ten bits in two characters.
+_LINES = """lines AS (SELECT graph_id, m, 'D' || chr(CAST(63 + a AS INTEGER)) || chr(CAST(63 + b AS INTEGER)) AS g6 FROM (SELECT graph_id, count(*)::INTEGER AS m,
+ sum(CASE WHEN k < 6 THEN 1 << (5 - k) ELSE 0 END) AS a, sum(CASE WHEN k >= 6 THEN 1 << (11 - k) ELSE 0 END) AS b
+ FROM (SELECT graph_id, v * (v - 1) // 2 + u AS k FROM edges) GROUP BY graph_id))"""
+
+_RULES = """near AS (SELECT graph_id, src, list(dst) AS ns FROM ends GROUP BY 1, 2),
+ k23 AS (SELECT DISTINCT graph_id FROM (SELECT a.graph_id, a.src AS s, b.src AS t, count(*) AS c FROM ends a JOIN ends b ON a.graph_id = b.graph_id AND a.dst = b.dst AND a.src < b.src GROUP BY 1, 2, 3) WHERE c >= 3),
+ four AS (SELECT g.graph_id, o.x AS out, count(e.u) AS c FROM graphs g CROSS JOIN (SELECT unnest(range(5)) AS x) o LEFT JOIN edges e ON e.graph_id = g.graph_id AND e.u <> o.x AND e.v <> o.x GROUP BY 1, 2),
+ gap AS (SELECT f.graph_id, f.out, p.u, p.v FROM four f JOIN (SELECT a.x AS u, b.x AS v FROM (SELECT unnest(range(5)) AS x) a JOIN (SELECT unnest(range(5)) AS x) b ON a.x < b.x) p ON p.u <> f.out AND p.v <> f.out
+   WHERE f.c = 5 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = f.graph_id AND e.u = p.u AND e.v = p.v)),
+ k4 AS (SELECT graph_id FROM four WHERE c = 6 UNION SELECT g.graph_id FROM gap g JOIN ends a ON a.graph_id = g.graph_id AND a.src = g.out AND a.dst = g.u JOIN ends b ON b.graph_id = g.graph_id AND b.src = g.out AND b.dst = g.v)"""
+
+_OFFENDS = {
+    "p": "m = 10", "d": "m = 10", "2": "graph_id IN (SELECT graph_id FROM k23)", "4": "graph_id IN (SELECT graph_id FROM k4)",
+    "o": "graph_id IN (SELECT graph_id FROM k23) OR graph_id IN (SELECT graph_id FROM k4)", "3": "false",
+}
+
+
+def _verdict_sql(cmd: str, bucket: str) -> str:
+    return f"WITH {_arcs_sql(bucket)}, {_RULES} SELECT graph_id, '{cmd}' AS cmd, 5 AS n, m, CASE WHEN {_OFFENDS[cmd]} THEN 'NONEMBEDDABLE' ELSE 'OK' END AS verdict FROM graphs"
+
+
+def _verdicts(cmd: str, bucket: str):
+    return lambda spark, d: embedding.verdicts(derive.event_lines(spark, d, bucket), cmd).select(ID, "cmd", "n", "m", "verdict")
+
+
+def _bip3(cmd: str):
+    return lambda spark, d: embedding.verdicts(derive.part_lines(spark, d), cmd).select(ID, "cmd", "verdict")
+
+
+def _bip3_sql(cmd: str) -> str:
+    return f"""WITH full_lines AS (SELECT l_partkey AS graph_id, l_linenumber, count(DISTINCT l_returnflag) AS flags FROM lineitem GROUP BY 1, 2)
+SELECT graph_id, '{cmd}' AS cmd, CASE WHEN count(*) FILTER (flags = 3) >= 3 THEN 'NONEMBEDDABLE' ELSE 'OK' END AS verdict FROM full_lines GROUP BY graph_id"""
+
+
+def _stats(spark: SparkSession, d: str) -> DataFrame:
+    """The batch table: every command over every five-day graph, counted by n and m. Graphs
+    are counted by encoding first, so the kernel and the join see distinct lines only."""
+    lines = derive.event_lines(spark, d, "5day").groupBy("g6").agg(F.count("*").alias("weight"))
+    decided = embedding.decide(lines, list("pdo234")).join(lines, "g6")
+    return collections.statistics(decided, ["cmd", "n", "m"])
+
+
+_STATS_SQL = "WITH {arcs}, {rules}, v AS ({union}) SELECT cmd, n, m, CAST(count(*) AS BIGINT) AS num_graphs, CAST(count(*) FILTER (verdict = 'OK') AS BIGINT) AS num_ok, CAST(count(*) FILTER (verdict <> 'OK') AS BIGINT) AS num_nonembeddable, 'SUCCESS' AS error_flag FROM v GROUP BY 1, 2, 3".format(
+    arcs=_arcs_sql("5day"), rules=_RULES, union=" UNION ALL ".join(f"SELECT graph_id, '{c}' AS cmd, 5 AS n, m, CASE WHEN {x} THEN 'NONEMBEDDABLE' ELSE 'OK' END AS verdict FROM graphs" for c, x in _OFFENDS.items())
+)
+
+
+def _first_and_second_half(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    lines = derive.event_lines(spark, d, "day").withColumn("line_no", F.col(ID))
+    early = F.pmod(ID, F.lit(1000)) <= 15
+    return lines.where(early).select("g6", "line_no"), lines.where(~early).select("g6", "line_no")
+
+
+_HALVES = f"{_arcs_sql('day')}, {_LINES}, a AS (SELECT g6, min(graph_id) AS line_no FROM lines WHERE graph_id % 1000 <= 15 GROUP BY 1), b AS (SELECT g6, min(graph_id) AS line_no FROM lines WHERE graph_id % 1000 > 15 GROUP BY 1)"
+
+
+def _g6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    lines = derive.event_lines(spark, d, "5day")
+    return graph6.edges_of(lines)
+
+
+def _components(spark: SparkSession, d: str) -> DataFrame:
+    """Part-supplier graph of the lines shipped in one month: parts are even, suppliers odd numbers."""
+    lines = table(spark, d, "lineitem").where("l_shipdate >= DATE '1995-03-01' AND l_shipdate < DATE '1995-04-01'")
+    edges = lines.select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b"))
+    return components.connected(edges).groupBy("root").agg(F.count("*").alias("vertices"))
+
+
+_COMPONENTS_SQL = """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem WHERE l_shipdate >= DATE '1995-03-01' AND l_shipdate < DATE '1995-04-01'),
+ both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+ walk(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM both_ways UNION
+   SELECT w.node, w.root FROM (SELECT x.a AS node, min(walk.root) AS root FROM both_ways x JOIN walk ON walk.node = x.b GROUP BY x.a) w JOIN recurring.walk r ON r.node = w.node WHERE w.root < r.root)
+SELECT root, count(*) AS vertices FROM walk GROUP BY root"""
+
+
+def _face_count(spark: SparkSession, d: str) -> DataFrame:
+    lines = derive.event_lines(spark, d, "5day")
+    decided = embedding.decide(lines, "p", certificates=True)
+    faces = embedding.faces_by_euler(decided)
+    return lines.join(faces, "g6").select(ID, F.col("faces").cast("long").alias("faces"))
+
+
+_FACES_SQL = f"""WITH RECURSIVE {_arcs_sql('5day')}, reach(graph_id, s, t) AS (SELECT graph_id, x, x FROM graphs CROSS JOIN (SELECT unnest(range(5)) AS x) UNION
+ SELECT r.graph_id, r.s, e.dst FROM reach r JOIN ends e ON e.graph_id = r.graph_id AND e.src = r.t),
+ parts AS (SELECT graph_id, count(DISTINCT least_t) AS c FROM (SELECT graph_id, s, min(t) AS least_t FROM reach GROUP BY 1, 2) GROUP BY 1)
+SELECT graph_id, CAST(m - 5 + 1 + c AS BIGINT) AS faces FROM graphs JOIN parts USING (graph_id) WHERE m < 10"""
+
+
+def _certified(spark: SparkSession, d: str) -> DataFrame:
+    lines = derive.event_lines(spark, d, "5day").select("g6").unionByName(derive.part_lines(spark, d).select("g6"))
+    from rotagraph.session import written
+
+    return written(embedding.decide(lines, list("pdo234"), certificates=True), "certified")
+
+
+def _generated(spark: SparkSession, n: int = 12, count: int = 200) -> DataFrame:
+    """Seeded random planar graphs: (graph_id, n, m, g6)."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            lines = [graph6.format_g6(n, kernels.random_planar(n, n - 1 + i % (2 * n - 4), i)) for i in ids]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lines)], names=[ID, "g6"])
+
+    return spark.range(count).mapInArrow(run, f"{ID} long, g6 string")
+
 
 def queries() -> dict:
-    return {}
+    arcs = lambda s, d: derive.event_arcs(s, d)
+    edges = lambda s, d: derive.event_edges(s, d)
+    five = lambda s, d: derive.event_edges(s, d, "5day")
+    graphs = lambda e: e.select(ID).distinct().withColumn("n", F.lit(5))
+    out = {
+        "edges_user_events": edges,
+        "arcs_user_events": lambda s, d: arcs(s, d).where("src != dst").groupBy(ID, "src", "dst").agg(F.count("*").alias("times")),
+        "degree": lambda s, d: relational.degrees(five(s, d)),
+        "degree_histogram": lambda s, d: relational.degree_histogram(five(s, d)),
+        "direction_class": lambda s, d: relational.direction_classes(derive.event_arcs(s, d, "5day")),
+        "in_out_degree": lambda s, d: relational.in_out_degrees(relational.direction_classes(derive.event_arcs(s, d, "5day"))),
+        "transpose": lambda s, d: relational.transposed(relational.direction_classes(derive.event_arcs(s, d, "5day"))),
+        "clear_direction": lambda s, d: relational.without_directions(relational.direction_classes(derive.event_arcs(s, d, "5day"))),
+        "is_neighbor": lambda s, d: relational.are_neighbours(graphs(five(s, d)).select(ID, F.lit(3).alias("u"), F.lit(1).alias("v")), five(s, d)),
+        "common_neighbors": lambda s, d: relational.common_neighbours(five(s, d)),
+        "contract_edge": lambda s, d: relational.identified(five(s, d), F.lit(1), F.lit(3)),
+        "hide_vertex": lambda s, d: relational.without_vertex(five(s, d), F.lit(2)),
+        "delete_edges": lambda s, d: relational.without_edges(five(s, d), derive.event_edges(s, d, "5day").where("u = 0")),
+        "sizes_euler_filter": lambda s, d: relational.euler_filter(relational.sizes(graphs(five(s, d)), five(s, d))),
+        "adjlist_text": lambda s, d: texts.adjacency_texts(graphs(five(s, d)), relational.both_ways(five(s, d))),
+        "adjmatrix_text": lambda s, d: texts.matrix_texts(graphs(five(s, d)), five(s, d)),
+        "graphml_text": lambda s, d: texts.graphml_texts(graphs(five(s, d)), relational.direction_classes(derive.event_arcs(s, d, "5day"))),
+        "text_roundtrip": lambda s, d: texts.parse_texts(texts.adjacency_texts(graphs(five(s, d)), relational.both_ways(five(s, d)), base=1)).select(ID, "n", F.explode("arcs").alias("a")).select(ID, "n", "a.u", "a.v", "a.dir"),
+        "g6_encode": lambda s, d: derive.event_lines(s, d, "5day").select(ID, "m", "g6"),
+        "g6_roundtrip": _g6_roundtrip,
+        "components": _components,
+        "face_count": _face_count,
+        "stats_by_nm": _stats,
+        "stats_rollup": lambda s, d: collections.totals(_stats(s, d)),
+        "g6_duplicates": lambda s, d: collections.duplicates(derive.event_lines(s, d, "day").select("g6", F.col(ID).alias("line_no"))),
+        "g6_diff": lambda s, d: collections.difference(*_first_and_second_half(s, d)),
+        "g6_common_lines": lambda s, d: collections.common_lines(*_first_and_second_half(s, d)),
+        "verdict_p_bip3": _bip3("p"),
+        "verdict_3_bip3": _bip3("3"),
+        "certificate_failures": lambda s, d: verify.failures(_certified(s, d)),
+        "visibility_conflicts": lambda s, d: verify.drawing_conflicts(embedding.decide(derive.event_lines(s, d, "5day"), "d", True)),
+        "obstruction_kinds": lambda s, d: _certified(s, d).where("verdict = 'NONEMBEDDABLE'").groupBy("cmd", "minor_type").agg(F.count("*").alias("graphs")),
+        "depth_first_search": lambda s, d: embedding.depth_first(derive.event_lines(s, d, "5day")),
+        "drawing_pictures": lambda s, d: embedding.rendered(embedding.decide(derive.event_lines(s, d, "5day"), "d", True)),
+        "random_planar_verdicts": lambda s, d: collections.statistics(embedding.verdicts(_generated(s), "p"), ["cmd", "n", "m"]),
+        "edge_deletion": edge_deletion,
+    }
+    return out | {f"verdict_{c}5": _verdicts(c, "5day") for c in "pdo234"} | {"verdict_p_users": _verdicts("p", "user")}
+
+
+def edge_deletion(spark: SparkSession, d: str) -> DataFrame:
+    """(cmd, invalid_ok): graphs decided OK by a search that stay so, counted where deleting
+    an edge turns the verdict, which it must not."""
+    import pyarrow as pa
+
+    lines = derive.event_lines(spark, d, "5day")
+    fine = embedding.decide(lines, list("234")).where("verdict = 'OK'").select("g6", "cmd")
+
+    def shrink(batches):
+        for b in batches:
+            rows = []
+            for line, cmd in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n, edges = graph6.parse_g6(line)
+                rows += [(line, cmd, graph6.format_g6(n, edges[:k] + edges[k + 1 :])) for k in range(len(edges))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["whole", "cmd", "g6"])
+
+    smaller = fine.mapInArrow(shrink, "whole string, cmd string, g6 string")
+    found = smaller.join(embedding.decide(smaller, list("234")), ["g6", "cmd"])
+    bad = found.groupBy("cmd").agg(F.count_distinct(F.when(F.col("verdict") != "OK", F.col("whole"))).alias("invalid_ok"))
+    return bad.select("cmd", "invalid_ok")
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    five = f"WITH {_arcs_sql('5day')}"
+    classes = f"{five}, c AS (SELECT graph_id, CASE WHEN f = 0 THEN b ELSE a END AS u, CASE WHEN f = 0 THEN a ELSE b END AS v, CASE WHEN f = 1 AND k = 1 THEN 'UND' ELSE 'OUT' END AS dir FROM (SELECT graph_id, least(src, dst) AS a, greatest(src, dst) AS b, max(CASE WHEN src < dst THEN 1 ELSE 0 END) AS f, max(CASE WHEN src > dst THEN 1 ELSE 0 END) AS k FROM arcs WHERE src <> dst GROUP BY 1, 2, 3))"
+    degree = "deg AS (SELECT graph_id, src AS v, count(*) AS degree FROM ends GROUP BY 1, 2)"
+    out = {
+        "edges_user_events": f"WITH {_arcs_sql()} SELECT * FROM edges",
+        "arcs_user_events": f"WITH {_arcs_sql()} SELECT graph_id, src, dst, count(*) AS times FROM arcs WHERE src <> dst GROUP BY 1, 2, 3",
+        "degree": f"{five}, {degree} SELECT * FROM deg",
+        "degree_histogram": f"{five}, {degree} SELECT graph_id, degree, count(*) AS vertices FROM deg GROUP BY 1, 2",
+        "direction_class": f"{classes} SELECT * FROM c",
+        "in_out_degree": f"{classes} SELECT graph_id, v, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT graph_id, u AS v, CASE WHEN dir = 'UND' THEN 1 ELSE 0 END AS i, 1 AS o FROM c UNION ALL SELECT graph_id, v, 1, CASE WHEN dir = 'UND' THEN 1 ELSE 0 END FROM c) GROUP BY 1, 2",
+        "transpose": f"{classes} SELECT graph_id, CASE WHEN dir = 'UND' THEN u ELSE v END AS u, CASE WHEN dir = 'UND' THEN v ELSE u END AS v, dir FROM c",
+        "clear_direction": f"{classes} SELECT graph_id, least(u, v) AS u, greatest(u, v) AS v, 'UND' AS dir FROM c",
+        "is_neighbor": f"{five} SELECT graph_id, 3 AS u, 1 AS v, EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = g.graph_id AND e.u = 1 AND e.v = 3) AS is_neighbor FROM graphs g",
+        "common_neighbors": f"{five} SELECT a.graph_id, a.src AS u, b.src AS v, count(*) AS common FROM ends a JOIN ends b ON a.graph_id = b.graph_id AND a.dst = b.dst AND a.src < b.src GROUP BY 1, 2, 3",
+        "contract_edge": f"{five}, x AS (SELECT graph_id, CASE WHEN u = 3 THEN 1 ELSE u END AS a, CASE WHEN v = 3 THEN 1 ELSE v END AS b FROM edges) SELECT DISTINCT graph_id, least(a, b) AS u, greatest(a, b) AS v FROM x WHERE a <> b",
+        "hide_vertex": f"{five} SELECT * FROM edges WHERE u <> 2 AND v <> 2",
+        "delete_edges": f"{five} SELECT * FROM edges WHERE u <> 0",
+        "sizes_euler_filter": f"{five} SELECT graph_id, 5 AS n, m, CASE WHEN m > 9 THEN 'no' WHEN m < 9 THEN 'yes' END AS planar_by_count FROM graphs",
+        "adjlist_text": f"{five}, r AS (SELECT g.graph_id, x.x, x.x || ': ' || coalesce(string_agg(e.dst::VARCHAR, ' ' ORDER BY e.dst) || ' ', '') || '-1' || chr(10) AS line FROM graphs g CROSS JOIN (SELECT unnest(range(5)) AS x) x LEFT JOIN ends e ON e.graph_id = g.graph_id AND e.src = x.x GROUP BY 1, 2) SELECT graph_id, 'N=5' || chr(10) || string_agg(line, '' ORDER BY x) AS text FROM r GROUP BY 1",
+        "adjmatrix_text": f"{five}, r AS (SELECT g.graph_id, a.x AS a, repeat(' ', CAST(a.x + 1 AS INTEGER)) || coalesce(string_agg(CASE WHEN e.u IS NULL THEN '0' ELSE '1' END, '' ORDER BY b.x) FILTER (b.x > a.x), '') || chr(10) AS line FROM graphs g CROSS JOIN (SELECT unnest(range(5)) AS x) a CROSS JOIN (SELECT unnest(range(5)) AS x) b LEFT JOIN edges e ON e.graph_id = g.graph_id AND e.u = a.x AND e.v = b.x GROUP BY 1, 2) SELECT graph_id, '5' || chr(10) || string_agg(line, '' ORDER BY a) AS text FROM r GROUP BY 1",
+        "text_roundtrip": f"{five} SELECT graph_id, 5 AS n, u, v, 'UND' AS dir FROM edges",
+        "g6_encode": f"{five}, {_LINES} SELECT graph_id, m, g6 FROM lines",
+        "g6_roundtrip": f"{five} SELECT * FROM edges",
+        "components": _COMPONENTS_SQL,
+        "face_count": _FACES_SQL,
+        "stats_by_nm": _STATS_SQL,
+        "stats_rollup": f"SELECT cmd, m, CAST(sum(num_graphs) AS BIGINT) AS num_graphs, CAST(sum(num_ok) AS BIGINT) AS num_ok, CAST(sum(num_nonembeddable) AS BIGINT) AS num_nonembeddable, count(*) AS num_success FROM ({_STATS_SQL}) GROUP BY GROUPING SETS ((cmd, m), (cmd))",
+        "g6_duplicates": f"WITH {_arcs_sql('day')}, {_LINES} SELECT g6, min(graph_id) AS first_line, count(*) - 1 AS repeats FROM lines GROUP BY 1 HAVING count(*) > 1",
+        "g6_diff": f"WITH {_HALVES} SELECT * FROM a WHERE g6 NOT IN (SELECT g6 FROM b)",
+        "g6_common_lines": f"WITH {_HALVES} SELECT a.g6, a.line_no AS left_line, b.line_no AS right_line FROM a JOIN b USING (g6) WHERE a.line_no <> b.line_no",
+        "verdict_p_bip3": _bip3_sql("p"),
+        "verdict_3_bip3": _bip3_sql("3"),
+        "certificate_failures": "SELECT '' AS g6, '' AS reason WHERE false",
+        "visibility_conflicts": "SELECT '' AS g6, 0 AS u, 0 AS w, 0 AS v WHERE false",
+        "edge_deletion": "SELECT unnest(['2', '3', '4']) AS cmd, CAST(0 AS BIGINT) AS invalid_ok",
+    }
+    return out | {f"verdict_{c}5": _verdict_sql(c, "5day") for c in "pdo234"} | {"verdict_p_users": _verdict_sql("p", "user")}
