@@ -60,6 +60,11 @@ def _decide(line: str, cmd: str, certificates: bool, added: dict) -> dict:
 
 def decide(lines: DataFrame, cmds: str | list[str], certificates: bool = False) -> DataFrame:
     """(g6, cmd, n, m, verdict, minor_type, error[, CERTIFICATES]) of distinct ``lines`` (g6)."""
+    return decide_rows(lines.select("g6").distinct(), cmds, certificates)
+
+
+def decide_rows(lines: DataFrame, cmds: str | list[str], certificates: bool = False) -> DataFrame:
+    """The same for every row of ``lines``, repeats too."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -76,7 +81,7 @@ def decide(lines: DataFrame, cmds: str | list[str], certificates: bool = False)
                 rows = [_decide(x or "", c, certificates, added) for x in texts[lo : lo + 1000] for c in names]
                 yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], type=f.type) for f in arrow], schema=arrow)
 
-    return lines.select("g6").distinct().mapInArrow(run, schema)
+    return lines.select("g6").mapInArrow(run, schema)
 
 
 def verdicts(graphs: DataFrame, cmds: str | list[str], certificates: bool = False) -> DataFrame:
