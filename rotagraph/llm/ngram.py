@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rotagraph.llm.shared import bounded, utf8
+from rotagraph.llm.shared import bounded, release, utf8
 from rotagraph.session import written
 
 #: Bytes of text in a chunk.
@@ -165,6 +165,7 @@ def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
             nonlocal number
             rows = open_chunks[odd].rows(2 * number + odd, buckets)
             open_chunks[odd], number = Chunk(), number + 1
+            release()
             return _batch(rows)
 
         for batch in batches:
@@ -214,10 +215,13 @@ def _answers(rows: DataFrame) -> DataFrame:
                 if (kind, bucket) != now:
                     if held:
                         yield answer(*now, held)
+                        release()
                     now, held = (kind, bucket), []
                 held.append((chunk, payload))
         if held:
             yield answer(*now, held)
+        held = []
+        release()
 
     return bounded(rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk")).mapInArrow(run, ROW)
 
@@ -302,6 +306,7 @@ def _assembled(rows: DataFrame, f, schema: str) -> DataFrame:
                     now, held = chunk, {WORDS: [], PAIRS: []}
                 if kind == TOKENS:  # the last row of its chunk
                     yield from one(held, payload)
+                    release()
                     held = {WORDS: [], PAIRS: []}
                 else:
                     held[kind].append(_unpack(payload))

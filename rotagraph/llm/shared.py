@@ -69,3 +69,15 @@ def bounded(df: DataFrame) -> DataFrame:
     if conf.get(key).rstrip("bB") == str((1 << 31) - 1):
         conf.set(key, str(BATCH_BYTES))
     return df
+
+
+def release() -> None:
+    """Gives freed memory of a worker back to the system: workers live on between stages,
+    and what one of them once needed would otherwise stay its own."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
