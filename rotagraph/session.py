@@ -26,12 +26,17 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/rotagraph/{what}-{uuid.uuid4().hex}"
 
 
-def written(df, what: str):
+#: For tables of large packed rows: a page ends when it is full, not after a hundred rows,
+#: and rows that are compressed already are not compressed again.
+PACKED = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size": str(32 << 20), "compression": "none"}
+
+
+def written(df, what: str, **options: str):
     """Writes ``df`` as Parquet into the shared folder and reads it back: lineage
-    is cut and a lost executor costs no recomputation."""
+    is cut and a lost executor costs no recomputation. ``options``: of the writer."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
