@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rotagraph.llm.shared import bounded, release, utf8
-from rotagraph.session import written
+from rotagraph.session import PACKED, written
 
 #: Bytes of text in a chunk.
 CHUNK = 4 << 20
@@ -331,7 +331,7 @@ def score(docs: DataFrame, learns, id_col: str = "doc_id", text: str = "text", b
     rows = docs.select(F.col(id_col).cast("long").alias("id"), mode.cast("int").alias("mode"), F.col(text).alias("text"))
     if buckets is None:
         buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table = written(_answers(_chunks(rows, buckets)), "lm-counts")
+    table = written(_answers(_chunks(rows, buckets)), "lm-counts", **PACKED)
     sums = np.zeros(4, np.int64)
     for r in table.where(f"kind = {SUMS}").select("payload").collect():  # four numbers a bucket
         sums += _unpack(r.payload)[0]
