@@ -26,6 +26,12 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "vocabulary_growth", "capital_share", "mark_share"]
 
 
+def _here(column: Column) -> Column:
+    """``column``, computed where it is defined: the row number, never negative, keeps later
+    filters from being pushed below, where they would repeat its expressions within each other."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds BASE counts and FEATURES to ``docs``. Null texts count as empty ones: all
     counts 0, all shares 0. Windows are compared by 64-bit hashes within one text."""
@@ -52,7 +58,7 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.when(F.col("_starts").isNotNull(), covered).otherwise(0).cast("long"),
+            "n_repeat_words": _here(F.when(F.col("_starts").isNotNull(), covered).otherwise(0).cast("long")),
             "_distinct": F.size(F.array_distinct("_hash")),
             "_capitals": F.regexp_count(t, F.lit("[A-Z]")),
             "_marks": F.regexp_count(t, F.lit("[.,;:!?]")),
@@ -169,13 +175,10 @@ def judge_quality(docs: DataFrame, rules: DecisionList, text: str = "text") -> D
     their verdict; columns of ``docs`` named like an added one are replaced."""
     got = text_statistics(docs.drop(*[c for c in ("base_failed", "kept", *BASE, *FEATURES) if c in docs.columns and c != text]), text)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    got = got.withColumn("base_failed", failed)
-    got = got.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~rules.rejects()))
+    got = got.withColumns({"base_failed": _here(failed), "kept": _here(F.when(failed, False).otherwise(~rules.rejects()))})
     return got.drop(*[f for f in FEATURES if f not in BASE])
 
 
 def keep_quality(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept. The row number stands between verdict and filter:
-    pushed below the statistics, the filter would repeat their expressions within each other."""
-    judged = judge_quality(docs, rules, text).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where("kept AND _row >= 0").select(*docs.columns)
+    """The rows of ``docs`` that are kept."""
+    return judge_quality(docs, rules, text).where("kept").select(*docs.columns)
