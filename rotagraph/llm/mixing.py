@@ -19,6 +19,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from rotagraph.llm.shared import packed, unpacked
+
 #: Tokens of a source that one block holds, on average.
 BLOCK_TOKENS = 1 << 18
 #: Steps of a bisection: enough for every digit of a double.
@@ -161,12 +163,13 @@ def mixed_documents(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text
     together, as often as all of them are."""
     _, given = mix(docs, seed=seed, id_col=id_col, text=text, **how)
     times = given.groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source")).agg(F.count("*").alias("_given"))
-    mine = docs.withColumn("_own_hash", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.xxhash64(text)).cast("long"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")) & F.col(how.get("source", "source")).eqNullSafe(F.col("_source"))
+    own_source = F.col(how.get("source", "source"))
+    mine = packed(docs, _own_id=F.col(id_col).cast("long"), _own_hash=F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.xxhash64(text)).cast("long"), _own_source=own_source)
+    same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")) & F.col("_own_source").eqNullSafe(F.col("_source"))
     joined = mine.join(times, same)
     # of k alike rows given g times in all, the j-th is given g // k times, and once more while j <= g mod k
     alike = Window.partitionBy("_own_hash", "_id", "_source")
     nth = joined.withColumns({"_k": F.count("*").over(alike), "_j": F.row_number().over(alike.orderBy("_own_hash"))})
-    own = F.expr("_given div _k") + F.when(F.col("_j") <= F.col("_given") % F.col("_k"), 1).otherwise(0)
-    repeated = nth.withColumn("_copies", own.cast("int")).where("_copies > 0")
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(c) for c in docs.columns])
+    times_own = F.expr("_given div _k") + F.when(F.col("_j") <= F.col("_given") % F.col("_k"), 1).otherwise(0)
+    repeated = nth.withColumn("_copies", times_own.cast("int")).where("_copies > 0")
+    return unpacked(repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))), docs.columns)

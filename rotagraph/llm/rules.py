@@ -15,7 +15,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rotagraph.llm.shared import labelled_sample, words_of
+from rotagraph.llm.shared import labelled_sample, packed, unpacked, words_of
 
 WINDOW = 8
 #: Base rule: too few words, or too many words (percent) in repeated windows.
@@ -35,8 +35,9 @@ def _here(column: Column) -> Column:
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds BASE counts and FEATURES to ``docs``. Null texts count as empty ones: all
     counts 0, all shares 0. Windows are compared by 64-bit hashes within one text."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumns({"_words": words_of(t), "_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    t = F.col("_text")
+    out = packed(docs, _text=F.coalesce(F.col(text), F.lit("")))
+    out = out.withColumns({"_words": words_of(t), "_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     out = out.withColumns({"_hash": F.transform("_words", lambda w: F.xxhash64(w)), "n_words": F.size("_words").cast("long")})
     at = lambda i: [F.get("_hash", i + k) for k in range(WINDOW)]
     out = out.withColumn(
@@ -73,7 +74,8 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumns({k: per(*v) for k, v in shares.items()})
     # the exponent with which the text's vocabulary grows: unlike a share of distinct words it hardly depends on length
     out = out.withColumn("vocabulary_growth", F.ln(F.greatest("_distinct", F.lit(1))) / F.ln(F.greatest("n_words", F.lit(2))))
-    return out.drop(*[c for c in out.columns if c.startswith("_") and c not in docs.columns])
+    added = [*BASE, *(f for f in FEATURES if f not in BASE)]
+    return unpacked(out, [c for c in docs.columns if c not in added], *added)
 
 
 @dataclass
@@ -173,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: int
 def judge_quality(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
     """``docs`` with BASE counts, ``base_failed`` and ``kept``. Repeated rows each keep
     their verdict; columns of ``docs`` named like an added one are replaced."""
-    got = text_statistics(docs.drop(*[c for c in ("base_failed", "kept", *BASE, *FEATURES) if c in docs.columns and c != text]), text)
+    got = text_statistics(docs.drop("base_failed", "kept"), text)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     got = got.withColumns({"base_failed": _here(failed), "kept": _here(F.when(failed, False).otherwise(~rules.rejects()))})
     return got.drop(*[f for f in FEATURES if f not in BASE])
@@ -181,4 +183,5 @@ def judge_quality(docs: DataFrame, rules: DecisionList, text: str = "text") -> D
 
 def keep_quality(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept."""
-    return judge_quality(docs, rules, text).where("kept").select(*docs.columns)
+    judged = judge_quality(packed(docs, _whole=F.col(text)), rules, "_whole")
+    return unpacked(judged.where("kept"), docs.columns)

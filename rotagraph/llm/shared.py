@@ -20,6 +20,17 @@ def words_of(column):
     return F.filter(F.split(F.coalesce(column, F.lit("")), SPACE), lambda w: w != "")
 
 
+def packed(df: DataFrame, **columns) -> DataFrame:
+    """One struct ``_row`` with all columns of ``df``, and ``columns``: whatever names rows
+    bring, they cannot clash with those of an operator."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[v.alias(k) for k, v in columns.items()])
+
+
+def unpacked(df: DataFrame, names: list[str], *more) -> DataFrame:
+    """The columns ``names`` of ``_row``, and ``more``."""
+    return df.select(*[F.col("_row").getField(c).alias(c) for c in names], *more)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, bound: int, keep=None) -> DataFrame:
     """(id, text, y): at most ``bound`` labelled rows of each class, those of the smallest
     hashes of their ids, joined to their texts. ``bound`` is the documented limit of what

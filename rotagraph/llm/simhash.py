@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rotagraph.llm.shared import bounded, map_batches, utf8
+from rotagraph.llm.shared import bounded, map_batches, packed, unpacked, utf8
 from rotagraph.operators.components import connected
 from rotagraph.session import written
 
@@ -231,7 +231,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     of equal rows one."""
     _, by_fp = _components(docs, id_col, text)
     keep = by_fp.select("first.id", "first.text_hash").distinct().toDF("_keep_id", "_keep_hash")
-    mine = docs.withColumns({"_keep_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_keep_hash": _text_hash(text)})
+    mine = packed(docs, _keep_id=F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), _keep_hash=_text_hash(text))
     stay = mine.join(keep, ["_keep_id", "_keep_hash"], "left_semi")
     one = Window.partitionBy("_keep_id", "_keep_hash").orderBy("_keep_id")
-    return stay.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*docs.columns)
+    return unpacked(stay.withColumn("_nth", F.row_number().over(one)).where("_nth = 1"), docs.columns)

@@ -74,6 +74,7 @@ def test_decision_list_learns(spoken):
 
 def test_quality_of_odd_rows(odd, none, labels):
     learned = rules.fit(odd, labels)
+    assert rules.keep_quality(odd, learned).columns == odd.columns
     rows = rules.judge_quality(odd, learned).collect()
     assert len(rows) == odd.count() and not any(r.kept for r in rows if r.text in (None, ""))
     assert rules.judge_quality(none, learned).count() == 0
