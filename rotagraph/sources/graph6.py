@@ -16,7 +16,7 @@ HEADER = ">>graph6<<"
 def read_g6(spark: SparkSession, path: str) -> DataFrame:
     """(src, line_no, g6) of graph6 files: lines in file order, the header stripped. Line
     numbers count within a file, so a file is read as one split."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("src"), F.posexplode(F.split(F.rtrim(F.regexp_replace("value", "\r", ""), F.lit("\n")), "\n")).alias("at", "g6"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("src"), F.posexplode(F.split(F.rtrim(F.regexp_replace("value", "\r", ""), F.lit("\n")), "\n")).alias("at", "g6"))
     return lines.select("src", (F.col("at") + 1).alias("line_no"), F.regexp_replace("g6", "^>>graph6<<", "").alias("g6")).where("g6 != ''")
 
 

@@ -134,7 +134,7 @@ def parse_texts(df: DataFrame, text: str = "text") -> DataFrame:
 
 def read_graphs(spark: SparkSession, path: str) -> DataFrame:
     """(src, PARSED) of files that hold one graph each, in any form."""
-    return parse_texts(spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("src"), F.col("value").alias("text")))
+    return parse_texts(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("src"), F.col("value").alias("text")))
 
 
 def adjacency_texts(graphs: DataFrame, arcs: DataFrame, base: int = 0, id_col: str = "graph_id") -> DataFrame:
