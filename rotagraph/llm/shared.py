@@ -57,6 +57,7 @@ def map_batches(df: DataFrame, f, schema: str) -> DataFrame:
             if batch.num_rows:
                 out = f(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.name], type=x.type) for x in arrow], schema=arrow)
+        release()
 
     return bounded(df).mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from rotagraph.llm.shared import bounded, labelled_sample, utf8
+from rotagraph.llm.shared import bounded, labelled_sample, release, utf8
 
 #: The classifier is fitted on at most so many labelled rows of each class.
 SAMPLE = 3000
@@ -246,6 +246,8 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sco
     @arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
-        return pa.array(model.scores([x or b"" for x in texts.cast(kind).to_pylist()]), pa.float64())
+        scores = pa.array(model.scores([x or b"" for x in texts.cast(kind).to_pylist()]), pa.float64())
+        release()
+        return scores
 
     return bounded(docs).withColumn(score, scored(F.col(text)))
