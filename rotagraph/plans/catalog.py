@@ -15,7 +15,7 @@ from rotagraph.functions import kernels
 from rotagraph.operators import collections, components, embedding, relational, verify
 from rotagraph.plans import derive
 from rotagraph.session import table
-from rotagraph.sources import graph6, texts
+from rotagraph.sources import graph6, sections, texts
 
 ID = "graph_id"
 
@@ -74,6 +74,11 @@ def _stats(spark: SparkSession, d: str) -> DataFrame:
     return collections.statistics(decided, ["cmd", "n", "m"])
 
 
+def _by_command(spark: SparkSession, d: str) -> DataFrame:
+    lines = derive.event_lines(spark, d, "5day").groupBy("g6").agg(F.count("*").alias("weight"))
+    return collections.statistics(embedding.decide(lines, list("pdo234")).join(lines, "g6"), ["cmd"])
+
+
 _STATS_SQL = "WITH {arcs}, {rules}, v AS ({union}) SELECT cmd, n, m, CAST(count(*) AS BIGINT) AS num_graphs, CAST(count(*) FILTER (verdict = 'OK') AS BIGINT) AS num_ok, CAST(count(*) FILTER (verdict <> 'OK') AS BIGINT) AS num_nonembeddable, 'SUCCESS' AS error_flag FROM v GROUP BY 1, 2, 3".format(
     arcs=_arcs_sql("5day"), rules=_RULES, union=" UNION ALL ".join(f"SELECT graph_id, '{c}' AS cmd, 5 AS n, m, CASE WHEN {x} THEN 'NONEMBEDDABLE' ELSE 'OK' END AS verdict FROM graphs" for c, x in _OFFENDS.items())
 )
@@ -182,6 +187,10 @@ def queries() -> dict:
         "drawing_pictures": lambda s, d: embedding.rendered(embedding.decide(derive.event_lines(s, d, "5day"), "d", True)),
         "random_planar_verdicts": lambda s, d: collections.statistics(embedding.verdicts(_generated(s), "p"), ["cmd", "n", "m"]),
         "edge_deletion": edge_deletion,
+        "edge_list_text": lambda s, d: sections.edge_list_texts(five(s, d)),
+        "drawing_sections": lambda s, d: sections.drawing_sections(embedding.decide(derive.event_lines(s, d, "5day"), "d", True)),
+        "face_texts": lambda s, d: sections.face_texts(embedding.decide(derive.event_lines(s, d, "5day"), "p", True)),
+        "batch_result_lines": lambda s, d: sections.batch_lines(_by_command(s, d), "events.g6"),
     }
     return out | {f"verdict_{c}5": _verdicts(c, "5day") for c in "pdo234"} | {"verdict_p_users": _verdicts("p", "user")}
 
@@ -243,6 +252,8 @@ def oracle_sql() -> dict[str, str]:
         "verdict_3_bip3": _bip3_sql("3"),
         "certificate_failures": "SELECT '' AS g6, '' AS reason WHERE false",
         "visibility_conflicts": "SELECT '' AS g6, 0 AS u, 0 AS w, 0 AS v WHERE false",
+        "edge_list_text": f"{five} SELECT graph_id, string_agg((u + 1)::VARCHAR || ' ' || (v + 1)::VARCHAR || chr(10), '' ORDER BY u, v) || '0 0' || chr(10) AS text FROM edges GROUP BY 1",
+        "batch_result_lines": f"SELECT cmd, 'FILENAME=\"events.g6\" DURATION=\"0.000\"' || chr(10) || '-' || cmd || ' ' || sum(num_graphs)::BIGINT || ' ' || sum(num_ok)::BIGINT || ' ' || sum(num_nonembeddable)::BIGINT || ' SUCCESS' || chr(10) AS text FROM ({_STATS_SQL}) GROUP BY cmd",
         "edge_deletion": "SELECT unnest(['2', '3', '4']) AS cmd, CAST(0 AS BIGINT) AS invalid_ok",
     }
     return out | {f"verdict_{c}5": _verdict_sql(c, "5day") for c in "pdo234"} | {"verdict_p_users": _verdict_sql("p", "user")}
