@@ -40,5 +40,12 @@ def written(df, what: str, **options: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> bool:
+    """Deletes the tables that this library has left in the shared folder; frames that were
+    built on them can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/rotagraph")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

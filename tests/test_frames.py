@@ -191,3 +191,12 @@ def test_entry_without_the_optional_parts(spark):
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_forgetting_shared_tables(spark):
+    from rotagraph.session import forget, shared_dir, written
+
+    kept = written(spark.range(3), "gone")
+    assert kept.count() == 3 and forget(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/rotagraph")
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
