@@ -7,13 +7,15 @@ remaining path text of the rule is compared, and the longest rule wins.
 
 Native: only DataFrame expressions. Distinct (host, path) pairs are expanded once, so a
 host or page that holds a third of all rows costs one expansion, and the verdicts return
-to the rows by an inner equi-join whose large partitions Spark can split.
+to the rows by an equi-join whose large partitions Spark can split.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from rotagraph.session import written
+
 #: Rules are broadcast up to so many rows; beyond that Spark shuffles both sides.
 BROADCAST_RULES = 10_000
 
@@ -90,5 +92,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     rule = F.concat("r_host", "r_path")
     rank = F.struct(F.length(rule), F.length("r_host"), F.col("r_verdict"), rule.alias("rule"))
     best = met.groupBy("host", "path").agg(F.max(rank).alias("best")).select("host", "path", F.col("best.rule").alias("rule"), F.col("best.r_verdict").alias("verdict"))
+    best = written(best, "url-verdicts")  # a plain table, so that a skewed join can be split
     judged = rows.join(best, ["host", "path"], "left")
     return judged.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
