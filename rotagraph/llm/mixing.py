@@ -23,6 +23,8 @@ from rotagraph.llm.shared import packed, unpacked
 
 #: Tokens of a source that one block holds, on average.
 BLOCK_TOKENS = 1 << 18
+#: Figures of sources are broadcast up to so many; beyond, Spark shuffles.
+BROADCAST_SOURCES = 10_000
 #: Steps of a bisection: enough for every digit of a double.
 STEPS = 100
 
@@ -137,7 +139,9 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None
     mixture = solve(sums, budget, target_entropy, most_repeats)
     plan = [(s, mixture.quotas[s], n, max(1, n // BLOCK_TOKENS), max(1, -(-mixture.quotas[s] // n))) for s, n in sums.items()]
     schema = "p_source string, quota long, source_tokens long, blocks long, epochs long"
-    plan_df = F.broadcast(spark.createDataFrame(plan, schema))  # as many rows as sources
+    plan_df = spark.createDataFrame(plan, schema)
+    if len(plan) <= BROADCAST_SOURCES:
+        plan_df = F.broadcast(plan_df)
     with_block = own.join(plan_df, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("block", _mix(F.lit(seed), "id", "text_hash") % F.col("blocks"))
     sizes = with_block.groupBy("source", "block", "quota", "source_tokens", "epochs").agg(F.sum("n_tokens").alias("block_tokens"))
     every = sizes.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
