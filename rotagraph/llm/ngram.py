@@ -21,6 +21,7 @@ hashes.
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,10 +35,13 @@ from rotagraph.session import PACKED, written
 CHUNK = 4 << 20
 #: Tokens of a chunk that are scored at once.
 SLICE = 1 << 17
+#: Bytes of packed tokens in one row: rows of a megabyte are hard on a Java heap.
+PIECE = 1 << 18
 #: Context-frequency buckets: by the number of binary digits of c(h), the last open.
 FREQUENCIES = 20
 #: Cells per decade of the grid of estimates that expectation-maximisation runs on.
 CELLS = 16
+READ_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
 END = b"\n"  # the end token; no word holds a line feed
 
 ROW = "chunk long, kind int, bucket int, payload binary"
@@ -136,7 +140,8 @@ class Chunk:
         ids = np.array([i if i is not None else 0 for i in self.ids], np.int64)
         null = np.array([i is None for i in self.ids], np.uint8)
         tokens = _pack(ids, null, modes, lengths, flat, np.array([end, len(hashes)], np.int64), _narrow(pair_bucket))
-        return [*out, (chunk, TOKENS, chunk % buckets, tokens)]
+        pieces = [tokens[lo : lo + PIECE] for lo in range(0, len(tokens), PIECE)]
+        return [*out, *((chunk, TOKENS, chunk % buckets, struct.pack(">II", i, len(pieces)) + p) for i, p in enumerate(pieces))]
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -302,16 +307,19 @@ def _assembled(rows: DataFrame, f, schema: str) -> DataFrame:
             lo = hi
 
     def run(batches):
-        now, held = None, {}
+        now, held, pieces = None, {}, {}
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk, kind, payload = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(3)[i].as_py()
                 if chunk != now:
-                    now, held = chunk, {WORDS: [], PAIRS: []}
-                if kind == TOKENS:  # the last row of its chunk
-                    yield from one(held, payload)
-                    release()
-                    held = {WORDS: [], PAIRS: []}
+                    now, held, pieces = chunk, {WORDS: [], PAIRS: []}, {}
+                if kind == TOKENS:  # after all keys of its chunk, in pieces of any order
+                    place, total = struct.unpack(">II", payload[:8])
+                    pieces[place] = payload[8:]
+                    if len(pieces) == total:
+                        yield from one(held, b"".join(pieces[i] for i in range(total)))
+                        held, pieces = {WORDS: [], PAIRS: []}, {}
+                        release()
                 else:
                     held[kind].append(_unpack(payload))
 
@@ -330,6 +338,8 @@ def score(docs: DataFrame, learns, id_col: str = "doc_id", text: str = "text", b
     documents N and V are 0. Other columns are not read.
     """
     spark = docs.sparkSession
+    if spark.conf.get(READ_ROWS) == "4096":  # Spark's own default: rows that a Parquet reader holds at once
+        spark.conf.set(READ_ROWS, "256")
     held = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(8)) == 0
     mode = F.when(~F.coalesce(learns, F.lit(False)), 2).when(held, 1).otherwise(0)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), mode.cast("int").alias("mode"), F.col(text).alias("text"))
