@@ -26,6 +26,8 @@ from rotagraph.session import fresh_path, written
 
 #: Ids per sequence, sequences per record batch.
 SEQUENCE, BATCH = 2048, 64
+#: Ids that are read back together.
+AT_ONCE = 1 << 22
 #: Segments whose ids a worker remembers: those met once of late, and those met again.
 YOUNG, REMEMBERED = 150_000, 400_000
 
@@ -67,6 +69,7 @@ class SegmentEncoder:
         shown = dict(zip(plain, plain, strict=True)) | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
         self.letters = shown  # the character that stands for each byte in such a vocabulary
         self.closing: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}  # the ids of a text's first segment
         self.young: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}  # the ids of a space and the segment that follows it
 
@@ -160,8 +163,12 @@ class SegmentEncoder:
             got[i] = young.get(s, b"")
         whole = [k for k, p in enumerate(parts) if p is None]
         plain = dict(zip(whole, self._ids([texts[k] for k in whole]), strict=True))
-        firsts = iter(self._ids([p[0] for p in parts if p]))
-        return [plain[k] if p is None else np.concatenate((next(firsts), np.frombuffer(b"".join(p[1]), self.dtype))) for k, p in enumerate(parts)]
+        firsts = self.firsts
+        if len(firsts) > YOUNG:
+            firsts.clear()
+        unseen = list({p[0] for p in parts if p}.difference(firsts))
+        firsts.update(zip(unseen, (x.tobytes() for x in self._ids(unseen)), strict=True))
+        return [plain[k] if p is None else np.frombuffer(firsts[p[0]] + b"".join(p[1]), self.dtype) for k, p in enumerate(parts)]
 
 
 _encoders: dict[str, SegmentEncoder] = {}
@@ -273,6 +280,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str
                 if writer is None:
                     encoder = encoder_of(tokenizer)
                     dtype = np.uint16 if max(encoder.size, end_id + 1) <= 1 << 16 else np.uint32
+                    end = np.array([end_id], dtype)
                     writer = ShardWriter(sink := _open(base + ".arrow", True), dtype, sequence)
                     kept = _open(base + ".index.arrow", True)
                     index = pa.ipc.new_file(kept, INDEX)
@@ -280,7 +288,8 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str
                 for ids in encoder.encode(part.column(1).to_pylist()):
                     starts.append(writer.n)
                     counts.append(len(ids) + 1)
-                    writer.add(np.append(ids, writer.dtype.type(end_id)).astype(writer.dtype, copy=False))
+                    writer.add(np.asarray(ids, writer.dtype))
+                    writer.add(end)
                 index.write_batch(pa.RecordBatch.from_arrays([part.column(0), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=INDEX))
                 n_docs += part.num_rows
         if writer is not None:
@@ -318,7 +327,12 @@ def read_token_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     for k in range(index.num_record_batches):
                         part = index.get_batch(k)
                         starts, counts = part.column(1).to_pylist(), part.column(2).to_pylist()
-                        crcs = [zlib.crc32(reader.ids(s, n).astype("<u4").tobytes()) for s, n in zip(starts, counts, strict=True)]
+                        # the documents of an index batch are consecutive: one range of ids
+                        if sum(counts) <= AT_ONCE:
+                            raw = memoryview(reader.ids(starts[0], sum(counts)).astype("<u4").tobytes())
+                            crcs = [zlib.crc32(raw[4 * (s - starts[0]) : 4 * (s - starts[0] + n)]) for s, n in zip(starts, counts, strict=True)]
+                        else:
+                            crcs = [zlib.crc32(reader.ids(s, n).astype("<u4").tobytes()) for s, n in zip(starts, counts, strict=True)]
                         yield pa.RecordBatch.from_arrays([part.column(0), pa.array([row["before"] + s for s in starts], pa.int64()), part.column(2), pa.array(crcs, pa.int64())], schema=arrow)
 
     return bounded(rows).mapInArrow(run, schema)
