@@ -32,15 +32,17 @@ def unpacked(df: DataFrame, names: list[str], *more) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, bound: int, keep=None) -> DataFrame:
-    """(id, text, y): at most ``bound`` labelled rows of each class, those of the smallest
-    hashes of their ids, joined to their texts. ``bound`` is the documented limit of what
-    a classifier is fitted on; the small side is broadcast, as its size is known."""
+    """(id, text, y, weight): at most ``bound`` labelled rows of each class, those of the
+    smallest hashes of their ids, joined to their texts. ``bound`` is the documented limit of
+    what a classifier is fitted on; the small side is broadcast, as its size is known.
+    ``weight``: how many labelled ids of its class, all counted, a chosen one stands for."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y")).where("_id IS NOT NULL AND y IN (0, 1)")
     if keep is not None:
         known = known.where(keep("_id"))
     known = known.groupBy("_id").agg(F.max("y").alias("y"))
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(bound) for y in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])
+    sizes = known.groupBy("y").agg(F.count("*").alias("n"))
+    chosen = parts[0].unionByName(parts[1]).join(F.broadcast(sizes), "y").select("_id", "y", (F.col("n") / F.least("n", F.lit(bound))).alias("weight"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col("text"))
     return texts.join(F.broadcast(chosen), "_id")
 

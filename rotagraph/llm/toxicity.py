@@ -6,7 +6,9 @@ words, and the rates of capitals, punctuation and obfuscation. Both lexicons are
 from labels: what occurs in significantly more toxic than other documents. Nothing but
 the text enters a score.
 
-Fitting uses at most SAMPLE labelled rows of each class. Document frequencies of the
+Fitting uses at most SAMPLE labelled rows of each class; where that leaves rows of a class
+out, those in the sample weigh as much as all labels of it, so a score means the same
+probability at every size of the table. Document frequencies of the
 sample are counted on the executors; the driver gets the lexicon and one short feature
 vector per sampled row.
 """
@@ -142,17 +144,19 @@ class Trees:
         return out
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 32, smooth: float = 2.0, least: float = 1.0) -> Trees:
-    """Second-order boosting with histograms over quantile bins."""
+def fit_trees(x: np.ndarray, y: np.ndarray, weights: tuple[float, float] = (1.0, 1.0), trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 32, smooth: float = 2.0, least: float = 1.0) -> Trees:
+    """Second-order boosting with histograms over quantile bins. ``weights``: of a row with
+    y 0, and of one with y 1."""
+    w = np.where(y == 1, weights[1], weights[0])
     cuts = [np.unique(np.quantile(np.unique(x[:, j]), np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)
-    prior = (y.sum() + 0.5) / (len(y) + 1)
+    prior = ((w * y).sum() + 0.5) / (w.sum() + 1)
     start = float(np.log(prior / (1 - prior)))
     margin = np.full(len(y), start)
     inner, features, thresholds, leaves = 2**depth - 1, [], [], []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        g, h = p - y, p * (1 - p)
+        g, h = w * (p - y), w * p * (1 - p)
         f, t = np.zeros(inner, int), np.full(inner, np.inf)
         at = np.zeros(len(y), int)
         for node in range(inner):
@@ -180,16 +184,18 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rat
     return Trees(np.array(features), np.array(thresholds), np.array(leaves), start)
 
 
-def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots (margin, probability), kept off 0 and 1 by half a row."""
+def isotonic(margin: np.ndarray, y: np.ndarray, weights: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: knots (margin, probability), kept off 0 and 1 by half a row.
+    ``weights``: of a row with y 0, and of one with y 1."""
     order = np.argsort(margin, kind="stable")
     blocks: list[list[float]] = []  # rows, positives, least and largest margin
     for m, v in zip(margin[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([1, v, m, m])
+        w = weights[int(v)]
+        blocks.append([w, w * v, m, m])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
             n, s, _, hi = blocks.pop()
             blocks[-1] = [blocks[-1][0] + n, blocks[-1][1] + s, blocks[-1][2], hi]
-    knots = [(m, (s + 0.05) / (n + 0.1)) for n, s, lo, hi in blocks for m in ((lo, hi) if hi > lo else (lo,))]
+    knots = [(m, (s + 0.05 * weights[1]) / (n + 0.05 * sum(weights))) for n, s, lo, hi in blocks for m in ((lo, hi) if hi > lo else (lo,))]
     a = np.array(knots or [(0.0, 0.0)])
     return a[:, 0], np.maximum.accumulate(a[:, 1])
 
@@ -217,7 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep=None, s
 
     rows = written(labelled_sample(docs, labels, "toxic", id_col, sample, keep), "toxicity-sample").withColumn("part", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(5)))
     # an id may stand for several rows: all of them are rows of the sample
-    count = {(r.y, r.last): r["count"] for r in rows.groupBy("y", (F.col("part") == 4).alias("last")).count().collect()}
+    got = rows.groupBy("y", (F.col("part") == 4).alias("last")).agg(F.count("*").alias("n"), F.max("weight").alias("weight")).collect()
+    count, weight = {(r.y, r.last): r.n for r in got}, {r.y: r.weight for r in got}
     few = any(min(count.get((y, False), 0), count.get((y, True), 0)) < 5 for y in (0, 1))
     train = rows if few else rows.where("part != 4")
     sizes = [count.get((y, False), 0) + (count.get((y, True), 0) if few else 0) for y in (0, 1)]
@@ -235,8 +242,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep=None, s
         p = 0.5 if not len(y) else float(y[0])
         return ToxicityModel(lexicons, Trees(np.zeros((0, 7), int), np.zeros((0, 7)), np.zeros((0, 8)), 0.0), (np.array([0.0]), np.array([p])))
     own, last = (np.ones(len(y), bool),) * 2 if few else (part != 4, part == 4)
-    trees = fit_trees(x[own], y[own])
-    return ToxicityModel(lexicons, trees, isotonic(trees.margin(x[last]), y[last]))
+    weights = weight[0], weight[1]
+    trees = fit_trees(x[own], y[own], weights)
+    return ToxicityModel(lexicons, trees, isotonic(trees.margin(x[last]), y[last], weights))
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score") -> DataFrame:

@@ -43,6 +43,19 @@ def test_isotonic_is_monotone():
     assert (np.diff(x) >= 0).all() and (np.diff(y) >= 0).all() and 0 < y[0] < y[-1] < 1
 
 
+def test_score_does_not_depend_on_the_sample_bound(spark):
+    # every toxic text and three in ten of the others end in marks; one in ten is toxic
+    r = np.random.default_rng(3)
+    rows = []
+    for i in range(4000):
+        toxic = i % 10 == 0
+        rows.append((i, " ".join(r.choice(["lorem", "ipsum", "dolor", "amet", "tempor"], 30)) + (" !!" if toxic or r.random() < 0.3 else ""), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache()
+    fixed = [x[1].encode() for x in rows if x[1].endswith("!!")][:300]
+    whole, bounded = (toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), sample=n).scores(fixed).mean() for n in (4000, 400))
+    assert 0.2 < whole < 0.35 and abs(whole - bounded) < 0.08
+
+
 def brute(text):
     import re
 
