@@ -138,6 +138,23 @@ def test_components_and_large_graphs(spark):
         assert {r.root: r.verdict for r in large.component_verdicts(df, cmd).collect() if r.root in expected} == expected
 
 
+def test_components_of_all_lines(spark, tmp_path):
+    from rotagraph.plans import catalog
+
+    # chains of parts and suppliers, each in months of its own
+    rows = [(10 * k + i, 10 * k + i + j, f"{1992 + k}-0{1 + i}-15") for k in range(6) for i in range(4) for j in range(2)]
+    df = spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_shipdate string").withColumn("l_shipdate", F.to_date("l_shipdate"))
+    df.write.parquet(str(tmp_path / "lineitem.parquet"))
+    root: dict = {}
+    for _ in range(20):
+        for part, supplier, _day in rows:
+            a, b = 2 * part, 2 * supplier + 1
+            root[a] = root[b] = min(root.get(a, a), root.get(b, b))
+    want = {r: list(root.values()).count(r) for r in root.values()}
+    got = {r.root: r.vertices for r in catalog.queries()["components_all"](spark, str(tmp_path)).collect()}
+    assert len(want) == 6 and got == want
+
+
 def test_collections(spark):
     a = spark.createDataFrame([(1, "A"), (2, "B"), (3, "A"), (4, "C")], "line_no int, g6 string")
     b = spark.createDataFrame([(1, "A"), (9, "B")], "line_no int, g6 string")
