@@ -4,7 +4,8 @@ Statistics and verdicts are DataFrame expressions only (native). The list is lea
 the driver from the statistics of a bounded labelled sample by sequential covering: a
 conjunction of thresholds is grown by information gain on two thirds of the sample, its
 last conditions are pruned on the other third, the rows it covers are removed, and the
-next one follows while rules stay precise. The list becomes one ordered CASE expression.
+next one follows while rules stay precise. Rows of the sample count as all labels of their
+class, so a rule's precision is that of the corpus at every size. The list becomes one ordered CASE expression.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ class DecisionList:
         return "\n".join("reject if " + " and ".join(f"{f} {op} {t:.6g}" for f, op, t in r) for r in self.rules) + "\nelse keep"
 
 
-def _gain(p: np.ndarray, n: np.ndarray, p0: int, n0: int) -> np.ndarray:
+def _gain(p: np.ndarray, n: np.ndarray, p0: float, n0: float) -> np.ndarray:
     """FOIL's information gain of covering p and n instead of p0 and n0."""
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.where(p > 0, p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0))), -np.inf)
@@ -110,11 +111,11 @@ def _met(x: np.ndarray, rule: list) -> np.ndarray:
     return out
 
 
-def _grow(x: np.ndarray, bad: np.ndarray, longest: int) -> list:
+def _grow(x: np.ndarray, bad: np.ndarray, longest: int, weights: tuple[float, float]) -> list:
     rule: list = []
     inside = np.ones(len(x), bool)
     while len(rule) < longest and (~bad & inside).any():
-        p0, n0 = int((bad & inside).sum()), int((~bad & inside).sum())
+        p0, n0 = weights[0] * int((bad & inside).sum()), weights[1] * int((~bad & inside).sum())
         best = (1e-9, None)
         for j in range(x.shape[1]):
             order = np.argsort(x[inside, j], kind="stable")
@@ -122,7 +123,7 @@ def _grow(x: np.ndarray, bad: np.ndarray, longest: int) -> list:
             cut = np.flatnonzero(v[1:] > v[:-1])
             if not len(cut):
                 continue
-            p, n = np.cumsum(b)[cut], np.cumsum(~b)[cut]
+            p, n = weights[0] * np.cumsum(b)[cut], weights[1] * np.cumsum(~b)[cut]
             t = (v[cut] + v[cut + 1]) / 2
             for op, g in (("<=", _gain(p, n, p0, n0)), (">", _gain(p0 - p, n0 - n, p0, n0))):
                 k = int(np.argmax(g))
@@ -135,31 +136,33 @@ def _grow(x: np.ndarray, bad: np.ndarray, longest: int) -> list:
     return rule
 
 
-def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0.99, least: int = 5, most_rules: int = 16, longest: int = 4, clean_cost: float = 10.0) -> DecisionList:
+def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0.99, least: int = 5, most_rules: int = 16, longest: int = 4, clean_cost: float = 10.0, weights: tuple[float, float] = (1.0, 1.0)) -> DecisionList:
     """Sequential covering over rows ``x`` (their order decides grow and prune thirds).
     Pruning weighs a clean row lost as ``clean_cost`` bad rows caught. A rule must cover
     ``least`` bad rows, reach ``precision`` on all rows left and be worth more than 0 on
-    the pruning third. Without rows of both classes the list is empty: all are kept."""
+    the pruning third. ``weights``: how many labelled rows a bad row, and a clean one, stand
+    for; ``least`` and the cover in the trace count rows at hand. Without rows of both classes the list is empty: all are kept."""
     out = DecisionList()
     left = np.ones(len(x), bool)
     third = np.arange(len(x)) % 3 == 2
     while len(out.rules) < most_rules and (bad & left).sum() >= least and (~bad).any():
-        rule = _grow(x[left & ~third], bad[left & ~third], longest)
+        rule = _grow(x[left & ~third], bad[left & ~third], longest, weights)
         if not rule:
             break
 
         def worth(r: list) -> float:
             m = _met(x, r) & left & third
-            p, n = int((bad & m).sum()), int((~bad & m).sum())
+            p, n = weights[0] * int((bad & m).sum()), weights[1] * int((~bad & m).sum())
             return (p - clean_cost * n) / (p + n) if p + n else -clean_cost
 
         rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=worth)
         m = _met(x, rule) & left
         p, n = int((bad & m).sum()), int((~bad & m).sum())
-        if p < least or p < precision * (p + n) or worth(rule) <= 0:
+        precise = weights[0] * p / (weights[0] * p + weights[1] * n) if p else 0.0
+        if p < least or precise < precision or worth(rule) <= 0:
             break
         out.rules.append([(names[j], op, t) for j, op, t in rule])
-        out.trace.append((p / (p + n), p + n))
+        out.trace.append((precise, p + n))
         left &= ~m
     return out
 
@@ -167,9 +170,10 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: int = SAMPLE) -> DecisionList:
     """Learns the list from at most ``sample`` labelled rows of each quality."""
     rows = labelled_sample(docs, labels, "quality", id_col, sample)
-    got = text_statistics(rows).select("_id", "y", *FEATURES).toPandas().sort_values(["_id", *FEATURES]).drop_duplicates("_id")
+    got = text_statistics(rows).select("_id", "y", "weight", *FEATURES).toPandas().sort_values(["_id", *FEATURES]).drop_duplicates("_id")
     got = got.iloc[np.random.default_rng(0).permutation(len(got))]
-    return learn(got[FEATURES].to_numpy(float).reshape(-1, len(FEATURES)), got["y"].to_numpy(int) == 0, FEATURES)
+    weight = dict(zip(got["y"], got["weight"]))
+    return learn(got[FEATURES].to_numpy(float).reshape(-1, len(FEATURES)), got["y"].to_numpy(int) == 0, FEATURES, weights=(weight.get(0, 1.0), weight.get(1, 1.0)))
 
 
 def judge_quality(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:

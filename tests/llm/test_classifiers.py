@@ -85,6 +85,16 @@ def test_decision_list_learns(spoken):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in rows)
 
 
+def test_precision_is_that_of_all_labels(spark):
+    # three in four bad texts hold signs, and 10 of 2000 clean ones, one of them within the bound
+    ids = spark.range(200, 2200).orderBy(F.xxhash64("id"), "id").collect()
+    marked = {r.id for rank, r in enumerate(ids) if rank % 200 == 100} | set(range(150))
+    rows = [(i, "lorem ipsum dolor amet tempor " * 5 + ("### $$$" if i in marked else "magna sit"), int(i >= 200)) for i in range(2200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    for bound in (2000, 200):
+        assert rules.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"), sample=bound).rules == [], bound
+
+
 def test_quality_of_odd_rows(odd, none, labels):
     learned = rules.fit(odd, labels)
     assert rules.keep_quality(odd, learned).columns == odd.columns
