@@ -170,7 +170,7 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: int = SAMPLE) -> DecisionList:
     """Learns the list from at most ``sample`` labelled rows of each quality."""
     rows = labelled_sample(docs, labels, "quality", id_col, sample)
-    got = text_statistics(rows).select("_id", "y", "weight", *FEATURES).toPandas().sort_values(["_id", *FEATURES]).drop_duplicates("_id")
+    got = text_statistics(rows).select("_id", "y", "weight", *FEATURES).toPandas().sort_values("_id")
     got = got.iloc[np.random.default_rng(0).permutation(len(got))]
     weight = dict(zip(got["y"], got["weight"]))
     return learn(got[FEATURES].to_numpy(float).reshape(-1, len(FEATURES)), got["y"].to_numpy(int) == 0, FEATURES, weights=(weight.get(0, 1.0), weight.get(1, 1.0)))

@@ -35,7 +35,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     """(id, text, y, weight): at most ``bound`` labelled rows of each class, those of the
     smallest hashes of their ids, joined to their texts. ``bound`` is the documented limit of
     what a classifier is fitted on; the small side is broadcast, as its size is known.
-    ``weight``: how many labelled ids of its class, all counted, a chosen one stands for."""
+    ``weight``: how many labelled ids of its class, all counted, a chosen one stands for.
+    Of several rows with a chosen id the text of the smallest hash is kept, by partial
+    aggregation, so copies of one id never gather."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y")).where("_id IS NOT NULL AND y IN (0, 1)")
     if keep is not None:
         known = known.where(keep("_id"))
@@ -44,7 +46,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     sizes = known.groupBy("y").agg(F.count("*").alias("n"))
     chosen = parts[0].unionByName(parts[1]).join(F.broadcast(sizes), "y").select("_id", "y", (F.col("n") / F.least("n", F.lit(bound))).alias("weight"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col("text"))
-    return texts.join(F.broadcast(chosen), "_id")
+    rows = texts.join(F.broadcast(chosen), "_id")
+    one = rows.groupBy("_id", "y", "weight").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("_least"))
+    return one.select("_id", F.col("_least.text").alias("text"), "y", "weight")
 
 
 def map_batches(df: DataFrame, f, schema: str) -> DataFrame:

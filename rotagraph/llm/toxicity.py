@@ -222,7 +222,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep=None, s
     from rotagraph.session import written
 
     rows = written(labelled_sample(docs, labels, "toxic", id_col, sample, keep), "toxicity-sample").withColumn("part", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(5)))
-    # an id may stand for several rows: all of them are rows of the sample
     got = rows.groupBy("y", (F.col("part") == 4).alias("last")).agg(F.count("*").alias("n"), F.max("weight").alias("weight")).collect()
     count, weight = {(r.y, r.last): r.n for r in got}, {r.y: r.weight for r in got}
     few = any(min(count.get((y, False), 0), count.get((y, True), 0)) < 5 for y in (0, 1))

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rotagraph.llm import rules, toxicity
+from rotagraph.llm.shared import labelled_sample
 
 
 @pytest.fixture(scope="module")
@@ -85,6 +86,13 @@ def test_decision_list_learns(spoken):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in rows)
 
 
+def test_sample_has_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"copy {i}") for i in range(300)] + [(2, None), (2, "two"), (3, "three")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    got = [sorted(map(tuple, labelled_sample(d, labels, "toxic", "doc_id", 10).collect()), key=lambda r: r[0]) for d in (docs, docs.repartition(7))]
+    assert [r[0] for r in got[0]] == [1, 2, 3] and got[0] == got[1]
+
+
 def test_precision_is_that_of_all_labels(spark):
     # three in four bad texts hold signs, and 10 of 2000 clean ones, one of them within the bound
     ids = spark.range(200, 2200).orderBy(F.xxhash64("id"), "id").collect()
