@@ -49,7 +49,7 @@ def tokenizer_path(name: str) -> str:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokenbin.encode_to_shards(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return tokenbin.encode_to_shards(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2, special=True)
 
 
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,12 +46,15 @@ class SegmentEncoder:
     that a visible character follows, so a text is the concatenation of segments cut
     there, and so are its ids. New segments go to the library in long runs, which are
     texts of the same kind; the bytes that each id stands for tell where a segment ends.
+
+    Strings of added tokens in a text are ordinary text, or with ``special`` become their
+    ids, as in a plain call of the library; texts that hold one are then encoded whole.
     """
 
     #: Characters of new segments that are encoded as one text.
     RUN = 8192
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,6 +62,7 @@ class SegmentEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.size = self.tokenizer.get_vocab_size()
         # a token of a byte-level vocabulary has one character for each byte
@@ -79,6 +83,13 @@ class SegmentEncoder:
             out += [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts[lo : lo + 16], add_special_tokens=False)]
         return out
 
+    def _special_ids(self, texts: list[str]) -> list[np.ndarray]:
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return self._ids(texts)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def _learn(self, segments: list[str]) -> None:
         """New segments. Letters are one pre-token, which the library's model takes as it
         is, and closing punctuation after them is another; the rest is encoded in runs."""
@@ -143,7 +154,12 @@ class SegmentEncoder:
         if len(young) > YOUNG:
             young.clear()
         parts, gaps, new = [], [], set()
+        held = [k for k, text in enumerate(texts) if any(a in text for a in self.added)]
+        apart = dict(zip(held, self._special_ids([texts[k] for k in held]), strict=True))
         for k, text in enumerate(texts):
+            if k in apart:
+                parts.append(None)
+                continue
             first, *segments = text.split(" ")
             got = list(map(known.get, segments))
             missing = [i for i, x in enumerate(got) if x is None] if None in got else []
@@ -161,8 +177,8 @@ class SegmentEncoder:
         self._learn([s for s in new if s and not s[0].isspace()])
         for got, i, s in gaps:
             got[i] = young.get(s, b"")
-        whole = [k for k, p in enumerate(parts) if p is None]
-        plain = dict(zip(whole, self._ids([texts[k] for k in whole]), strict=True))
+        whole = [k for k, p in enumerate(parts) if p is None and k not in apart]
+        plain = apart | dict(zip(whole, self._ids([texts[k] for k in whole]), strict=True))
         firsts = self.firsts
         if len(firsts) > YOUNG:
             firsts.clear()
@@ -171,14 +187,14 @@ class SegmentEncoder:
         return [plain[k] if p is None else np.frombuffer(firsts[p[0]] + b"".join(p[1]), self.dtype) for k, p in enumerate(parts)]
 
 
-_encoders: dict[str, SegmentEncoder] = {}
+_encoders: dict[tuple[str, bool], SegmentEncoder] = {}
 
 
-def encoder_of(path: str) -> SegmentEncoder:
+def encoder_of(path: str, special: bool = False) -> SegmentEncoder:
     """One encoder per worker process: its vocabulary is read and its segments are learned once."""
-    if path not in _encoders:
-        _encoders[path] = SegmentEncoder(path)
-    return _encoders[path]
+    if (path, special) not in _encoders:
+        _encoders[path, special] = SegmentEncoder(path, special)
+    return _encoders[path, special]
 
 
 class ShardWriter:
@@ -256,7 +272,7 @@ def _open(uri: str, write: bool):
     return pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path)
 
 
-def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_col: str = "doc_id", text: str = "text", sequence: int = SEQUENCE) -> DataFrame:
+def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_col: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, special: bool = False) -> DataFrame:
     """Writes the shards below the shared ``folder``; returns the manifest (MANIFEST), one
     row per shard, in ascending ``shard`` order of their documents.
 
@@ -278,7 +294,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 if writer is None:
-                    encoder = encoder_of(tokenizer)
+                    encoder = encoder_of(tokenizer, special)
                     dtype = np.uint16 if max(encoder.size, end_id + 1) <= 1 << 16 else np.uint32
                     end = np.array([end_id], dtype)
                     writer = ShardWriter(sink := _open(base + ".arrow", True), dtype, sequence)
@@ -338,7 +354,8 @@ def read_token_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return bounded(rows).mapInArrow(run, schema)
 
 
-def encode_to_shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id") -> DataFrame:
-    """Writes ``docs`` as shards into the shared folder and reads the documents back."""
+def encode_to_shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", special: bool = False) -> DataFrame:
+    """Writes ``docs`` as shards into the shared folder and reads the documents back.
+    ``special``: strings of added tokens become their ids."""
     folder = fresh_path(docs.sparkSession, "token-shards")
-    return read_token_shards(write_token_shards(docs, tokenizer, end_id, folder, id_col), id_col)
+    return read_token_shards(write_token_shards(docs, tokenizer, end_id, folder, id_col, special=special), id_col)

@@ -53,6 +53,19 @@ def test_token_files_round_trip(spark, odd, none):
     assert tokenbin.encode_to_shards(none, path("byte_bpe_50k.json"), 2).count() == 0
 
 
+def test_query_encodes_like_a_plain_call(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = ["a b", "<|endoftext|>", "one two<|endoftext|>three four", " <|endoftext|> <|endoftext|>", "<|endoftext| > b", "two three four"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sorted(queries.op4_token_files(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id)
+    want = [t.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+    assert 50256 in want[1]
+    assert [(r.n_tokens, r.ids_crc32) for r in rows] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in want]
+    assert [r.start for r in rows] == [0, *np.cumsum([len(x) for x in want])[:-1].tolist()]
+
+
 def test_segments_encode_like_whole_texts():
     e = tokenbin.SegmentEncoder(path("byte_bpe_50k.json"))
     texts = ["", " ", "a", " a", "a  b", "a \n b", "it's we'll, x", "x\n y", "\u00e9t\u00e9 \u00e0 la", "tab\t tab \t", "12 ab3 , . !", "<|endoftext|> x<|endoftext|>", "\u2003 a \u2003b", "end "]
