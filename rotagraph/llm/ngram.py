@@ -2,46 +2,60 @@
 
 p(w | h) = a[k] c(h, w) / c(h) + b[k] c(w) / N + (1 - a[k] - b[k]) / (V + 1)
 
-where k is the frequency bucket of the context h in the training counts. The weights are
-learned by expectation-maximisation on counts that were held out: those of the training
-documents of one remainder of a second hash, which give no c.
-
-All counts are exact and cover the whole corpus. A task reads its documents in chunks and
-sends, for each chunk, its texts as word numbers and its distinct words and bigrams as
-hashes with their counts, dealt into buckets by hash. One task per bucket sums the counts
-of its keys over all chunks and answers each chunk with the totals of the chunk's keys, in
-their order; a chunk's answers then meet its tokens. So a key is shuffled once per chunk
-that holds it, as a few bytes of a packed row, however often it occurs, and no table of
-counts is ever broadcast or collected. Held-out documents have chunks of their own, so
+where k is the frequency bucket of the context h. The weights are learned by
+expectation-maximisation on counts that were held out: those of the training documents of
+one remainder of a second hash, which give no c while weights are learned. Scores then use
+the counts of all training documents.
+
+Counts cover the whole corpus and are exact but for collisions of hashes: words are compared
+by XXH64, bigrams within a bucket by 48 bits of a mix of their words' hashes. A task reads
+its documents in chunks and sends, for each chunk, its texts as word numbers and its distinct
+words and bigrams as hashes with their counts, dealt into buckets by hash. A bucket's totals
+are summed over all chunks and every chunk gets those of its own keys back, in their order;
+a chunk's answers then meet its tokens. So a key is shuffled once per chunk that holds it,
+as a few bytes of a packed row, however often it occurs, and no table of counts is ever
+broadcast or collected. Held-out documents have chunks of their own (of odd numbers), so
 learning the weights reads those only.
 
-Words are compared by XXH64, bigrams within a bucket by 48 bits of a mix of their words'
-hashes.
+Nothing that a task holds grows with the corpus: the number of buckets follows from the
+bytes of text, so that a bucket holds the keys of BUCKET bytes of it. Beyond FAN chunks,
+rows of a chunk would become too small; then groups of FAN chunks are merged by SUPER
+buckets first, the merged keys meet in finer buckets, and totals go back the same two steps.
 """
 
 from __future__ import annotations
 
 import struct
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rotagraph.llm.shared import bounded, release, utf8
-from rotagraph.session import PACKED, written
+from rotagraph.session import PACKED, settings, written
 
 #: Bytes of text in a chunk.
 CHUNK = 4 << 20
+#: Bytes of text whose keys one bucket holds.
+BUCKET = 8 << 20
+#: Chunks whose rows meet in one step, and the buckets of the first of two steps.
+FAN, SUPER = 4096, 2048
+#: Words have so many times fewer buckets than bigrams, as they are fewer.
+FEWER = 8
 #: Tokens of a chunk that are scored at once.
 SLICE = 1 << 17
 #: Bytes of packed tokens in one row: rows of a megabyte are hard on a Java heap.
 PIECE = 1 << 18
 #: Context-frequency buckets: by the number of binary digits of c(h), the last open.
 FREQUENCIES = 20
-#: Cells per decade of the grid of estimates that expectation-maximisation runs on.
+#: Cells per decade of the grid of estimates on which expectation-maximisation starts.
 CELLS = 16
-READ_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
+#: Rounds of expectation-maximisation on the grid, and at most on the exact counts, which end when no weight moves more than TOLERANCE.
+ROUNDS, EXACT_ROUNDS, TOLERANCE = 200, 12, 1e-4
+#: Rows that a Parquet reader holds at once, as the packed rows are large.
+READING = {"spark.sql.parquet.columnarReaderBatchSize": "256"}
 END = b"\n"  # the end token; no word holds a line feed
 
 ROW = "chunk long, kind int, bucket int, payload binary"
@@ -49,20 +63,22 @@ _ROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int
 WORDS, PAIRS, TOKENS, SUMS = 0, 1, 2, 3
 
 
+@lru_cache(1)
+def _codec():
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays, each with its type and length, compressed: first bytes of all numbers, then
     second ones, as the high bytes are alike."""
-    import zstandard
-
     planes = lambda a: np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
-    raw = b"".join(x for a in arrays for x in (b"%s %d\n" % (a.dtype.str.encode(), a.nbytes), planes(a)))
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return _codec()[0].compress(b"".join(x for a in arrays for x in (b"%s %d\n" % (a.dtype.str.encode(), a.nbytes), planes(a))))
 
 
 def _unpack(payload: bytes) -> list[np.ndarray]:
-    import zstandard
-
-    raw, at, out = zstandard.ZstdDecompressor().decompress(payload), 0, []
+    raw, at, out = _codec()[1].decompress(payload), 0, []
     while at < len(raw):
         end = raw.index(b"\n", at)
         kind, n = raw[at:end].split()
@@ -91,6 +107,47 @@ def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    """By bits that the 48 of a bigram leave out, and some of those."""
+    return ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _columns(kind: int, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys as they are packed: of bigrams 48 bits."""
+    return (keys,) if kind == WORDS else (keys.astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint16))
+
+
+def _read(kind: int, chunk: int, payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a packed row, their counts in all training documents, and in those that are not held out."""
+    parts = _unpack(payload)
+    n = 1 if kind == WORDS else 2
+    keys = parts[0] if kind == WORDS else parts[0] | parts[1].astype(np.uint64) << np.uint64(32)
+    counts = parts[n:]
+    return keys, counts[0], counts[1] if len(counts) > 1 else np.zeros_like(counts[0]) if chunk % 2 else counts[0]
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Numbers that follow from the bytes of text: buckets of bigrams that chunks deal their
+    keys into, groups of chunks (1: no merging), finer buckets a bucket, partitions."""
+
+    buckets: int
+    groups: int
+    fine: int
+    partitions: int
+
+    @classmethod
+    def of(cls, size: int, least: int) -> Sizes:
+        wanted = max(FEWER, -(-size // BUCKET))
+        groups = -(-size // (CHUNK * FAN))
+        if groups <= 1:
+            return cls(wanted, 1, 1, max(least, wanted))
+        return cls(SUPER, groups, -(-wanted // SUPER), max(least, wanted))
+
+    def of_kind(self, kind: int) -> int:
+        return max(1, self.buckets // FEWER) if kind == WORDS else self.buckets
+
+
 class Chunk:
     """Documents of one chunk as token numbers, with what they count for: documents of
     mode 0 give counts, those of mode 1 give held-out counts, those of mode 2 neither."""
@@ -112,56 +169,49 @@ class Chunk:
         self.modes.append(mode)
         self.size += len(text) + 64
 
-    def rows(self, chunk: int, buckets: int) -> list[tuple[int, int, int, bytes]]:
+    def rows(self, chunk: int, sizes: Sizes) -> list[tuple[int, int, int, bytes]]:
         """ROW tuples of the chunk: its keys with their counts, and its tokens."""
         import xxhash
 
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.numbers], np.uint64)
         lengths = np.array([len(t) for t in self.tokens], np.int64)
         modes = np.array(self.modes, np.uint8)
-        bucket = _bucket(hashes, buckets)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(_bucket(hashes, sizes.of_kind(WORDS)), kind="stable")
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
         end, hashes = place[0], hashes[order]
         flat = place[np.concatenate(self.tokens)]  # words are numbered by bucket from here on
-        mode = np.repeat(modes, lengths)
-        pairs, number = _pairs(flat, end, len(hashes))
-        trained = mode == 0
-        ones, base = (np.bincount(flat[x], minlength=len(hashes)).astype(np.uint32) for x in (trained, mode < 2))
-        twos = np.bincount(number[trained], minlength=len(pairs)).astype(np.uint32)
-        key = pair_keys(hashes[pairs // np.uint64(len(hashes))], hashes[pairs % np.uint64(len(hashes))])
-        pair_bucket = _bucket(key, buckets)
-        order = np.argsort(pair_bucket, kind="stable")
+        trains = np.repeat(modes, lengths) < 2
+        number, keys = _pairs(flat, end, hashes)
         out = []
-        for kind, b, columns in ((WORDS, np.sort(bucket), (hashes, ones, base)), (PAIRS, pair_bucket[order], (key[order].astype(np.uint32), (key[order] >> np.uint64(32)).astype(np.uint16), twos[order]))):
-            cut = np.searchsorted(b, np.arange(buckets + 1))
-            out += [(chunk, kind, k, _pack(*(c[cut[k] : cut[k + 1]] for c in columns))) for k in range(buckets) if cut[k] < cut[k + 1]]
+        for kind, own, at in ((WORDS, hashes, flat), (PAIRS, keys, number)):
+            counts = np.bincount(at[trains], minlength=len(own)).astype(np.uint32)
+            bucket = _bucket(own, sizes.of_kind(kind))
+            order = np.argsort(bucket, kind="stable")
+            columns = [c[order] for c in (*_columns(kind, own), counts)]
+            cut = np.searchsorted(bucket[order], np.arange(sizes.of_kind(kind) + 1))
+            out += [(chunk, kind, k, _pack(*(c[cut[k] : cut[k + 1]] for c in columns))) for k in np.unique(bucket).tolist()]
         ids = np.array([i if i is not None else 0 for i in self.ids], np.int64)
         null = np.array([i is None for i in self.ids], np.uint8)
-        tokens = _pack(ids, null, modes, lengths, flat, np.array([end, len(hashes)], np.int64), _narrow(pair_bucket))
+        tokens = _pack(ids, null, modes, lengths, flat, np.array([end], np.int64), hashes)
         pieces = [tokens[lo : lo + PIECE] for lo in range(0, len(tokens), PIECE)]
-        return [*out, *((chunk, TOKENS, chunk % buckets, struct.pack(">II", i, len(pieces)) + p) for i, p in enumerate(pieces))]
-
-
-def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
-    """By bits that the 48 of a bigram leave out, and some of those."""
-    return ((key >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64)
+        return [*out, *((chunk, TOKENS, (31 * chunk + i) % (1 << 20), struct.pack(">II", i, len(pieces)) + p) for i, p in enumerate(pieces))]
 
 
-def _pairs(flat: np.ndarray, end: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (context, word) of tokens as context * n + word, ascending, and the
-    place of each token's. The context of a document's first word is the end token."""
+def _pairs(flat: np.ndarray, end: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each token's (context, word) among the distinct ones, and the keys of
+    those. The context of a document's first word is the end token."""
+    n = np.uint64(len(hashes))
     before = np.concatenate((np.array([end], flat.dtype), flat[:-1]))
-    pairs, number = np.unique(before.astype(np.uint64) * np.uint64(n) + flat, return_inverse=True)
-    return pairs, number.reshape(-1)
+    pairs, number = np.unique(before.astype(np.uint64) * n + flat, return_inverse=True)
+    return number.reshape(-1), pair_keys(hashes[pairs // n], hashes[pairs % n])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
 
 
-def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
+def _chunks(docs: DataFrame, sizes: Sizes) -> DataFrame:
     """ROWs of ``docs`` (id, mode, text). Held-out documents go to chunks of odd numbers."""
 
     def run(batches):
@@ -172,7 +222,7 @@ def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
 
         def out(odd: int):
             nonlocal number
-            rows = open_chunks[odd].rows(2 * number + odd, buckets)
+            rows = open_chunks[odd].rows(2 * number + odd, sizes)
             open_chunks[odd], number = Chunk(), number + 1
             release()
             return _batch(rows)
@@ -192,47 +242,97 @@ def _chunks(docs: DataFrame, buckets: int) -> DataFrame:
     return bounded(docs).mapInArrow(run, ROW)
 
 
-def _answers(rows: DataFrame) -> DataFrame:
-    """For every row of keys the totals of its keys over all chunks, in their order; rows
-    of tokens as they are. A row of kind SUMS carries a bucket's sums over its words."""
-
-    def answer(kind: int, bucket: int, held: list[tuple[int, bytes]]):
-        parts = [_unpack(p) for _, p in held]
-        if kind == PAIRS:
-            parts = [[p[0] | p[1].astype(np.uint64) << np.uint64(32), p[2]] for p in parts]
-        distinct, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        place = place.reshape(-1)
-        totals = [np.bincount(place, np.concatenate([p[k] for p in parts]), len(distinct)).astype(np.int64) for k in range(1, len(parts[0]))]
-        out, at = [], 0
-        for (chunk, _), p in zip(held, parts, strict=True):
-            own = place[at : at + len(p[0])]
-            out.append((chunk, kind, bucket, _pack(*(_narrow(t[own]) for t in totals))))
-            at += len(own)
-        if kind == WORDS:
-            ones, base = totals
-            out.append((-1, SUMS, bucket, _pack(np.array([base.sum(), (base > 0).sum(), ones.sum(), (ones > 0).sum()], np.int64))))
-        return _batch(out)
+def _summed(kind: int, held: list[tuple[int, bytes]]):
+    """Distinct keys of rows, their two totals, and for each row the places of its keys."""
+    parts = [_read(kind, chunk, p) for chunk, p in held]
+    distinct, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    totals = [np.bincount(place.reshape(-1), np.concatenate([p[k] for p in parts]), len(distinct)).astype(np.int64) for k in (1, 2)]
+    return distinct, totals, np.split(place.reshape(-1), np.cumsum([len(p[0]) for p in parts])[:-1])
+
+
+def _answer(kind: int, chunk: int, everything: np.ndarray, learning: np.ndarray) -> bytes:
+    """Totals for a chunk, in the order of its keys; a held-out chunk needs the learning ones too."""
+    return _pack(*map(_narrow, (everything, learning) if chunk % 2 else (everything,)))
+
+
+def _by_group(f):
+    """A ``mapInArrow`` function: sorted rows come to ``f(key, [(chunk, payload)])`` by
+    their (kind, bucket), or (group, kind, bucket); rows of tokens pass."""
 
     def run(batches):
         now, held = None, []
         for batch in batches:
             for i in range(batch.num_rows):  # payloads are large: one at a time
-                chunk, kind, bucket, payload = (batch.column(c)[i].as_py() for c in range(4))
+                *key, chunk, kind, bucket, payload = (batch.column(c)[i].as_py() for c in range(batch.num_columns))
                 if kind == TOKENS:
                     yield _batch([(chunk, kind, bucket, payload)])
                     continue
-                if (kind, bucket) != now:
+                key = (*key, kind, bucket)
+                if key != now:
                     if held:
-                        yield answer(*now, held)
+                        yield from f(now, held)
                         release()
-                    now, held = (kind, bucket), []
+                    now, held = key, []
                 held.append((chunk, payload))
         if held:
-            yield answer(*now, held)
+            yield from f(now, held)
         held = []
         release()
 
-    return bounded(rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk")).mapInArrow(run, ROW)
+    return run
+
+
+def _answers(rows: DataFrame, sizes: Sizes, merged: bool = False) -> DataFrame:
+    """For every row of keys the totals of its keys over all chunks, in their order (with
+    the keys themselves if ``merged``); rows of tokens as they are. A row of kind SUMS
+    carries a bucket's sums over its words."""
+
+    def answer(key, held):
+        kind, bucket = key
+        distinct, (everything, learning), places = _summed(kind, held)
+        for (chunk, payload), own in zip(held, places, strict=True):
+            packed = _pack(*_columns(kind, distinct[own]), everything[own], learning[own]) if merged else _answer(kind, chunk, everything[own], learning[own])
+            yield _batch([(chunk, kind, bucket, packed)])
+        if kind == WORDS:
+            yield _batch([(-1, SUMS, bucket, _pack(np.array([everything.sum(), (everything > 0).sum(), learning.sum(), (learning > 0).sum()], np.int64)))])
+
+    own = rows.repartition(sizes.partitions, "kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk")
+    return bounded(own).mapInArrow(_by_group(answer), ROW)
+
+
+def _answers_by_groups(rows: DataFrame, sizes: Sizes) -> DataFrame:
+    """The same in two steps: (group of chunks, bucket) is merged into one row a finer
+    bucket, whose totals come back to the group's rows."""
+    rows = written(rows, "lm-keys", **PACKED)
+    keys = rows.where(f"kind < {TOKENS}").select(F.pmod(F.xxhash64("chunk"), F.lit(sizes.groups)).alias("group"), "chunk", "kind", "bucket", "payload")
+
+    def merge(key, held):
+        group, kind, bucket = key
+        distinct, totals, _ = _summed(kind, held)
+        sub = ((distinct & np.uint64(0xFFFFFFFF)) * np.uint64(sizes.fine) >> np.uint64(32)).astype(np.int64)
+        for k in np.unique(sub).tolist():
+            own = sub == k
+            yield _batch([(2 * (group * SUPER + bucket), kind, bucket * sizes.fine + k, _pack(*_columns(kind, distinct[own]), *(t[own] for t in totals)))])
+
+    order = ["group", "kind", "bucket"]
+    merged = bounded(keys.repartition(sizes.partitions, *order).sortWithinPartitions(*order, "chunk")).mapInArrow(_by_group(merge), ROW)
+    totals = written(_answers(merged, sizes, merged=True), "lm-merged", **PACKED)
+    numbers = F.expr("chunk div 2")
+    back = totals.where(f"kind < {TOKENS}").select(F.expr(f"(chunk div 2) div {SUPER}").alias("group"), F.lit(-1).cast("long").alias("chunk"), "kind", (numbers % SUPER).cast("int").alias("bucket"), "payload")
+
+    def give(key, held):
+        _, kind, bucket = key
+        known = [_read(kind, 0, p) for chunk, p in held if chunk < 0]  # they come first
+        distinct, everything, learning = (np.concatenate([k[i] for k in known]) for i in range(3))
+        order = np.argsort(distinct)
+        for chunk, p in held:
+            if chunk >= 0:
+                at = order[np.searchsorted(distinct, _read(kind, chunk, p)[0], sorter=order)]
+                yield _batch([(chunk, kind, bucket, _answer(kind, chunk, everything[at], learning[at]))])
+
+    both = keys.unionByName(back).repartition(sizes.partitions, *order).sortWithinPartitions(*order, "chunk")
+    given = bounded(both).mapInArrow(_by_group(give), ROW)
+    return given.unionByName(rows.where(f"kind = {TOKENS}")).unionByName(totals.where(f"kind = {SUMS}"))
 
 
 @dataclass
@@ -245,9 +345,13 @@ class Weights:
     def logs(self, two: np.ndarray, context: np.ndarray, one: np.ndarray, n: int, kinds: int) -> np.ndarray:
         """log10 of the mixed estimate of each token."""
         k = frequency(context)
-        p2 = two / np.maximum(context, 1.0)
-        p = self.a[k] * p2 + self.b[k] * (one / max(n, 1)) + (1 - self.a[k] - self.b[k]) / (kinds + 1)
-        return np.log10(p)
+        p2, p1, p0 = estimates(two, context, one, n, kinds)
+        return np.log10(self.a[k] * p2 + self.b[k] * p1 + (1 - self.a[k] - self.b[k]) * p0)
+
+
+def estimates(two: np.ndarray, context: np.ndarray, one: np.ndarray, n: int, kinds: int):
+    """Bigram, word and uniform estimates of tokens."""
+    return two / np.maximum(context, 1.0), one / max(n, 1), 1 / (kinds + 1)
 
 
 def frequency(context: np.ndarray) -> np.ndarray:
@@ -255,54 +359,100 @@ def frequency(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(float))[1], FREQUENCIES - 1)
 
 
-def learn_weights(grid: list[tuple[int, int, int, int]], kinds: int, rounds: int = 200) -> Weights:
-    """Expectation-maximisation over held-out tokens, (bucket, bigram cell, word cell, count)
-    with cells of CELLS per decade below 1 (-1: estimate 0). Buckets that no held-out token
-    has share the weights of all; a bucket starts from a tenth of a token of each part."""
+def _shares(w: np.ndarray, p: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Tokens that each of three parts explains under weights ``w``, (3, 1) or (3, tokens)."""
+    part = w * p
+    return part / part.sum(0) * count
+
+
+def _normal(shares: np.ndarray) -> np.ndarray:
+    """Weights from explained tokens; every part gets a tenth of a token more."""
+    return (shares + 0.1) / (shares + 0.1).sum(-1, keepdims=True)
+
+
+def start_weights(grid: list[tuple], kinds: int) -> np.ndarray:
+    """(FREQUENCIES + 1, 3) by expectation-maximisation over cells of held-out tokens,
+    (bucket, count, sum of bigram estimates, sum of word estimates); the last row is of all
+    tokens, and stands for buckets without any."""
     g = np.array(grid, float).reshape(-1, 4)
-    k = g[:, 0].astype(int)
-    value = lambda c: np.where(c < 0, 0.0, 10.0 ** (-(c + 0.5) / CELLS))
-    p = np.stack([value(g[:, 1]), value(g[:, 2]), np.full(len(g), 1 / (kinds + 1))])
-    out = np.full((FREQUENCIES + 1, 3), 1 / 3)
+    p = np.stack([g[:, 2] / g[:, 1], g[:, 3] / g[:, 1], np.full(len(g), 1 / (kinds + 1))])
 
     def fit(rows: np.ndarray) -> np.ndarray:
         w = np.full(3, 1 / 3)
-        for _ in range(rounds):
-            part = w[:, None] * p[:, rows]
-            share = (part / part.sum(0) * g[rows, 3]).sum(1) + 0.1
-            w = share / share.sum()
+        for _ in range(ROUNDS):
+            w = _normal(_shares(w[:, None], p[:, rows], g[rows, 1]).sum(1))
         return w
 
     everything = fit(np.arange(len(g)))
-    for bucket in range(FREQUENCIES):
-        own = np.flatnonzero(k == bucket)
-        out[bucket] = fit(own) if len(own) else everything
-    out[0] = [0.0, out[0][1] + out[0][0] / 2, out[0][2] + out[0][0] / 2]  # no bigram estimate without a context
-    return Weights(out[:-1, 0], out[:-1, 1])
+    return np.stack([fit(own) if len(own := np.flatnonzero(g[:, 0] == k)) else everything for k in range(FREQUENCIES)] + [everything])
+
 
+def _learned(held: DataFrame, n: int, kinds: int) -> Weights:
+    """Weights from the packed counts of held-out tokens: expectation-maximisation on a grid
+    first, then on the exact counts, one aggregation a round."""
 
-def _assembled(rows: DataFrame, f, schema: str) -> DataFrame:
-    """Brings the answers of each chunk to its tokens and yields batches of
-    ``f(ids, null, modes, lengths, c(h,w), c(h), c(w), base c(w))``, of some documents at once."""
+    def tokens(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                two, context, one = _unpack(batch.column(0)[i].as_py())
+                p2, p1, p0 = estimates(two, context, one, n, kinds)
+                yield frequency(context), np.stack([p2, p1, np.full(len(two), p0)])
+
+    def cells(batches):
+        cell = lambda p: np.where(p > 0, np.floor(-np.log10(np.maximum(p, 1e-300)) * CELLS), -1).astype(np.int64) + 1
+        for k, p in tokens(batches):
+            code = (k.astype(np.int64) * 10_000 + cell(p[0])) * 10_000 + cell(p[1])
+            found, at = np.unique(code, return_inverse=True)
+            sums = [np.bincount(at.reshape(-1), x) for x in (np.ones(len(k)), p[0], p[1])]
+            yield pa.RecordBatch.from_arrays([pa.array(found // 10**8), pa.array(found), *map(pa.array, sums)], names=["k", "cell", "n", "two", "one"])
+
+    # at most FREQUENCIES times a few hundred cells squared come to the driver: a bound that no corpus exceeds
+    grid = held.mapInArrow(cells, "k long, cell long, n double, two double, one double").groupBy("k", "cell").agg(F.sum("n"), F.sum("two"), F.sum("one"))
+    w = start_weights(sorted((r[0], *r[2:]) for r in grid.collect()), kinds)
+    for _ in range(EXACT_ROUNDS):
+
+        def shares(batches, w=w):
+            for k, p in tokens(batches):
+                own, every = _shares(w[k].T, p, 1.0), _shares(w[-1:].T, p, 1.0).sum(1)
+                sums = [np.append(np.bincount(k, own[j], FREQUENCIES), every[j]) for j in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(FREQUENCIES + 1)), *map(pa.array, sums)], names=["k", "two", "one", "none"])
+
+        rows = held.mapInArrow(shares, "k long, two double, one double, none double").groupBy("k").agg(F.sum("two"), F.sum("one"), F.sum("none")).collect()
+        new = np.zeros((FREQUENCIES + 1, 3))
+        for k, *x in rows:  # one row a bucket
+            new[k] = x
+        new = np.where(new.sum(1, keepdims=True) > 0, _normal(new), _normal(new[-1:]))
+        moved, w = np.abs(new - w).max(), new
+        if moved <= TOLERANCE:
+            break
+    w = w[:-1]
+    w[0] = [0.0, w[0][1] + w[0][0] / 2, w[0][2] + w[0][0] / 2]  # no bigram estimate without a context
+    return Weights(w[:, 0], w[:, 1])
+
+
+def _assembled(rows: DataFrame, sizes: Sizes, f, schema: str, learning: bool) -> DataFrame:
+    """Brings the answers of each chunk to its tokens and yields batches of ``f(ids, null,
+    lengths, c(h,w), c(h), c(w))``, of some documents at once. ``learning``: counts without
+    the held-out ones, for chunks of these only."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    which = int(learning)
 
     def one(held: dict, payload: bytes):
-        ids, null, modes, lengths, flat, (end, n), pair_bucket = _unpack(payload)
-        ones, base = (np.concatenate(x) for x in zip(*held[WORDS], strict=True))
-        answered = np.concatenate([x[0] for x in held[PAIRS]])
+        ids, null, _, lengths, flat, (end,), hashes = _unpack(payload)
+        words, answered = (np.concatenate([x[which] for x in held[kind]]) for kind in (WORDS, PAIRS))
+        number, keys = _pairs(flat, end, hashes)
         twos = np.empty(len(answered), answered.dtype)
-        twos[np.argsort(pair_bucket, kind="stable")] = answered
-        _, number = _pairs(flat, end, n)
+        twos[np.argsort(_bucket(keys, sizes.of_kind(PAIRS)), kind="stable")] = answered
         before = np.concatenate((np.array([end], flat.dtype), flat[:-1]))
         ends = np.cumsum(lengths)
         lo = 0
         while lo < len(lengths):
             hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + SLICE)))
             own = slice(int(ends[lo] - lengths[lo]), int(ends[hi - 1]))
-            columns = f(ids[lo:hi], null[lo:hi], modes[lo:hi], lengths[lo:hi], twos[number[own]], ones[before[own]], ones[flat[own]], base[flat[own]])
+            columns = f(ids[lo:hi], null[lo:hi], lengths[lo:hi], twos[number[own]], words[before[own]], words[flat[own]])
             yield pa.RecordBatch.from_arrays([pa.array(c, type=x.type) for c, x in zip(columns, arrow, strict=True)], schema=arrow)
             lo = hi
 
@@ -313,7 +463,7 @@ def _assembled(rows: DataFrame, f, schema: str) -> DataFrame:
                 chunk, kind, payload = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(3)[i].as_py()
                 if chunk != now:
                     now, held, pieces = chunk, {WORDS: [], PAIRS: []}, {}
-                if kind == TOKENS:  # after all keys of its chunk, in pieces of any order
+                if kind == TOKENS:  # after all keys of its chunk
                     place, total = struct.unpack(">II", payload[:8])
                     pieces[place] = payload[8:]
                     if len(pieces) == total:
@@ -323,51 +473,52 @@ def _assembled(rows: DataFrame, f, schema: str) -> DataFrame:
                 else:
                     held[kind].append(_unpack(payload))
 
-    return bounded(rows.where(f"kind != {SUMS}").repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")).mapInArrow(run, schema)
+    own = rows.where(f"kind < {SUMS}" + (" AND chunk % 2 = 1" if learning else ""))
+    return bounded(own.repartition(sizes.partitions, "chunk").sortWithinPartitions("chunk", "kind", "bucket")).mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, learns, id_col: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
+def score(docs: DataFrame, learns, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     ``learns``: a condition on rows; those that meet it are the training documents. Of
-    these, the ones whose XXH64 of the id is 0 mod 8 are held out for the weights, the
-    others give the counts of the mixture; base counts are over all of them.
+    these, the ones whose XXH64 of the id is 0 mod 8 are held out while the weights are
+    learned; scores use the counts of all of them.
     ``base_score`` is the sum of log10((c + 1) / (N + 1 * (V + 1))) over tokens, ``score``
     that of the mixture; ``n_known`` counts tokens with c > 0. Null texts are empty: they
     have the end token only. Null ids and repeated rows each keep a row; without training
-    documents N and V are 0. Other columns are not read.
+    documents N and V are 0. Other columns are not read. The scores are a written table.
     """
     spark = docs.sparkSession
-    if spark.conf.get(READ_ROWS) == "4096":  # Spark's own default: rows that a Parquet reader holds at once
-        spark.conf.set(READ_ROWS, "256")
-    held = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(8)) == 0
-    mode = F.when(~F.coalesce(learns, F.lit(False)), 2).when(held, 1).otherwise(0)
+    held_out = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(8)) == 0
+    mode = F.when(~F.coalesce(learns, F.lit(False)), 2).when(held_out, 1).otherwise(0)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), mode.cast("int").alias("mode"), F.col(text).alias("text"))
-    if buckets is None:
-        buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table = written(_answers(_chunks(rows, buckets)), "lm-counts", **PACKED)
-    sums = np.zeros(4, np.int64)
-    for r in table.where(f"kind = {SUMS}").select("payload").collect():  # four numbers a bucket
-        sums += _unpack(r.payload)[0]
-    n, kinds, n_mixed, kinds_mixed = map(int, sums)
-
-    def cells(ids, null, modes, lengths, two, context, one, base):
-        with np.errstate(divide="ignore"):
-            cell = lambda p: np.where(p > 0, np.floor(-np.log10(np.maximum(p, 1e-300)) * CELLS), -1).astype(int)
-        grid = np.stack([frequency(context), cell(two / np.maximum(context, 1.0)), cell(one / max(n_mixed, 1))], 1)
-        found, counts = np.unique(grid, axis=0, return_counts=True)
-        return [*found.reshape(-1, 3).T, counts]
-
-    grid = _assembled(table.where("chunk % 2 = 1"), cells, "bucket int, two int, one int, n long").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
-    # at most FREQUENCIES times a few hundred cells squared: a bound that no corpus exceeds
-    weights = learn_weights(sorted(tuple(r) for r in grid.collect()), kinds_mixed)
-
-    def scored(ids, null, modes, lengths, two, context, one, base):
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        total = lambda x: np.add.reduceat(x, starts)
-        plain = np.log10((base.astype(float) + 1) / (n + (kinds + 1)))
-        mixed = weights.logs(two.astype(float), context.astype(float), one.astype(float), n_mixed, kinds_mixed)
-        return [pa.array(ids, mask=null.astype(bool)), lengths, total((base > 0).astype(np.int64)), np.full(len(ids), n), total(plain), total(mixed)]
-
-    schema = f"{id_col} long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return _assembled(table, scored, schema)
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    sizes = Sizes.of(size, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    with settings(spark, READING):
+        chunks = _chunks(rows, sizes)
+        table = written(_answers(chunks, sizes) if sizes.groups == 1 else _answers_by_groups(chunks, sizes), "lm-counts", **PACKED)
+
+        def unpacked(batches):
+            for batch in batches:
+                got = [_unpack(x)[0].tolist() for x in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in range(4)], names=["n", "kinds", "n_learning", "kinds_learning"])
+
+        sums = table.where(f"kind = {SUMS}").select("payload").mapInArrow(unpacked, "n long, kinds long, n_learning long, kinds_learning long")
+        n, kinds, n_learning, kinds_learning = (x or 0 for x in sums.agg(*(F.sum(c) for c in sums.columns)).first())
+
+        def counts(ids, null, lengths, two, context, one):
+            return [[_pack(_narrow(two), _narrow(context), _narrow(one))]]
+
+        held = written(_assembled(table, sizes, counts, "payload binary", True), "lm-held-out", **PACKED)
+        weights = _learned(bounded(held), n_learning, kinds_learning)
+
+        def scored(ids, null, lengths, two, context, one):
+            starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+            total = lambda x: np.add.reduceat(x, starts)
+            plain = np.log10((one.astype(float) + 1) / (n + (kinds + 1)))
+            mixed = weights.logs(two.astype(float), context.astype(float), one.astype(float), n, kinds)
+            return [pa.array(ids, mask=null.astype(bool)), lengths, total((one > 0).astype(np.int64)), np.full(len(ids), n), total(plain), total(mixed)]
+
+        schema = f"{id_col} long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        out = written(_assembled(table, sizes, scored, schema, False), "lm-scores")
+    return out

@@ -219,37 +219,65 @@ def test_near_duplicates_of_odd_rows(odd, none):
 # ---- LM scores
 
 
-@pytest.mark.parametrize("chunk", [1 << 22, 300])
+@pytest.mark.parametrize("chunk", [1 << 22, 300, 50])
 def test_scores_equal_brute_force(spark, odd, monkeypatch, chunk):
     from pyspark.sql import functions as F
 
     monkeypatch.setattr(ngram, "CHUNK", chunk)
+    if chunk == 50:  # many groups of chunks, merged first
+        monkeypatch.setattr(ngram, "FAN", 7)
+        monkeypatch.setattr(ngram, "SUPER", 4)
+        monkeypatch.setattr(ngram, "BUCKET", 100)
     seen = {}
-    learn = ngram.learn_weights
-    monkeypatch.setattr(ngram, "learn_weights", lambda *a: seen.setdefault("w", learn(*a)))
+    learn = ngram._learned
+    monkeypatch.setattr(ngram, "_learned", lambda *a: seen.setdefault("w", learn(*a)))
     more = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k * k) % 11}" for k in range(i % 13))) for i in range(100, 160)], "doc_id long, text string")
-    docs = odd.select("doc_id", "text").where("coalesce(length(text), 0) < 1000").unionByName(more)
+    docs = odd.select("doc_id", "text").unionByName(more)
+    if chunk == 50:
+        docs = docs.where("coalesce(length(text), 0) < 1000")
     learns = F.coalesce(F.col("doc_id") % 7 != 2, F.lit(True))
     rows = ngram.score(docs.selectExpr("*", "1 AS id", "'x' AS mode"), learns).collect()
     got = docs.select("doc_id", "text", learns.alias("learns"), (F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(8)) == 0).alias("held")).collect()
     toks = [[*(r.text or "").encode().lower().split(), b"\n"] for r in got]
-    base, one, two = Counter(), Counter(), Counter()
+    count = {held: (Counter(), Counter()) for held in (False, True)}
     for r, t in zip(got, toks, strict=True):
         if r.learns:
-            base.update(t)
-            if not r.held:
-                one.update(t)
-                two.update(zip([b"\n", *t[:-1]], t, strict=True))
-    n, kinds, n1, k1, w = sum(base.values()), len(base), sum(one.values()), len(one), seen["w"]
+            count[r.held][0].update(t)
+            count[r.held][1].update(zip([b"\n", *t[:-1]], t, strict=True))
+    one, two = (count[False][k] + count[True][k] for k in (0, 1))
+    n, kinds, w = sum(one.values()), len(one), seen["w"]
+    learned = plain_weights(*count[False], count[True][1])
+    for k, (a, b) in learned.items():
+        assert w.a[k] == pytest.approx(a, abs=0.01) and w.b[k] == pytest.approx(b, abs=0.01), k
     want = []
     for r, t in zip(got, toks, strict=True):
-        plain = sum(math.log10((base[x] + 1) / (n + kinds + 1)) for x in t)
+        plain = sum(math.log10((one[x] + 1) / (n + kinds + 1)) for x in t)
         mixed = 0.0
         for h, x in zip([b"\n", *t[:-1]], t, strict=True):
             k = min(one[h].bit_length(), ngram.FREQUENCIES - 1)
-            mixed += math.log10(w.a[k] * two[h, x] / max(1, one[h]) + w.b[k] * one[x] / n1 + (1 - w.a[k] - w.b[k]) / (k1 + 1))
-        want.append((r.doc_id, len(t), sum(base[x] > 0 for x in t), n, round(plain, 6), round(mixed, 6)))
-    assert Counter((*r[:4], round(r.base_score, 6), round(r.score, 6)) for r in rows) == Counter(want)
+            mixed += math.log10(w.a[k] * two[h, x] / max(1, one[h]) + w.b[k] * one[x] / n + (1 - w.a[k] - w.b[k]) / (kinds + 1))
+        want.append((r.doc_id, len(t), sum(one[x] > 0 for x in t), n, plain, mixed))
+    key = lambda r: (str(r[0]), *r[1:4], round(r[4], 3))
+    assert len(rows) == len(want)
+    for r, x in zip(sorted(map(tuple, rows), key=key), sorted(want, key=key), strict=True):
+        assert r[:4] == x[:4] and r[4:] == pytest.approx(x[4:], rel=1e-9)
+
+
+def plain_weights(one, two, held):
+    """Expectation-maximisation, a token at a time, over held-out bigrams; buckets with a context."""
+    n, kinds, out = sum(one.values()), len(one), {}
+    for k in {one[h].bit_length() for h, _ in held if one[h]}:
+        tokens = [(two[h, x] / one[h], one[x] / n, 1 / (kinds + 1), c) for (h, x), c in held.items() if one[h].bit_length() == k]
+        w = [1 / 3] * 3
+        for _ in range(2000):
+            shares = [0.1] * 3
+            for *p, c in tokens:
+                total = sum(a * b for a, b in zip(w, p, strict=True))
+                for j in range(3):
+                    shares[j] += c * w[j] * p[j] / total
+            w = [s / sum(shares) for s in shares]
+        out[min(k, ngram.FREQUENCIES - 1)] = w[0], w[1]
+    return out
 
 
 def test_scores_of_nothing(none, odd):
