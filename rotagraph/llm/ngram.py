@@ -8,7 +8,7 @@ one remainder of a second hash, which give no c while weights are learned. Score
 the counts of all training documents.
 
 Counts cover the whole corpus and are exact but for collisions of hashes: words are compared
-by XXH64, bigrams within a bucket by 48 bits of a mix of their words' hashes. A task reads
+by XXH64, bigrams by 48 bits of a mix of their words' hashes and their bucket. A task reads
 its documents in chunks and sends, for each chunk, its texts as word numbers and its distinct
 words and bigrams as hashes with their counts, dealt into buckets by hash. A bucket's totals
 are summed over all chunks and every chunk gets those of its own keys back, in their order;
@@ -108,10 +108,20 @@ def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
-    """By bits that the 48 of a bigram leave out, and some of those."""
     return ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _marks(hashes: np.ndarray) -> np.ndarray:
+    """16 bits of each word's hash: those of two words give their bigram's bucket, so
+    a chunk's tokens bring two bytes a word along instead of a bucket a bigram."""
+    return (hashes >> np.uint64(48)).astype(np.uint16)
+
+
+def _pair_bucket(left: np.ndarray, right: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = (left.astype(np.uint64) << np.uint64(16) | right) * np.uint64(0x9E3779B97F4A7C15)
+    return _bucket(mixed, buckets)
+
+
 def _columns(kind: int, keys: np.ndarray) -> tuple[np.ndarray, ...]:
     """Keys as they are packed: of bigrams 48 bits."""
     return (keys,) if kind == WORDS else (keys.astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint16))
@@ -137,12 +147,12 @@ class Sizes:
     partitions: int
 
     @classmethod
-    def of(cls, size: int, least: int) -> Sizes:
+    def of(cls, size: int) -> Sizes:
         wanted = max(FEWER, -(-size // BUCKET))
         groups = -(-size // (CHUNK * FAN))
         if groups <= 1:
-            return cls(wanted, 1, 1, max(least, wanted))
-        return cls(SUPER, groups, -(-wanted // SUPER), max(least, wanted))
+            return cls(wanted, 1, 1, wanted)
+        return cls(SUPER, groups, -(-wanted // SUPER), wanted)
 
     def of_kind(self, kind: int) -> int:
         return max(1, self.buckets // FEWER) if kind == WORDS else self.buckets
@@ -182,29 +192,30 @@ class Chunk:
         end, hashes = place[0], hashes[order]
         flat = place[np.concatenate(self.tokens)]  # words are numbered by bucket from here on
         trains = np.repeat(modes, lengths) < 2
-        number, keys = _pairs(flat, end, hashes)
+        number, left, right = _pairs(flat, end, len(hashes))
+        marks = _marks(hashes)
+        buckets = _bucket(hashes, sizes.of_kind(WORDS)), _pair_bucket(marks[left], marks[right], sizes.buckets)
         out = []
-        for kind, own, at in ((WORDS, hashes, flat), (PAIRS, keys, number)):
+        for kind, own, at in ((WORDS, hashes, flat), (PAIRS, pair_keys(hashes[left], hashes[right]), number)):
             counts = np.bincount(at[trains], minlength=len(own)).astype(np.uint32)
-            bucket = _bucket(own, sizes.of_kind(kind))
+            bucket = buckets[kind]
             order = np.argsort(bucket, kind="stable")
             columns = [c[order] for c in (*_columns(kind, own), counts)]
             cut = np.searchsorted(bucket[order], np.arange(sizes.of_kind(kind) + 1))
             out += [(chunk, kind, k, _pack(*(c[cut[k] : cut[k + 1]] for c in columns))) for k in np.unique(bucket).tolist()]
         ids = np.array([i if i is not None else 0 for i in self.ids], np.int64)
         null = np.array([i is None for i in self.ids], np.uint8)
-        tokens = _pack(ids, null, modes, lengths, flat, np.array([end], np.int64), hashes)
+        tokens = _pack(ids, null, modes, lengths, flat, np.array([end], np.int64), marks)
         pieces = [tokens[lo : lo + PIECE] for lo in range(0, len(tokens), PIECE)]
         return [*out, *((chunk, TOKENS, (31 * chunk + i) % (1 << 20), struct.pack(">II", i, len(pieces)) + p) for i, p in enumerate(pieces))]
 
 
-def _pairs(flat: np.ndarray, end: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each token's (context, word) among the distinct ones, and the keys of
+def _pairs(flat: np.ndarray, end: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The place of each token's (context, word) among the distinct ones of ``n`` words, and
     those. The context of a document's first word is the end token."""
-    n = np.uint64(len(hashes))
     before = np.concatenate((np.array([end], flat.dtype), flat[:-1]))
-    pairs, number = np.unique(before.astype(np.uint64) * n + flat, return_inverse=True)
-    return number.reshape(-1), pair_keys(hashes[pairs // n], hashes[pairs % n])
+    pairs, number = np.unique(before.astype(np.uint64) * np.uint64(n) + flat, return_inverse=True)
+    return number.reshape(-1), (pairs // np.uint64(n)).astype(np.int64), (pairs % np.uint64(n)).astype(np.int64)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -296,7 +307,9 @@ def _answers(rows: DataFrame, sizes: Sizes, merged: bool = False) -> DataFrame:
         if kind == WORDS:
             yield _batch([(-1, SUMS, bucket, _pack(np.array([everything.sum(), (everything > 0).sum(), learning.sum(), (learning > 0).sum()], np.int64)))])
 
-    own = rows.repartition(sizes.partitions, "kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk")
+    # as many partitions as buckets of bigrams: each has one of these
+    spread = F.pmod(F.when(F.col("kind") == WORDS, F.col("bucket") * FEWER).otherwise(F.col("bucket")), F.lit(sizes.partitions))
+    own = rows.repartitionById(sizes.partitions, spread).sortWithinPartitions("kind", "bucket", "chunk")
     return bounded(own).mapInArrow(_by_group(answer), ROW)
 
 
@@ -441,11 +454,11 @@ def _assembled(rows: DataFrame, sizes: Sizes, f, schema: str, learning: bool) ->
     which = int(learning)
 
     def one(held: dict, payload: bytes):
-        ids, null, _, lengths, flat, (end,), hashes = _unpack(payload)
+        ids, null, _, lengths, flat, (end,), marks = _unpack(payload)
         words, answered = (np.concatenate([x[which] for x in held[kind]]) for kind in (WORDS, PAIRS))
-        number, keys = _pairs(flat, end, hashes)
+        number, left, right = _pairs(flat, end, len(marks))
         twos = np.empty(len(answered), answered.dtype)
-        twos[np.argsort(_bucket(keys, sizes.of_kind(PAIRS)), kind="stable")] = answered
+        twos[np.argsort(_pair_bucket(marks[left], marks[right], sizes.buckets), kind="stable")] = answered
         before = np.concatenate((np.array([end], flat.dtype), flat[:-1]))
         ends = np.cumsum(lengths)
         lo = 0
@@ -493,7 +506,7 @@ def score(docs: DataFrame, learns, id_col: str = "doc_id", text: str = "text") -
     mode = F.when(~F.coalesce(learns, F.lit(False)), 2).when(held_out, 1).otherwise(0)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), mode.cast("int").alias("mode"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
-    sizes = Sizes.of(size, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sizes = Sizes.of(size)
     with settings(spark, READING):
         chunks = _chunks(rows, sizes)
         table = written(_answers(chunks, sizes) if sizes.groups == 1 else _answers_by_groups(chunks, sizes), "lm-counts", **PACKED)
