@@ -23,7 +23,7 @@ def test_stages_agree_with_their_operators(spark):
         elif name == "quality rules":
             assert set(after) == {r.doc_id for r in rules.judge_quality(docs, rules.fit(docs, labels)).where("kept").collect()}
         elif name == "near-dedup":
-            assert sorted(after) == sorted({r.component_id for r in simhash.near_duplicates(docs).collect()})
+            assert sorted(after) == sorted({r.component_id for r in simhash.near_duplicates(docs, similar=True).collect()})
         elif name == "mixing":
             assert set(after) == set(before)
             given = mixing.mix(docs, most_repeats=p.MOST_REPEATS)[1]

@@ -205,6 +205,46 @@ def test_links_connect_what_brute_force_does(spark, monkeypatch, longest):
             assert (y in part[x]) == (x == y or x in got and y in got and got[x] == got[y])
 
 
+def test_fingerprints_equal_brute_force(odd, spark):
+    import xxhash
+
+    texts = ["a", "a b", "A b c D", "a b c d", "a b c d e f g a b c d e", "\u00c4 \u00e4 x\u00a0y z " * 9, "w " * 500]
+    df = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    for r in simhash.fingerprints(df).join(df.withColumnRenamed("doc_id", "id"), "id").where("text_hash = coalesce(xxhash64(text), 0) OR text IS NULL").collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        grams = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert r.fp & (1 << 64) - 1 == want, (r.text or "")[:50]
+
+
+@pytest.mark.parametrize("longest", [16384, 6])
+def test_similar_texts_are_found(spark, monkeypatch, longest):
+    monkeypatch.setattr(simhash, "LONGEST", longest)
+    r = np.random.default_rng(8)
+    word = lambda: "w" + str(r.integers(0, 5000))
+    texts, near = [], 0
+    for i in range(60):
+        words = [word() for _ in range(int(r.integers(60, 300)))]
+        texts.append(words)
+        for _ in range(3):
+            other = list(words)
+            for _ in range(max(1, len(words) // 60)):
+                other[int(r.integers(0, len(words)))] = word()
+            texts.append(other)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    rows = simhash.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), similar=True).collect()
+    of = {x.doc_id: x.component_id for x in rows}
+    alike = found = wrong = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            s = len(a & sets[j]) / len(a | sets[j])
+            alike += s >= 0.8
+            found += s >= 0.8 and of[i] == of[j]
+            wrong += s < 0.2 and of[i] == of[j]
+    assert alike > 100 and found >= 0.95 * alike and not wrong
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
@@ -213,6 +253,7 @@ def test_near_duplicates_of_odd_rows(odd, none):
     kept = simhash.deduplicated(odd)
     assert kept.columns == odd.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 3, None, 6, 7, 7, 8, 9])
+    assert simhash.deduplicated(odd, similar=False).count() == 8
     assert simhash.near_duplicates(none).count() == 0 and simhash.deduplicated(none).count() == 0
 
 
