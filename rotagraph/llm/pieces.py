@@ -48,7 +48,9 @@ class PieceModel:
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == kinds.UNKNOWN)
         self.byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == kinds.BYTE}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
-        self.silent = {i for i, p in enumerate(proto.pieces) if p.type == kinds.CONTROL}
+        shown = {kinds.CONTROL: "", kinds.UNKNOWN: " \u2047 "}
+        #: The bytes that each id stands for.
+        self.bytes_of = [bytes([self.byte_of[i]]) if i in self.byte_of else shown.get(p.type, p.piece).replace(MARK, " ").encode() for i, p in enumerate(proto.pieces)]
         self.automaton = ahocorasick.Automaton()
         self.cuttable = True
         for i, p in enumerate(proto.pieces):
@@ -117,22 +119,13 @@ class PieceModel:
         head = np.array(self.viterbi(first), np.int32).tobytes()
         return np.frombuffer(head + b"".join([known[w] if w in known else new[w] for w in words]), np.int32)
 
-    def decode(self, ids) -> str:
-        """The text of ids: marks become spaces, byte pieces join, the prefix space goes."""
-        out, raw = [], bytearray()
-        for i in map(int, ids):
-            b = self.byte_of.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if i not in self.silent:
-                out.append(" ⁇ " if i == self.unknown else self.pieces[i])
-        out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
-        return text[1:] if self.dummy_prefix and text[:1] == " " else text
+    def decode(self, ids: list[int]) -> str | None:
+        """The text of ids: marks become spaces, byte pieces join, the prefix space goes. What
+        is not UTF-8 then becomes U+FFFD. None if an id is not of the model."""
+        if ids and not 0 <= min(ids) <= max(ids) < len(self.bytes_of):
+            return None
+        raw = b"".join(map(self.bytes_of.__getitem__, ids))
+        return (raw[1:] if self.dummy_prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
 _models: dict[str, PieceModel] = {}
@@ -145,34 +138,49 @@ def model_of(path: str) -> PieceModel:
     return _models[path]
 
 
-def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, with ``ids`` (array of int), ``n_pieces`` and ``round_trip``
-    (the decoded ids are the text again). Null texts count as empty and give no ids; texts
-    that hold the space mark itself decode to spaces there, so ``round_trip`` is false.
-    Rows are independent: repeated rows, nulls elsewhere and an empty table pass through.
-    Columns of ``docs`` named like an added one are replaced."""
+def _mapped(df: DataFrame, column: str, kept: list[str], added: str, f) -> DataFrame:
+    """Columns ``kept`` of ``df`` and those of ``f(values of column)``, 512 rows at once."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    added = "ids array<int>, n_pieces long, round_trip boolean"
-    kept = [c for c in docs.columns if c not in (text, "ids", "n_pieces", "round_trip")]
-    schema = StructType([docs.schema[c] for c in kept] + StructType.fromDDL(added).fields)
+    schema = StructType([df.schema[c] for c in kept] + StructType.fromDDL(added).fields)
     arrow = to_arrow_schema(schema)
-    rows = docs.select(*[F.col(c) for c in kept], F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
     def run(batches):
-        m = model_of(model)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                texts = part.column(part.num_columns - 1).to_pylist()
-                ids = [m.encode(t) for t in texts]
-                same = [m.decode(x) == t for x, t in zip(ids, texts, strict=True)]
-                counts = np.array([len(x) for x in ids], np.int64)
-                offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)).cast(arrow.field("ids").type)
                 columns = [part.column(k).cast(arrow.field(k).type) for k in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(counts), pa.array(same)], schema=arrow)
+                more = [x.cast(arrow.field(len(kept) + k).type) for k, x in enumerate(f(part.column(len(kept))))]
+                yield pa.RecordBatch.from_arrays([*columns, *more], schema=arrow)
+
+    return bounded(df.select(*[F.col(f"`{c}`") for c in kept], F.col(column).alias("_given"))).mapInArrow(run, schema)
+
+
+def encode_pieces(docs: DataFrame, model: str, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` (without ``text`` unless ``keep_text``) with ``ids`` (array of int) and
+    ``n_pieces``. Null texts count as empty and give no ids. Rows are independent: repeated
+    rows, nulls elsewhere and an empty table pass through. Columns of ``docs`` named like an
+    added one are replaced."""
+
+    def run(texts: pa.Array):
+        m = model_of(model)
+        ids = [m.encode(t or "") for t in texts.to_pylist()]
+        counts = np.array([len(x) for x in ids], np.int64)
+        offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), pa.array(counts)
+
+    gone = {"ids", "n_pieces"} | (set() if keep_text else {text})
+    return _mapped(docs, text, [c for c in docs.columns if c not in gone], "ids array<int>, n_pieces long", run)
+
+
+def decode_pieces(rows: DataFrame, model: str, ids: str = "ids", into: str = "text") -> DataFrame:
+    """``rows`` with ``into``: the text of ``ids``. Null where ``ids`` is null, holds a null or
+    an id that the model lacks; no ids give ''. Texts that held the space mark itself have
+    spaces there. A column of ``rows`` of that name is replaced."""
+
+    def run(lists: pa.Array):
+        m = model_of(model)
+        return (pa.array([None if x is None or None in x else m.decode(x) for x in lists.to_pylist()], pa.string()),)
 
-    return bounded(rows).mapInArrow(run, schema)
+    return _mapped(rows, ids, [c for c in rows.columns if c != into], f"`{into}` string", run)

@@ -53,8 +53,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.encode_pieces(docs, tokenizer_path("piece_bpe_32k.model"))
+    model = tokenizer_path("piece_bpe_32k.model")
+    encoded = pieces.encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model, keep_text=True)
+    decoded = pieces.decode_pieces(encoded, model, into="decoded")
+    return decoded.select("doc_id", "ids", "n_pieces", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

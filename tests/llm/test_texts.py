@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rotagraph.llm import chat, mixing, ngram, pieces, queries, simhash, tokenbin, urls
 
@@ -20,14 +21,15 @@ def test_urls_equal_brute_force(spark):
     hosts = ["a.net", "net", "xnet", "example.net", "w.example.net", "b.example.com", "fr.org", "a.org", ""]
     paths = ["", "/", "/en/", "/en", "/english", "/de/x/y", "/fr/a/", "/en/x/index.html"]
     rows = [(i, f"http://{h.upper()}{p}{q}") for i, (h, p, q) in enumerate((h, p, q) for h in hosts for p in paths for q in ("", "?a=/b", "#x"))]
-    rows += [(None, None), (7, None), (7, "no scheme.net/"), (8, "x://"), (8, "x://"), (9, "http://a.net/" + "d/" * 300)]
-    rule_rows = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("example.net", "/en", "block"), ("example.net", "/en/x/in", "block"), (None, "/", "block")]
+    rows += [(None, None), (7, None), (7, "no scheme.net/"), (8, "x://"), (8, "x://"), (9, "http://a.net/" + "d/" * 300), (10, "http://" + "a." * 40 + "example.net/en/" + "/" * 40_000), (11, "http://x.\u00c9.net/de/"), (12, "http://x.\u00e9.net/de/"), (13, "http://net" + "." * 5000 + "net/")]
+    rule_rows = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("example.net", "/en", "block"), ("example.net", "/en/x/in", "block"), (None, "/", "block"), ("\u00c9.NET", "/de/", "allow")]
     got = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS host", "2 AS digest"), spark.createDataFrame(rule_rows, "host string, path string, verdict string")).collect()
 
     def judge(url):
         m = re.match(r"[\s\S]*?://([^/?#]*)([^?#]*)", url or "")
-        host, p = (m[1].lower(), m[2]) if m else ("", "")
-        fits = [(len(h + q), len(h), v, h + q) for h, q, v in rule_rows if h and (host == h or host.endswith("." + h)) and p.startswith(q)]
+        lower = lambda x: re.sub("[A-Z]", lambda c: c[0].lower(), x)
+        host, p = (lower(m[1]), m[2]) if m else ("", "")
+        fits = [(len(h + q), len(h), v, h + q) for h, q, v in ((h and lower(h), q, v) for h, q, v in rule_rows) if h and (host == h or host.endswith("." + h)) and p.startswith(q)]
         best = max(fits, default=None)
         return host, p, best and best[3], best[2] if best else "allow"
 
@@ -126,11 +128,27 @@ def test_words_run_like_whole_texts(model):
         assert model.encode(t).tolist() == model.viterbi(model.prepared(t))
 
 
-def test_piece_operator(odd, none):
-    rows = pieces.encode_pieces(odd, path("piece_bpe_32k.model")).collect()
-    assert len(rows) == odd.count() and all(r.round_trip and r.n_pieces == len(r["ids"]) for r in rows)
+def test_paths_are_those_of_the_librarys_lattice(model):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(open(path("piece_bpe_32k.model"), "rb").read())
+    proto.trainer_spec.model_type = 1  # the same pieces and scores, as a unigram model
+    library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    for t in "the thinking hand, unbelievable Stra\u00dfenbahn! internationalisation 12.5 caf\u00e9s".split():
+        assert [model.pieces[i] for i in model.encode(t)] == library.nbest_encode_as_pieces(t, 2)[0], t
+
+
+def test_piece_operator(spark, odd, none):
+    name = path("piece_bpe_32k.model")
+    encoded = pieces.encode_pieces(odd.withColumn("decoded", F.lit(1)), name, keep_text=True)
+    rows = pieces.decode_pieces(encoded, name, into="decoded").collect()
+    assert len(rows) == odd.count() and all(r.decoded == (r.text or "") and r.n_pieces == len(r["ids"]) for r in rows)
     assert {r.n_pieces for r in rows if r.doc_id in (3, 4)} == {0}
-    assert pieces.encode_pieces(none, path("piece_bpe_32k.model")).count() == 0
+    assert "text" not in pieces.encode_pieces(odd, name).columns and pieces.encode_pieces(none, name).count() == 0
+    ids = spark.createDataFrame([([],), (None,), ([5, None],), ([32000],), ([-1],), ([1, 2],), ([3 + 0xC3, 3 + 0xA9, 3 + 0xFF],)], "ids array<int>")
+    assert [r.text for r in pieces.decode_pieces(ids, name).collect()] == ["", None, None, None, None, "", "\u00e9\ufffd"]
 
 
 # ---- chat
@@ -262,8 +280,6 @@ def test_near_duplicates_of_odd_rows(odd, none):
 
 @pytest.mark.parametrize("chunk", [1 << 22, 300, 50])
 def test_scores_equal_brute_force(spark, odd, monkeypatch, chunk):
-    from pyspark.sql import functions as F
-
     monkeypatch.setattr(ngram, "CHUNK", chunk)
     if chunk == 50:  # many groups of chunks, merged first
         monkeypatch.setattr(ngram, "FAN", 7)
@@ -322,8 +338,6 @@ def plain_weights(one, two, held):
 
 
 def test_scores_of_nothing(none, odd):
-    from pyspark.sql import functions as F
-
     assert ngram.score(none, F.lit(True)).count() == 0
     assert all(r.train_tokens == 0 and math.isfinite(r.score) for r in ngram.score(odd, F.lit(False)).collect())
 
