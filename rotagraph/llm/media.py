@@ -698,21 +698,24 @@ def tensors(images: list[Image], coef: np.ndarray, starts: list[list[int]]) -> l
     return out
 
 
-def decode(files: list[bytes]) -> list[np.ndarray | None]:
-    """RGB tensors of progressive files; None for what is not a whole, valid file."""
-    found: dict[int, Image] = {}
-    for k, raw in enumerate(files):
+def decode(files: list[bytes]) -> list[list[np.ndarray] | None]:
+    """RGB tensors of all frames of progressive files, in their order; None for what is not
+    a whole, valid file. What follows the last frame without beginning another is not read."""
+    frames: list[Image] = []
+    own: list[range | None] = []
+    for raw in files:
+        first, at = len(frames), 0
         try:
-            found[k] = parse(raw)
+            while at == 0 or raw[at : at + 2] == b"\xff\xd8":
+                frames.append(parse(raw, at))
+                at = frames[-1].end
+            own.append(range(first, len(frames)))
         except (MediaError, IndexError, KeyError, ValueError, struct.error):
-            continue
-    images = list(found.values())
-    coef, starts, broken = decode_coefficients(images)
-    got = tensors(images, coef, starts)
-    out: list = [None] * len(files)
-    for k, rgb, bad in zip(found, got, broken, strict=True):
-        out[k] = None if bad else rgb
-    return out
+            del frames[first:]
+            own.append(None)
+    coef, starts, broken = decode_coefficients(frames)
+    got = tensors(frames, coef, starts)
+    return [None if r is None or broken[r.start : r.stop].any() else got[r.start : r.stop] for r in own]
 
 
 # ---------------------------------------------------------------- operators
@@ -832,7 +835,8 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, media): the stored form of every text."""
+    """(id, media): the stored form of every text. Null and empty texts are 64 zero bytes;
+    repeated rows and null ids keep their rows; other columns are not read."""
 
     def run(batches):
         for batch in batches:
@@ -844,15 +848,21 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def decode_media(df: DataFrame, id_col: str, media: str = "media") -> DataFrame:
-    """(id, height, width, rgb): the RGB tensor of every progressive file, rows of pixels of
-    three bytes. Null, empty and invalid files have null in all three."""
+    """(id, frames): the full-resolution RGB tensors of every progressive file, all its frames
+    in order, as rows of pixels of three bytes with their height and width. Null, empty and
+    invalid files have null; repeated rows and null ids keep their rows."""
+    schema = f"{id_col} long, frames array<struct<height:int,width:int,rgb:binary>>"
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 16):
                 part = batch.slice(lo, 16)
                 got = decode([x or b"" for x in part.column(1).to_pylist()])
-                shape = lambda i, got=got: pa.array([None if x is None else x.shape[i] for x in got], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), shape(0), shape(1), pa.array([None if x is None else x.tobytes() for x in got], pa.binary())], names=[id_col, "height", "width", "rgb"])
+                frames = [None if x is None else [{"height": f.shape[0], "width": f.shape[1], "rgb": f.tobytes()} for f in x] for x in got]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(frames, arrow.field(1).type)], schema=arrow)
 
-    return bounded(df.select(F.col(id_col).cast("long").alias(id_col), F.col(media))).mapInArrow(run, f"{id_col} long, height int, width int, rgb binary")
+    return bounded(df.select(F.col(id_col).cast("long").alias(id_col), F.col(media))).mapInArrow(run, schema)

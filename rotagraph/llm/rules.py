@@ -136,16 +136,16 @@ def _grow(x: np.ndarray, bad: np.ndarray, longest: int, weights: tuple[float, fl
     return rule
 
 
-def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0.99, least: int = 5, most_rules: int = 16, longest: int = 4, clean_cost: float = 10.0, weights: tuple[float, float] = (1.0, 1.0)) -> DecisionList:
+def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0.99, least: int = 5, longest: int = 4, clean_cost: float = 10.0, weights: tuple[float, float] = (1.0, 1.0)) -> DecisionList:
     """Sequential covering over rows ``x`` (their order decides grow and prune thirds).
     Pruning weighs a clean row lost as ``clean_cost`` bad rows caught. A rule must cover
-    ``least`` bad rows, reach ``precision`` on all rows left and be worth more than 0 on
+    ``least`` bad rows, have at most ``longest`` conditions, reach ``precision`` on all rows left and be worth more than 0 on
     the pruning third. ``weights``: how many labelled rows a bad row, and a clean one, stand
     for; ``least`` and the cover in the trace count rows at hand. Without rows of both classes the list is empty: all are kept."""
     out = DecisionList()
     left = np.ones(len(x), bool)
     third = np.arange(len(x)) % 3 == 2
-    while len(out.rules) < most_rules and (bad & left).sum() >= least and (~bad).any():
+    while (bad & left).sum() >= least and (~bad).any():
         rule = _grow(x[left & ~third], bad[left & ~third], longest, weights)
         if not rule:
             break
@@ -168,7 +168,9 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], precision: float = 0
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: int = SAMPLE) -> DecisionList:
-    """Learns the list from at most ``sample`` labelled rows of each quality."""
+    """Learns the list from at most ``sample`` labelled rows of each quality. Null ids and
+    labels other than 0 and 1 are void, an id with both counts as good, null texts are empty.
+    Without labels the list is empty."""
     rows = labelled_sample(docs, labels, "quality", id_col, sample)
     got = text_statistics(rows).select("_id", "y", "weight", *FEATURES).toPandas().sort_values("_id")
     got = got.iloc[np.random.default_rng(0).permutation(len(got))]
@@ -186,6 +188,7 @@ def judge_quality(docs: DataFrame, rules: DecisionList, text: str = "text") -> D
 
 
 def keep_quality(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept."""
+    """The rows of ``docs`` that are kept, with their columns. Null and empty texts have too
+    few words and go; repeated rows share their verdict; an empty table stays one."""
     judged = judge_quality(packed(docs, _whole=F.col(text)), rules, "_whole")
     return unpacked(judged.where("kept"), docs.columns)

@@ -35,6 +35,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     """(id, text, y, weight): at most ``bound`` labelled rows of each class, those of the
     smallest hashes of their ids, joined to their texts. ``bound`` is the documented limit of
     what a classifier is fitted on; the small side is broadcast, as its size is known.
+    Null ids and labels other than 0 and 1 are void; an id with both labels counts as 1.
     ``weight``: how many labelled ids of its class, all counted, a chosen one stands for.
     Of several rows with a chosen id the text of the smallest hash is kept, by partial
     aggregation, so copies of one id never gather."""

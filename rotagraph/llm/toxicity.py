@@ -8,9 +8,10 @@ the text enters a score.
 
 Fitting uses at most SAMPLE labelled rows of each class; where that leaves rows of a class
 out, those in the sample weigh as much as all labels of it, so a score means the same
-probability at every size of the table. Document frequencies of the
-sample are counted on the executors; the driver gets the lexicon and one short feature
-vector per sampled row.
+probability at every size of the table. Calibration is fitted across folds, at every size:
+the margin of a sampled row comes from lexicons and trees that did not see its fold.
+Document frequencies of the sample are counted on the executors; the driver gets the
+lexicons and a short feature vector per sampled row and fold.
 """
 
 from __future__ import annotations
@@ -20,15 +21,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from rotagraph.llm.shared import bounded, labelled_sample, release, utf8
+from rotagraph.session import written
 
 #: The classifier is fitted on at most so many labelled rows of each class.
 SAMPLE = 3000
-#: Most entries of each lexicon, and lengths in bytes of word beginnings.
-ENTRIES, BEGINNINGS = 2000, (4, 5, 6, 7, 8)
+#: Lexicons hold at most so many entries, the most surprising; ``Lexicons.left_out`` tells how many more there were.
+ENTRIES = 2000
+#: Lengths in bytes of word beginnings.
+BEGINNINGS = (4, 5, 6, 7, 8)
+#: Folds of the calibration.
+FOLDS = 5
 THRESHOLD = 0.3
 NEAR = 5
 
@@ -61,6 +67,7 @@ def _count(text: bytes, signs: bytes) -> int:
 class Lexicons:
     words: frozenset = frozenset()
     beginnings: frozenset = frozenset()
+    left_out: int = 0
     kinds: dict = field(default_factory=dict, repr=False)
 
     def kind(self, word: bytes) -> int:
@@ -97,30 +104,45 @@ class Lexicons:
         ]
 
     def __reduce__(self):
-        return Lexicons, (self.words, self.beginnings)
+        return Lexicons, (self.words, self.beginnings, self.left_out)
 
 
-def learn_lexicons(rows: DataFrame, n_toxic: int, n_other: int, least: int = 4, surprise: float = 24.0, odds: float = 6.0) -> Lexicons:
-    """Words and beginnings found in at least ``least`` toxic rows, ``odds`` times as often
-    as in others, with a log-likelihood ratio of ``surprise``; the ENTRIES most surprising."""
+def learn_lexicons(rows: DataFrame, sizes: dict[tuple[int, int], int], entries: int = ENTRIES, least: int = 4, surprise: float = 24.0, odds: float = 6.0) -> list[Lexicons]:
+    """Lexicons of ``rows`` (text, y, fold) without each fold, then of all of them: words and
+    beginnings found in at least ``least`` toxic rows, ``odds`` times as often as in others,
+    with a log-likelihood ratio of ``surprise``; the ``entries`` most surprising of each kind.
+    ``sizes``: rows by (y, fold). Terms are counted by fold in one aggregation."""
+    columns = [f"{c}{f}" for f in range(FOLDS) for c in "ab"]
 
     def run(batches):
         for batch in batches:
-            ys = batch.column(batch.schema.get_field_index("y")).to_pylist()
-            for text, y in zip(utf8(batch), ys, strict=True):
+            own = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("y", "fold"))
+            for text, y, fold in zip(utf8(batch), *own, strict=True):
                 words = set(_flat_words(text))
                 heads = {w[:n] for w in words for n in BEGINNINGS if len(w) >= n}
                 terms = [*(b"w" + w for w in words), *(b"b" + w for w in heads)]
-                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array([y] * len(terms), pa.int64()), pa.array([1 - y] * len(terms), pa.int64())], names=["term", "a", "b"])
-
-    counts = bounded(rows.select("text", "y")).mapInArrow(run, "term binary, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    p = F.col("a") / F.lit(max(1, n_toxic))
-    q = (F.col("b") + 0.5) / F.lit(n_other + 1.0)
-    every = (F.col("a") + F.col("b")) / F.lit(max(1, n_toxic + n_other))
-    ratio = 2 * (F.col("a") * F.ln(p / every) + F.when(F.col("b") > 0, F.col("b") * F.ln(F.col("b") / F.lit(max(1, n_other)) / every)).otherwise(0.0))
-    found = counts.where((F.col("a") >= least) & (p > odds * q)).withColumn("g", ratio).where(F.col("g") >= surprise)
-    top = lambda kind: [bytes(r.term[1:]) for r in found.where(F.substring("term", 1, 1) == F.lit(kind)).orderBy(F.desc("g"), "term").limit(ENTRIES).collect()]
-    return Lexicons(frozenset(top(b"w")), frozenset(top(b"b")))
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array([2 * fold + 1 - y] * len(terms), pa.int32())], names=["term", "place"])
+
+    terms = bounded(rows.select("text", F.col("y").cast("int"), F.col("fold").cast("int"))).mapInArrow(run, "term binary, place int")
+    # counts of one pass, by fold; rare terms are in no lexicon
+    counts = terms.groupBy("term").agg(*[F.count(F.when(F.col("place") == k, 1)).alias(c) for k, c in enumerate(columns)])
+    every_a = sum((F.col(f"a{f}") for f in range(1, FOLDS)), F.col("a0"))
+    counts = written(counts.where(every_a >= least), "toxicity-terms")
+    out = []
+    for left in range(FOLDS + 1):
+        folds = [f for f in range(FOLDS) if f != left]
+        n_toxic, n_other = (sum(sizes.get((y, f), 0) for f in folds) for y in (1, 0))
+        a, b = (sum((F.col(f"{c}{f}") for f in folds[1:]), F.col(f"{c}{folds[0]}")) for c in "ab")
+        p, q = F.col("a") / F.lit(max(1, n_toxic)), (F.col("b") + 0.5) / F.lit(n_other + 1.0)
+        every = (F.col("a") + F.col("b")) / F.lit(max(1, n_toxic + n_other))
+        ratio = 2 * (F.col("a") * F.ln(p / every) + F.when(F.col("b") > 0, F.col("b") * F.ln(F.col("b") / F.lit(max(1, n_other)) / every)).otherwise(0.0))
+        found = counts.select("term", a.alias("a"), b.alias("b")).where((F.col("a") >= least) & (p > odds * q)).withColumn("g", ratio).where(F.col("g") >= surprise)
+        rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("g"), "term"))
+        top = found.withColumn("kind", F.substring("term", 1, 1)).withColumns({"rank": rank, "all": F.count("*").over(Window.partitionBy("kind"))}).where(F.col("rank") <= entries)
+        got = top.select("kind", "term", "all").collect()
+        kept = [frozenset(bytes(r.term[1:]) for r in got if bytes(r.kind) == kind) for kind in (b"w", b"b")]
+        out.append(Lexicons(*kept, sum({bytes(r.kind): r.all for r in got}.values()) - len(got)))
+    return out
 
 
 @dataclass
@@ -146,8 +168,10 @@ class Trees:
 
 def fit_trees(x: np.ndarray, y: np.ndarray, weights: tuple[float, float] = (1.0, 1.0), trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 32, smooth: float = 2.0, least: float = 1.0) -> Trees:
     """Second-order boosting with histograms over quantile bins. ``weights``: of a row with
-    y 0, and of one with y 1."""
+    y 0, and of one with y 1. Without rows no trees."""
     w = np.where(y == 1, weights[1], weights[0])
+    if not len(y):
+        return Trees(np.zeros((0, 2**depth - 1), int), np.zeros((0, 2**depth - 1)), np.zeros((0, 2**depth)), 0.0)
     cuts = [np.unique(np.quantile(np.unique(x[:, j]), np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)
     prior = ((w * y).sum() + 0.5) / (w.sum() + 1)
@@ -185,18 +209,19 @@ def fit_trees(x: np.ndarray, y: np.ndarray, weights: tuple[float, float] = (1.0,
 
 
 def isotonic(margin: np.ndarray, y: np.ndarray, weights: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots (margin, probability), kept off 0 and 1 by half a row.
-    ``weights``: of a row with y 0, and of one with y 1."""
+    """Pool adjacent violators: knots (margin, probability), one a block of rows at the mean
+    of its margins, kept off 0 and 1 by a twentieth of a row of each class. Between knots
+    probabilities are interpolated. ``weights``: of a row with y 0, and of one with y 1.
+    Without rows: one half."""
     order = np.argsort(margin, kind="stable")
-    blocks: list[list[float]] = []  # rows, positives, least and largest margin
+    blocks: list[list[float]] = []  # weight, positives, sum of weighted margins
     for m, v in zip(margin[order].tolist(), y[order].tolist(), strict=True):
         w = weights[int(v)]
-        blocks.append([w, w * v, m, m])
+        blocks.append([w, w * v, w * m])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
-            n, s, _, hi = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + n, blocks[-1][1] + s, blocks[-1][2], hi]
-    knots = [(m, (s + 0.05 * weights[1]) / (n + 0.05 * sum(weights))) for n, s, lo, hi in blocks for m in ((lo, hi) if hi > lo else (lo,))]
-    a = np.array(knots or [(0.0, 0.0)])
+            last = blocks.pop()
+            blocks[-1] = [x + z for x, z in zip(blocks[-1], last, strict=True)]
+    a = np.array([(m / n, (s + 0.05 * weights[1]) / (n + 0.05 * sum(weights))) for n, s, m in blocks] or [(0.0, 0.5)])
     return a[:, 0], np.maximum.accumulate(a[:, 1])
 
 
@@ -211,39 +236,35 @@ class ToxicityModel:
         return self.calibrated(self.trees.margin(x))
 
     def calibrated(self, margin: np.ndarray) -> np.ndarray:
-        # a little of the raw probability keeps the order within a calibrated step
-        return 0.98 * np.interp(margin, *self.knots) + 0.02 / (1 + np.exp(-margin))
-
+        return np.interp(margin, *self.knots)
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep=None, sample: int = SAMPLE) -> ToxicityModel:
-    """Fits on labelled rows (``keep``: a condition on their ids). Four fifths of them give
-    lexicons and trees, the last fifth, by hash of the id, the calibration; with fewer than
-    five rows of a class all of them do both. Without labels every score is one half."""
-    from rotagraph.session import written
 
-    rows = written(labelled_sample(docs, labels, "toxic", id_col, sample, keep), "toxicity-sample").withColumn("part", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(5)))
-    got = rows.groupBy("y", (F.col("part") == 4).alias("last")).agg(F.count("*").alias("n"), F.max("weight").alias("weight")).collect()
-    count, weight = {(r.y, r.last): r.n for r in got}, {r.y: r.weight for r in got}
-    few = any(min(count.get((y, False), 0), count.get((y, True), 0)) < 5 for y in (0, 1))
-    train = rows if few else rows.where("part != 4")
-    sizes = [count.get((y, False), 0) + (count.get((y, True), 0) if few else 0) for y in (0, 1)]
-    lexicons = learn_lexicons(train, sizes[1], sizes[0])
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep=None, sample: int = SAMPLE, entries: int = ENTRIES) -> ToxicityModel:
+    """Fits on labelled rows (``keep``: a condition on their ids): lexicons and trees on all
+    of them, the calibration on margins that every fifth, by hash of the id, gets from the
+    others. An id with labels of both kinds counts as toxic. Without labels every score is
+    one half."""
+    rows = written(labelled_sample(docs, labels, "toxic", id_col, sample, keep), "toxicity-sample").withColumn("fold", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(FOLDS)).cast("int"))
+    got = rows.groupBy("y", "fold").agg(F.count("*").alias("n"), F.max("weight").alias("weight")).collect()
+    weight = {r.y: r.weight for r in got}
+    lexicons = learn_lexicons(rows, {(r.y, r.fold): r.n for r in got}, entries)
 
     def run(batches):
         for batch in batches:
-            x = np.array([lexicons.features(t) for t in utf8(batch)]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("_id", "y", "part")), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["_id", "y", "part", "x"])
+            texts, folds = utf8(batch), batch.column(batch.schema.get_field_index("fold")).to_pylist()
+            x = [[lex.features(t) for t in texts] for lex in lexicons]
+            flat = [[v for own in rows for v in own] for rows in zip(*x, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("_id", "y")), pa.array(folds, pa.int32()), pa.array(flat, pa.list_(pa.float64()))], names=["_id", "y", "fold", "x"])
 
-    got = rows.select("_id", F.col("y").cast("int"), F.col("part").cast("long"), "text").mapInArrow(run, "_id long, y int, part long, x array<double>").collect()
+    got = bounded(rows.select("_id", F.col("y").cast("int"), "fold", "text")).mapInArrow(run, "_id long, y int, fold int, x array<double>").collect()
     got.sort(key=lambda r: (r._id, list(r.x)))
-    x, y, part = np.array([r.x for r in got]).reshape(-1, len(FEATURES)), np.array([r.y for r in got], float), np.array([r.part for r in got])
-    if len(set(y.tolist())) < 2:
-        p = 0.5 if not len(y) else float(y[0])
-        return ToxicityModel(lexicons, Trees(np.zeros((0, 7), int), np.zeros((0, 7)), np.zeros((0, 8)), 0.0), (np.array([0.0]), np.array([p])))
-    own, last = (np.ones(len(y), bool),) * 2 if few else (part != 4, part == 4)
-    weights = weight[0], weight[1]
-    trees = fit_trees(x[own], y[own], weights)
-    return ToxicityModel(lexicons, trees, isotonic(trees.margin(x[last]), y[last], weights))
+    x = np.array([r.x for r in got]).reshape(-1, FOLDS + 1, len(FEATURES))
+    y, fold = np.array([r.y for r in got], float), np.array([r.fold for r in got], int)
+    weights = weight.get(0, 1.0), weight.get(1, 1.0)
+    margin = np.zeros(len(y))
+    for f in np.unique(fold):
+        margin[fold == f] = fit_trees(x[fold != f, f], y[fold != f], weights).margin(x[fold == f, f])
+    return ToxicityModel(lexicons[-1], fit_trees(x[:, -1], y, weights), isotonic(margin, y, weights))
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score") -> DataFrame:

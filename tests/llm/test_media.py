@@ -31,7 +31,7 @@ def test_equal_texts_give_equal_values_in_any_batch():
 def test_transform_equals_floating_point():
     blocks = np.random.default_rng(0).integers(-90, 90, (6, 64))
     file = media.encode_payloads([(blocks + media.OFFSET).astype(np.uint8).tobytes()], [b""])[0]
-    rgb = media.decode([file])[0].astype(int)
+    rgb = media.decode([file])[0][0].astype(int)
     x = np.arange(8)
     c = np.cos((2 * x[:, None] + 1) * x * np.pi / 16) / 2 * np.where(x == 0, np.sqrt(0.5), 1)
     plain = np.zeros((6, 8, 8))
@@ -48,6 +48,16 @@ def test_broken_files_are_null():
     good = media.store([b"hello world " * 50])[0]
     cut = good[: len(good) // 2]
     assert media.decode([b"", b"\xff\xd8", cut, good])[:3] == [None, None, None]
+    assert media.decode([good + cut, good + b"\x00rest"])[0] is None and len(media.decode([good + b"\x00rest"])[0]) == 1
+
+
+def test_all_frames_are_decoded():
+    text = bytes_of(range(256), 600_000, 9)
+    stored = media.store([text, b"short"])
+    got, want = media.decode(stored), media.read_back(stored)
+    assert len(got[0]) == 3 and len(got[1]) == 1
+    for frames, kept in zip(got, want, strict=True):
+        assert all(np.array_equal(a, b) for a, b in zip(frames, kept.tensors, strict=True))
 
 
 def test_operator(spark, odd, none):
@@ -58,5 +68,8 @@ def test_operator(spark, odd, none):
     empty = next(r for r in rows if r.doc_id == 3)
     assert (empty.n_bytes, empty.payload_bytes, empty.tail_crc32) == (0, 64, zlib.crc32(bytes(64)))
     assert media.stored_texts(none).count() == 0
-    decoded = media.decode_media(media.encode_texts(odd.where("doc_id IN (1, 3)")), "doc_id").collect()
-    assert all(len(r.rgb) == r.height * r.width * 3 for r in decoded) and len(decoded) == 3
+    decoded = media.decode_media(media.encode_texts(odd), "doc_id").collect()
+    assert len(decoded) == len(rows) and all(len(f.rgb) == f.height * f.width * 3 for r in decoded for f in r.frames)
+    assert max(len(r.frames) for r in decoded) == 4
+    bad = odd.sparkSession.createDataFrame([(1, None), (1, b""), (None, b"\xff\xd8\xff")], "doc_id long, media binary")
+    assert [r.frames for r in media.decode_media(bad, "doc_id").collect()] == [None] * 3
