@@ -8,8 +8,11 @@ over the source (epoch) visits the blocks in a new order and the documents of a
 new order, and the source's budget cuts the last epoch by blocks first, then within one
 block. Positions of all sources interleave in proportion.
 
-Only one row per source (and one per block, as sums) meets in a task; documents take their
-place by windows over blocks, whose number grows with a source's tokens.
+Sources may be as many as sites: their figures are a table, and what bisection needs of
+them are sums, for several exponents in one aggregation. Blocks find their places in two
+steps, by ranges of their order and within a range, and documents by windows over blocks;
+so no task meets all blocks or all documents of a source. Rows alike in id and text share a
+block, and are sorted in one task.
 """
 
 from __future__ import annotations
@@ -20,88 +23,89 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rotagraph.llm.shared import packed, unpacked
+from rotagraph.session import written
 
 #: Tokens of a source that one block holds, on average.
 BLOCK_TOKENS = 1 << 18
+#: Ranges of a source's order of blocks, as binary digits.
+RANGES = 10
 #: Figures of sources are broadcast up to so many; beyond, Spark shuffles.
 BROADCAST_SOURCES = 10_000
-#: Steps of a bisection: enough for every digit of a double.
-STEPS = 100
+#: Exponents that one aggregation tries, and narrowings: together every digit of a double.
+TRIED, PASSES = 15, 13
 
 
 @dataclass
 class Mixture:
-    """alpha, and for each source (None: the null source) its tokens, weight and quota of tokens."""
+    """alpha, the tokens to give, and (source, tokens, weight, quota) of every source."""
 
     alpha: float
-    tokens: dict
-    weights: dict
-    quotas: dict
-
-
-def weights_of(tokens: dict, alpha: float) -> dict:
-    """Shares to the power alpha, normalised; sources without tokens get 0."""
-    total = sum(tokens.values())
-    powers = {s: (n / total) ** alpha if n else 0.0 for s, n in tokens.items()}
-    whole = sum(powers.values())
-    return {s: p / whole for s, p in powers.items()} if whole else powers
-
-
-def entropy(weights: dict) -> float:
-    """In bits."""
-    return -sum(w * math.log2(w) for w in weights.values() if w)
+    budget: float
+    sources: DataFrame
 
 
 def bisect(f, low: float, high: float) -> float:
-    """Where ``f`` turns from true to false between ``low`` (true) and ``high``; the true side."""
-    if f(high):
+    """Where ``f`` turns from true to false between ``low`` (true) and ``high``; the true
+    side. ``f`` judges TRIED ascending points at once."""
+    if f([high])[0]:
         return high
-    for _ in range(STEPS):
-        middle = (low + high) / 2
-        if f(middle):
-            low = middle
-        else:
-            high = middle
+    for _ in range(PASSES):
+        points = [low + (high - low) * k / (TRIED + 1) for k in range(1, TRIED + 1)]
+        k = sum(f(points))
+        low, high = [low, *points][k], [*points, high][k]
     return low
 
 
-def solve(tokens: dict, budget: int | None = None, target_entropy: float | None = None, most_repeats: float | None = None) -> Mixture:
-    """Finds alpha in 0 (equal weights) to 1 (shares as they are).
+def solve(sums: DataFrame, budget: int | None = None, target_entropy: float | None = None, most_repeats: float | None = None) -> Mixture:
+    """Finds alpha in 0 (equal weights) to 1 (shares as they are) for ``sums`` (source, n).
 
     ``target_entropy`` (bits): the largest alpha whose weights have at least that entropy,
     0 where none has. ``most_repeats``: the smallest alpha at which no source gives more
     than so many times its tokens, 1 where none does. With both, the larger alpha, so the
     limit holds. ``budget``: tokens to give; None: just enough that every source is given
-    once in full at least, so no document is lost. Quotas are whole tokens.
+    once in full at least, so no document is lost. Quotas are whole tokens; sources without
+    tokens have none.
     """
     if budget is not None and budget < 0:
         raise ValueError("the budget is negative")
-    live = {s: n for s, n in tokens.items() if n}
-    if not live:
-        return Mixture(1.0, dict(tokens), dict.fromkeys(tokens, 0.0), dict.fromkeys(tokens, 0))
-
-    def spent(w: dict) -> float:
-        return max(live[s] / w[s] for s in live) if budget is None else float(budget)
-
-    def repeats(alpha: float) -> float:
-        w = weights_of(live, alpha)
-        return max(spent(w) * w[s] / live[s] for s in live)
+    live = sums.where("n > 0")
+    total, most, least = live.agg(F.sum("n"), F.max("n"), F.min("n")).first()
+    if not total:
+        return Mixture(1.0, 0.0, sums.select("source", F.col("n").alias("tokens"), F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("quota")))
+    share = F.col("n") / F.lit(float(total))
+
+    def moments(alphas: list[float]) -> list[tuple[float, float]]:
+        """For each alpha the sum of powers of shares, and of these times the logarithm of the share."""
+        got = live.agg(*[x for a in alphas for x in (F.sum(F.pow(share, F.lit(a))), F.sum(F.pow(share, F.lit(a)) * F.ln(share)))]).first()
+        return list(zip(got[::2], got[1::2], strict=True))
+
+    def mixed_enough(alphas: list[float]) -> list[bool]:
+        return [math.log(z) - a * x / z >= target_entropy * math.log(2) for a, (z, x) in zip(alphas, moments(alphas), strict=True)]
+
+    def repeated_little(tempering: list[float]) -> list[bool]:
+        """The smallest source is the one most repeated."""
+        alphas = [1 - t for t in tempering]
+        if budget is None:
+            times = [(most / least) ** (1 - a) for a in alphas]
+        else:
+            times = [budget * (least / total) ** (a - 1) / (z * total) for a, (z, _) in zip(alphas, moments(alphas), strict=True)]
+        return [t <= most_repeats * (1 + 1e-12) for t in times]
 
     alpha = 1.0
     if target_entropy is not None:
-        alpha = bisect(lambda a: entropy(weights_of(live, a)) >= target_entropy, 0.0, 1.0)
+        alpha = bisect(mixed_enough, 0.0, 1.0) if mixed_enough([0.0])[0] else 0.0
     if most_repeats is not None:
-        least = 1 - bisect(lambda x: repeats(1 - x) <= most_repeats * (1 + 1e-12), 0.0, 1.0)
-        alpha = max(alpha, least) if target_entropy is not None else least
-    w = weights_of(tokens, alpha)
-    total = spent(w)
+        enough = 1 - bisect(repeated_little, 0.0, 1.0) if repeated_little([0.0])[0] else 1.0
+        alpha = max(alpha, enough) if target_entropy is not None else enough
+    z = moments([alpha])[0][0]
+    spent = z * (most / total) ** (1 - alpha) * total if budget is None else float(budget)
+    weight = F.when(F.col("n") > 0, F.pow(share, F.lit(alpha)) / F.lit(z)).otherwise(0.0)
     # a quota that is a whole number of epochs but for rounding is that number of epochs
-    quotas = {}
-    for s, n in tokens.items():
-        q = total * w[s]
-        epochs = round(q / n) if n else 0
-        quotas[s] = epochs * n if n and abs(q - epochs * n) < 1e-6 * n else int(q)
-    return Mixture(alpha, dict(tokens), w, quotas)
+    own = F.lit(spent) * F.col("weight")
+    epochs = F.round(own / F.col("tokens")).cast("long")
+    whole = F.abs(own - epochs * F.col("tokens")) < 1e-6 * F.col("tokens")
+    quota = F.when(F.col("tokens") <= 0, F.lit(0)).when(whole, epochs * F.col("tokens")).otherwise(F.floor(own))
+    return Mixture(alpha, spent, sums.select("source", F.col("n").alias("tokens"), weight.alias("weight")).withColumn("quota", quota.cast("long")))
 
 
 def _count(text):
@@ -130,24 +134,26 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None
         F.col(source).alias("source"),
         (_count(F.col(text)) if tokens is None else F.greatest(tokens, F.lit(1)).cast("long")).alias("n_tokens"),
     )
-    from rotagraph.session import written
-
     own = written(own, "mix-documents")
-    spark = docs.sparkSession
-    # one row per source comes to the driver
-    sums = {r.source: r.n for r in own.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    mixture = solve(sums, budget, target_entropy, most_repeats)
-    plan = [(s, mixture.quotas[s], n, max(1, n // BLOCK_TOKENS), max(1, -(-mixture.quotas[s] // n))) for s, n in sums.items()]
-    schema = "p_source string, quota long, source_tokens long, blocks long, epochs long"
-    plan_df = spark.createDataFrame(plan, schema)
-    if len(plan) <= BROADCAST_SOURCES:
-        plan_df = F.broadcast(plan_df)
-    with_block = own.join(plan_df, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("block", _mix(F.lit(seed), "id", "text_hash") % F.col("blocks"))
-    sizes = with_block.groupBy("source", "block", "quota", "source_tokens", "epochs").agg(F.sum("n_tokens").alias("block_tokens"))
-    every = sizes.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
-    order = Window.partitionBy("source", "epoch").orderBy(_mix(F.lit(seed), "epoch", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("epoch") * F.col("source_tokens") + F.coalesce(F.sum("block_tokens").over(order), F.lit(0))
-    placed = every.withColumn("block_start", start).where("block_start < quota").select("source", "block", "epoch", "block_start", "block_tokens", "quota")
+    mixture = solve(written(own.groupBy("source").agg(F.sum("n_tokens").alias("n")), "mix-sources"), budget, target_entropy, most_repeats)
+    at_least_one = lambda x: F.greatest(x, F.lit(1)).cast("long")
+    plan = mixture.sources.select(
+        F.col("source").alias("p_source"), "quota", F.col("tokens").alias("source_tokens"),
+        at_least_one(F.floor(F.col("tokens") / BLOCK_TOKENS)).alias("blocks"), at_least_one(F.ceil(F.col("quota") / F.col("tokens"))).alias("epochs"),
+    )
+    if plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
+    with_block = own.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("block", _mix(F.lit(seed), "id", "text_hash") % F.col("blocks"))
+    sizes = written(with_block.groupBy("source", "block", "quota", "source_tokens", "epochs").agg(F.sum("n_tokens").alias("block_tokens")), "mix-block-sizes")
+    every = sizes.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1))).withColumn("order", _mix(F.lit(seed), "epoch", "block"))
+    every = every.withColumn("range", F.shiftright("order", 62 - RANGES))
+    before = lambda column, *order: F.coalesce(F.sum(column).over(Window.partitionBy(*order[0]).orderBy(*order[1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = every.groupBy("source", "epoch", "range").agg(F.sum("block_tokens").alias("range_tokens"))
+    ranges = ranges.select(F.col("source").alias("r_source"), F.col("epoch").alias("r_epoch"), F.col("range").alias("r_range"), before("range_tokens", ["source", "epoch"], ["range"]).alias("range_start"))
+    inner = every.withColumn("inner_start", before("block_tokens", ["source", "epoch", "range"], ["order", "block"]))
+    same = F.col("source").eqNullSafe(F.col("r_source")) & (F.col("epoch") == F.col("r_epoch")) & (F.col("range") == F.col("r_range"))
+    start = F.col("epoch") * F.col("source_tokens") + F.col("range_start") + F.col("inner_start")
+    placed = inner.join(ranges, same).withColumn("block_start", start).where("block_start < quota").select("source", "block", "epoch", "block_start", "block_tokens", "quota")
     placed = written(placed, "mix-blocks")
     both = with_block.select("id", "text_hash", "source", "n_tokens", "block").join(
         placed.withColumnRenamed("source", "b_source").withColumnRenamed("block", "b_block"),

@@ -345,13 +345,66 @@ def test_scores_of_nothing(none, odd):
 # ---- mixing
 
 
-def test_exponent_meets_its_targets():
+def solved(spark, tokens, **how):
+    m = mixing.solve(spark.createDataFrame(list(tokens.items()), "source string, n long"), **how)
+    rows = {r.source: r for r in m.sources.collect()}
+    return m, {s: r.weight for s, r in rows.items()}, {s: r.quota for s, r in rows.items()}
+
+
+def plain_weights_of(tokens, alpha):
+    powers = {s: n**alpha if n else 0.0 for s, n in tokens.items()}
+    return {s: p / sum(powers.values()) for s, p in powers.items()}
+
+
+def test_exponent_meets_its_targets(spark):
     tokens = {"a": 6000, "b": 1000, "c": 500, None: 0}
-    m = mixing.solve(tokens, target_entropy=1.4, budget=1000)
-    assert abs(mixing.entropy(m.weights) - 1.4) < 1e-6 and m.weights[None] == 0
-    m = mixing.solve(tokens, most_repeats=2)
-    assert m.quotas["a"] == 6000 and max(m.quotas[s] / n for s, n in tokens.items() if n) == pytest.approx(2, rel=1e-3)
-    assert mixing.solve(tokens, most_repeats=100).alpha == 0 and mixing.solve({}).quotas == {}
+    entropy = lambda w: -sum(x * math.log2(x) for x in w.values() if x)
+    m, w, _ = solved(spark, tokens, target_entropy=1.4, budget=1000)
+    assert abs(entropy(w) - 1.4) < 1e-9 and w[None] == 0 and w == pytest.approx(plain_weights_of(tokens, m.alpha))
+    m, w, q = solved(spark, tokens, most_repeats=2)
+    assert q["a"] == 6000 and max(q[s] / n for s, n in tokens.items() if n) == pytest.approx(2, rel=1e-3)
+    assert m.alpha == pytest.approx(1 - math.log(2) / math.log(12))
+    for budget, limit in ((9000, 1.5), (30000, 4.5)):
+        m, w, q = solved(spark, tokens, budget=budget, most_repeats=limit)
+        repeats = lambda a: max(budget * x / tokens[s] for s, x in plain_weights_of(tokens, a).items() if tokens[s])
+        assert repeats(m.alpha) <= limit * (1 + 1e-9) and repeats(m.alpha - 1e-6) > limit and sum(q.values()) in range(budget - 3, budget + 1)
+    assert solved(spark, tokens, most_repeats=100)[0].alpha == 0 and solved(spark, tokens, budget=10**6, most_repeats=2)[0].alpha == 1
+    assert solved(spark, {"a": 0}, most_repeats=2)[2] == {"a": 0}
+
+
+def test_places_equal_a_plain_walk(spark, odd, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 12)
+    docs = odd.select("doc_id", "text", "source").where("length(text) < 1000 OR text IS NULL")
+    more = spark.createDataFrame([(100 + i, "w " * (i % 9), "abc"[i * i % 3]) for i in range(50)], "doc_id long, text string, source string")
+    docs = docs.unionByName(more)
+    m, given = mixing.mix(docs, budget=400, most_repeats=3, seed=4)
+    got = Counter((r.id, r.text_hash, r.source, r.epoch, round(r.position, 9)) for r in given.collect())
+    hashed = docs.selectExpr("doc_id AS id", "CASE WHEN text IS NULL THEN 0 ELSE xxhash64(text) END AS h", "source", "text").collect()
+    from itertools import product
+
+    rows = {(i,) for i in range(40)} | {(e, b) for e, b in product(range(9), range(40))} | {(x.id, x.h) for x in hashed} | {(e, x.id, x.h) for e in range(9) for x in hashed}
+    order = {}
+    for n in (2, 3):
+        own = [k for k in rows if len(k) == n]
+        names = [f"k{j}" for j in range(n)]
+        hashes = spark.createDataFrame(own, ", ".join(f"{c} long" for c in names)).selectExpr(*names, f"shiftrightunsigned(xxhash64(4, {', '.join(names)}), 2) AS h").collect()
+        order |= {tuple(r[:n]): r.h for r in hashes}
+
+    want = Counter()
+    for r in m.sources.collect():
+        own = [(x.id, x.h, max(1, len(re.findall(r"[^\x20\x09-\x0D]+", x.text or "")))) for x in hashed if x.source == r.source]
+        blocks = max(1, r.tokens // 12)
+        of = [order[i, h] % blocks for i, h, _ in own]
+        at, epoch = 0, 0
+        while at < r.quota:
+            for block in sorted(set(of), key=lambda b: (order[epoch, b], b)):
+                members = [x for x, b in zip(own, of, strict=True) if b == block]
+                for i, h, n in sorted(members, key=lambda x: (order[epoch, x[0], x[1]], x[0] is not None, x[0] or 0, x[1])):
+                    if at < r.quota:
+                        want[i, h, r.source, epoch, round((at + 0.5) / r.quota, 9)] += 1
+                    at += n
+            epoch += 1
+    assert got == want and max(r.quota for r in m.sources.collect()) > 100
 
 
 def test_mixture_of_odd_rows(odd, none, monkeypatch):
@@ -361,7 +414,7 @@ def test_mixture_of_odd_rows(odd, none, monkeypatch):
     times = Counter((r.id, r.text_hash) for r in rows)
     assert len(times) == odd.select("doc_id", "text").distinct().count()  # every document at least once
     assert max(r.epoch for r in rows) <= 2 and all(0 < r.position <= 1 for r in rows)
-    for s, quota in m.quotas.items():
+    for s, quota in ((r.source, r.quota) for r in m.sources.collect()):
         own = sorted((r.position, r.n_tokens) for r in rows if r.source == s)
         assert sum(n for _, n in own) >= quota > sum(n for _, n in own[:-1])
     again = mixing.mixed_documents(odd, most_repeats=3)
