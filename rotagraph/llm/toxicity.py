@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from rotagraph.llm.shared import bounded, labelled_sample, release, utf8
+from rotagraph.llm.shared import bounded, labelled_sample, packed, release, unpacked, utf8
 from rotagraph.session import written
 
 #: The classifier is fitted on at most so many labelled rows of each class.
@@ -230,6 +230,8 @@ class ToxicityModel:
     lexicons: Lexicons
     trees: Trees
     knots: tuple[np.ndarray, np.ndarray]
+    #: Whether labels of both kinds were seen.
+    taught: bool = True
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         x = np.array([self.lexicons.features(t) for t in texts]).reshape(-1, len(FEATURES))
@@ -264,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep=None, s
     margin = np.zeros(len(y))
     for f in np.unique(fold):
         margin[fold == f] = fit_trees(x[fold != f, f], y[fold != f], weights).margin(x[fold == f, f])
-    return ToxicityModel(lexicons[-1], fit_trees(x[:, -1], y, weights), isotonic(margin, y, weights))
+    return ToxicityModel(lexicons[-1], fit_trees(x[:, -1], y, weights), isotonic(margin, y, weights), len(set(y.tolist())) == 2)
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score") -> DataFrame:
@@ -279,3 +281,13 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sco
         return scores
 
     return bounded(docs).withColumn(score, scored(F.col(text)))
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below THRESHOLD, with their columns; all of them where
+    the model has not seen labels of both kinds. Null and empty texts score alike, repeated
+    rows share their verdict, an empty table stays one."""
+    if not model.taught:
+        return docs
+    scored = with_toxicity(packed(docs, _text=F.col(text)), model, "_text", "_score")
+    return unpacked(scored.where(F.col("_score") < THRESHOLD), docs.columns)

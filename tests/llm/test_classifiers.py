@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +37,77 @@ def test_toxicity_of_odd_rows(odd, none, labels, spoken):
     assert toxicity.with_toxicity(none, model).count() == 0
     untaught = toxicity.fit(odd, labels.limit(0))
     assert {round(r.score, 6) for r in toxicity.with_toxicity(odd, untaught).collect()} == {0.5}
+    assert toxicity.keep_clean(odd, untaught).count() == odd.count()
+    clash = odd.selectExpr("*", "'x' AS _score", "'y' AS _text")
+    kept = toxicity.keep_clean(clash, model)
+    assert kept.columns == clash.columns and kept.where("_score != 'x' OR _text != 'y'").count() == 0
+    assert kept.count() == sum(r.score < toxicity.THRESHOLD for r in rows)
+
+
+def test_features_equal_brute_force():
+    lex = toxicity.Lexicons(frozenset([b"grub", b"vile"]), frozenset([b"scum"]))
+    for text in ["", "You vile GRUB!! v1le and scummy, scum.", "vile " * 3 + "a " * 9 + "dich Gr*ub", "\u00c9t\u00e9 \u00e9t\u00e9 VOUS scumbag?"]:
+        words = ["".join(c if c.isalnum() or ord(c) > 127 else " " for c in w) for w in text.lower().split()]
+        words = " ".join(words).split()
+        n = max(1, len(words))
+        at = [i for i, w in enumerate(words) if w in ("grub", "vile")]
+        heads = [i for i, w in enumerate(words) if any(w.encode()[:k] == b"scum" for k in toxicity.BEGINNINGS if len(w.encode()) >= k)]
+        second = [i for i, w in enumerate(words) if w.encode() in toxicity.SECOND_PERSON]
+        hits = sorted(set(at) | set(heads))
+        near = sum(any(abs(i - j) <= 5 for j in second) for i in hits) / len(hits) if hits and second else 0.0
+        size = max(1, len(text.encode()))
+        count = lambda signs, text=text: sum(text.count(c) for c in signs)
+        want = [len(at) / n, math.log(1 + len(at)), math.log(1 + len({words[i] for i in at})), len(heads) / n, math.log(1 + len(heads)), math.log(1 + len({words[i] for i in heads}))]
+        want += [len(second) / n, near, count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / size, count("!?") / size, count(".,;:'\"()-") / size]
+        got = lex.features(text.encode())
+        assert got[: len(want)] == pytest.approx(want) and got[-1] == pytest.approx(math.log(1 + len(words))), text
+
+
+def test_trees_equal_a_plain_search():
+    r = np.random.default_rng(2)
+    x = r.integers(0, 6, (120, 3)).astype(float)
+    y = ((x[:, 0] > 2) & (x[:, 1] <= 3) | (r.random(120) < 0.1)).astype(float)
+    weights, rate, smooth = (3.0, 1.0), 0.15, 2.0
+    got = toxicity.fit_trees(x, y, weights, trees=4, depth=2)
+    w = [weights[int(v)] for v in y]
+    prior = (sum(a * b for a, b in zip(w, y, strict=True)) + 0.5) / (sum(w) + 1)
+    margin = [math.log(prior / (1 - prior))] * 120
+
+    def split(own, g, h):
+        best = (1e-9, 0, math.inf)
+        for j in range(3):
+            for cut in sorted(set(np.quantile(np.unique(x[:, j]), np.linspace(0, 1, 33)[1:-1]))):
+                left = [i for i in own if x[i, j] <= cut]
+                right = [i for i in own if x[i, j] > cut]
+                a, b = ((sum(g[i] for i in part), sum(h[i] for i in part)) for part in (left, right))
+                if min(a[1], b[1]) >= 1:
+                    gain = a[0] ** 2 / (a[1] + smooth) + b[0] ** 2 / (b[1] + smooth) - (a[0] + b[0]) ** 2 / (a[1] + b[1] + smooth)
+                    if gain > best[0] + 1e-12:
+                        best = (gain, j, cut)
+        return best[1:]
+
+    for _ in range(4):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        g, h = [a * (b - c) for a, b, c in zip(w, p, y, strict=True)], [a * b * (1 - b) for a, b in zip(w, p, strict=True)]
+        parts = [list(range(120))]
+        for _level in range(2):
+            parts = [[i for i in own if (x[i, j] > t) == side] for own in parts for j, t in [split(own, g, h)] for side in (False, True)]
+        for own in parts:
+            value = -rate * sum(g[i] for i in own) / (sum(h[i] for i in own) + smooth)
+            for i in own:
+                margin[i] += value
+    assert got.margin(x) == pytest.approx(margin)
+
+
+def test_isotonic_equals_the_best_monotone_fit():
+    r = np.random.default_rng(5)
+    m, y = np.sort(r.normal(size=9)), (r.random(9) < 0.5).astype(float)
+    x, p = toxicity.isotonic(m, y)
+    # the fit of a row by the min-max formula over means of ranges
+    means = [max(min(y[i : j + 1].mean() for j in range(k, 9)) for i in range(k + 1)) for k in range(9)]
+    sizes = [means.count(v) for v in sorted(set(means))]
+    want = [(v * n + 0.05) / (n + 0.1) for v, n in zip(sorted(set(means)), sizes, strict=True)]
+    assert p == pytest.approx(want) and x == pytest.approx([m[np.array(means) == v].mean() for v in sorted(set(means))])
 
 
 def test_isotonic_is_monotone():
