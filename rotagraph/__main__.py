@@ -3,7 +3,9 @@
 python -m rotagraph verdicts CMD IN.g6          one verdict a line
 python -m rotagraph stats CMD IN.g6             counts, as a batch result line
 python -m rotagraph convert FORM IN             FORM: g6, adjlist, adjmatrix or graphml
-python -m rotagraph random CMD COUNT N [SEED]   verdicts of seeded random graphs
+python -m rotagraph random CMD COUNT N [SEED]   counts of seeded random graphs, and of their obstructions
+python -m rotagraph planar N [SEED]             a random maximal planar graph, as adjacency list
+python -m rotagraph nonplanar N [SEED]          the same with an edge more
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ def stats_text(name: str, cmd: str, seconds: float, row) -> str:
 
 
 def main(args: list[str]) -> int:
-    if len(args) < 3 or args[0] not in ("verdicts", "stats", "convert", "random"):
+    if len(args) < (2 if args[:1] in (["planar"], ["nonplanar"]) else 3) or args[0] not in ("verdicts", "stats", "convert", "random", "planar", "nonplanar"):
         print(__doc__)
         return 1
     spark = SparkSession.builder.getOrCreate()
@@ -42,6 +44,13 @@ def main(args: list[str]) -> int:
         }[args[1]]()
         print(out.first().text)
         return 0
+    if args[0] in ("planar", "nonplanar"):
+        n, seed = int(args[1]), int(args[2]) if len(args) > 2 else 0
+        made = kernels.random_planar(n, 3 * n - 6 + (args[0] == "nonplanar"), seed)
+        edges = spark.createDataFrame([(0, u, v) for u, v in made], "graph_id long, u int, v int")
+        graph = spark.createDataFrame([(0, n)], "graph_id long, n int")
+        print(texts.adjacency_texts(graph, relational.both_ways(edges)).first().text, end="")
+        return 0
     cmd = args[1].lstrip("-")
     if cmd not in COMMANDS:
         print(f"unknown command {cmd}", file=sys.stderr)
@@ -49,15 +58,20 @@ def main(args: list[str]) -> int:
     began = time.time()
     if args[0] == "random":
         n, seed = int(args[3]), int(args[4]) if len(args) > 4 else 0
-        lines = spark.createDataFrame([(graph6.format_g6(n, kernels.random_graph(n, 7 * n // 8 + i % (2 * n), seed + i)),) for i in range(int(args[2]))], "g6 string")
+        lines = collections.random_lines(spark, int(args[2]), n, lambda n, i, seed: kernels.random_graph(n, 7 * n // 8 + i % (2 * n), seed), seed)
     else:
         lines = graph6.read_g6(spark, args[2])
-    decided = embedding.decide_rows(lines, cmd)
+    decided = embedding.decide_rows(lines, cmd, certificates=args[0] == "random")
     if args[0] == "verdicts":
         for r in decided.toLocalIterator():
             print(r.g6, r.verdict, r.error or "")
     else:
+        if args[0] == "random":
+            decided = decided.cache()
         print(stats_text(args[2], cmd, time.time() - began, collections.statistics(decided, ["cmd"]).first()))
+        if args[0] == "random":
+            for r in decided.where("minor_type IS NOT NULL").groupBy("minor_type").count().orderBy("minor_type").collect():
+                print(r.minor_type, r["count"])
     return 0
 
 

@@ -2,7 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from rotagraph.functions import kernels
+from rotagraph.session import written
+from rotagraph.sources.graph6 import format_g6, parse_g6
+
+
+def all_graphs(spark: SparkSession, n: int) -> DataFrame:
+    """(g6): one graph of each isomorphism class of order ``n``. Every graph arises from one
+    of an order less by a new vertex; extensions are made canonical in Arrow batches and
+    repeats go, order by order, each a table."""
+
+    def extend(batches):
+        for b in batches:
+            for line in b.column(0).to_pylist():
+                k, edges = parse_g6(line)
+                found = {format_g6(k + 1, kernels.canonical(k + 1, edges + [(u, k) for u in range(k) if subset >> u & 1])) for subset in range(1 << k)}
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(found))], names=["g6"])
+
+    now = spark.createDataFrame([(format_g6(1, []),)], "g6 string")
+    for _ in range(n - 1):
+        now = written(now.mapInArrow(extend, "g6 string").distinct(), "all-graphs")
+        # few lines make much work: they are dealt to all cores
+        now = now.repartition(4 * spark.sparkContext.defaultParallelism)
+    return now
+
+
+def random_lines(spark: SparkSession, count: int, n: int, make, seed: int = 0) -> DataFrame:
+    """(graph_id, g6) of ``count`` graphs of order ``n``: ``make(n, i, seed + i)`` gives the edges of the i-th."""
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([format_g6(n, make(n, i, seed + i)) for i in ids], pa.string())], names=["graph_id", "g6"])
+
+    return spark.range(count).mapInArrow(run, "graph_id long, g6 string")
 
 
 def duplicates(g6: DataFrame) -> DataFrame:

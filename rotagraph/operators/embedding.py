@@ -31,7 +31,7 @@ def remove_command(name: str) -> None:
     _added.pop(name, None)
 
 
-def _decide(line: str, cmd: str, certificates: bool, added: dict) -> dict:
+def _decide(line: str, cmd: str, added: dict) -> dict:
     out = {"g6": line, "cmd": cmd, "verdict": ERROR, "n": None, "m": None, "minor_type": None, "error": None, "obstruction": None, "rotation": None, "vis_v": None, "vis_e": None}
     try:
         n, edges = parse_g6(line)
@@ -40,8 +40,6 @@ def _decide(line: str, cmd: str, certificates: bool, added: dict) -> dict:
     offends, isolate = added[cmd] if cmd in added else (kernels.OFFENDS[cmd], None)
     bad = offends(n, edges)
     out |= {"n": n, "m": len(edges), "verdict": NONEMBEDDABLE if bad else OK}
-    if not certificates:
-        return out
     pair = lambda e: {"u": min(e), "v": max(e)}
     if bad:
         if cmd in kernels.OFFENDS or isolate:
@@ -74,11 +72,31 @@ def decide_rows(lines: DataFrame, cmds: str | list[str], certificates: bool = Fa
     schema = StructType.fromDDL("g6 string, cmd string, n int, m int, verdict string, minor_type string, error string" + (f", {CERTIFICATES}" if certificates else ""))
     arrow, names, added = to_arrow_schema(schema), list(cmds), dict(_added)
 
+    def plain(texts: list) -> dict:
+        """Columns of verdicts alone, without a row's dictionary."""
+        out = {f.name: [] for f in arrow}
+        for x in texts:
+            try:
+                n, edges = parse_g6(x or "")
+                got = [(n, len(edges), NONEMBEDDABLE if (added[c][0] if c in added else kernels.OFFENDS[c])(n, edges) else OK, None) for c in names]
+            except ValueError as e:
+                got = [(None, None, ERROR, str(e))] * len(names)
+            out["g6"] += [x or ""] * len(names)
+            out["cmd"] += names
+            for k, column in enumerate(("n", "m", "verdict", "error")):
+                out[column] += [g[k] for g in got]
+        return out | {"minor_type": [None] * len(out["g6"])}
+
     def run(batches):
         for b in batches:
             texts = b.column(0).to_pylist()
             for lo in range(0, len(texts), 1000):
-                rows = [_decide(x or "", c, certificates, added) for x in texts[lo : lo + 1000] for c in names]
+                part = texts[lo : lo + 1000]
+                if not certificates:
+                    columns = plain(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
+                    continue
+                rows = [_decide(x or "", c, added) for x in part for c in names]
                 yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], type=f.type) for f in arrow], schema=arrow)
 
     return lines.select("g6").mapInArrow(run, schema)
@@ -153,14 +171,39 @@ def faces_by_euler(decided: DataFrame) -> DataFrame:
 def depth_first(graphs: DataFrame) -> DataFrame:
     """(graph_id, v, parent, number, least_ancestor, lowpoint) of every vertex of ``graphs``
     (graph_id, g6); numbers count from 0 in visiting order, roots have no parent."""
-    schema = pa.schema([("graph_id", pa.int64()), ("v", pa.int32()), ("parent", pa.int32()), ("number", pa.int32()), ("least_ancestor", pa.int32()), ("lowpoint", pa.int32())])
+    return _per_graph(graphs, kernels.depth_first, "v int, parent int, number int, least_ancestor int, lowpoint int")
+
+
+def _per_graph(graphs: DataFrame, f, schema: str) -> DataFrame:
+    """(graph_id, ...) rows of ``f(n, edges)`` for ``graphs`` (graph_id, g6)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(f"graph_id long, {schema}"))
 
     def run(batches):
         for b in batches:
-            rows = [(i, *x) for i, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in kernels.depth_first(*parse_g6(line))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(schema)], schema=schema)
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                rows = [(i, *x) for i, line in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for x in f(*parse_g6(line))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=x.type) for k, x in enumerate(arrow)], schema=arrow)
+
+    return graphs.select(F.col("graph_id").cast("long"), "g6").mapInArrow(run, f"graph_id long, {schema}")
+
+
+def edge_classes(graphs: DataFrame) -> DataFrame:
+    """(graph_id, u, v, class) of every edge after a depth-first search: ``tree`` edges lead
+    from parent to child, ``back`` edges from ancestor to descendant."""
+    return _per_graph(graphs, kernels.edge_classes, "u int, v int, class string")
+
+
+def blocks(graphs: DataFrame) -> DataFrame:
+    """(graph_id, vertices, edges) of every biconnected component, its vertices ascending."""
+
+    def rows(n: int, edges: list):
+        return [(sorted({x for e in b for x in e}), len(b)) for b in kernels.blocks(n, edges)]
 
-    return graphs.select(F.col("graph_id").cast("long"), "g6").mapInArrow(run, "graph_id long, v int, parent int, number int, least_ancestor int, lowpoint int")
+    return _per_graph(graphs, rows, "vertices array<int>, edges int")
 
 
 def render(vis_v: list, vis_e: list) -> str:

@@ -67,6 +67,40 @@ def are_neighbours(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select(*pairs.columns, F.coalesce("_hit", F.lit(False)).alias("is_neighbor"))
 
 
+def numbered(edges: DataFrame) -> DataFrame:
+    """``edges`` with ``eid``: their places, from 0, in each graph's ascending order."""
+    return edges.withColumn("eid", F.row_number().over(Window.partitionBy(ID).orderBy("u", "v")) - 1)
+
+
+def are_neighbours_directed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``pairs`` (graph_id, u, v) with ``is_neighbor``: an undirected edge, or one from u to v."""
+    return find_edges(pairs, classes, directed=True).withColumn("is_neighbor", F.col("eid").isNotNull()).drop("eid")
+
+
+def find_edges(pairs: DataFrame, edges: DataFrame, directed: bool = False) -> DataFrame:
+    """``pairs`` (graph_id, u, v) with ``eid``: the number of the edge between them, null
+    without one. ``directed``: ``edges`` are direction classes, and edges out of v don't count."""
+    known = numbered(edges) if "eid" not in edges.columns else edges
+    forth = F.struct(F.col("u").alias("a"), F.col("v").alias("b"))
+    back = F.struct(F.col("v").alias("a"), F.col("u").alias("b"))
+    both = F.when(F.col("dir") == "UND", F.array(forth, back)).otherwise(F.array(forth)) if directed else F.array(forth, back)
+    ends = known.select(ID, "eid", F.explode(both).alias("x")).select(ID, F.col("x.a").alias("u"), F.col("x.b").alias("v"), "eid")
+    return pairs.join(ends, [ID, "u", "v"], "left")
+
+
+def equal_graphs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(graph_id, equal) of the graphs with an edge in either frame: whether their edges agree.
+    One aggregation over tagged edges instead of a join."""
+    tagged = left.select(ID, "u", "v", F.lit(1).alias("s")).unionByName(right.select(ID, "u", "v", F.lit(2).alias("s")))
+    edges = tagged.groupBy(ID, "u", "v").agg(F.sum_distinct("s").alias("s"))
+    return edges.groupBy(ID).agg((F.min("s") == 3).alias("equal"))
+
+
+def maximum_degree(edges: DataFrame) -> DataFrame:
+    """(graph_id, max_degree) of graphs with an edge."""
+    return degrees(edges).groupBy(ID).agg(F.max("degree").alias("max_degree"))
+
+
 def common_neighbours(edges: DataFrame) -> DataFrame:
     """(graph_id, u, v, common) of every two vertices u < v with a common neighbour: pairs
     meet within the sorted neighbour list of their middle, as arrays, not by a self-join."""

@@ -9,7 +9,7 @@ has a K3,3 homeomorph, and is nonplanar, iff three of the others are adjacent to
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rotagraph.functions import kernels
 from rotagraph.operators import collections, components, embedding, relational, verify
@@ -141,17 +141,58 @@ def _certified(spark: SparkSession, d: str) -> DataFrame:
     return written(embedding.decide(lines, list("pdo234"), certificates=True), "certified")
 
 
-def _generated(spark: SparkSession, n: int = 12, count: int = 200) -> DataFrame:
-    """Seeded random planar graphs: (graph_id, n, m, g6)."""
-    import pyarrow as pa
+def _generated(spark: SparkSession) -> DataFrame:
+    """Seeded random planar graphs of order 12 with 11 to 30 edges: (graph_id, g6)."""
+    return collections.random_lines(spark, 200, 12, lambda n, i, seed: kernels.random_planar(n, n - 1 + i % (2 * n - 4), seed))
 
-    def run(batches):
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            lines = [graph6.format_g6(n, kernels.random_planar(n, n - 1 + i % (2 * n - 4), i)) for i in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lines)], names=[ID, "g6"])
 
-    return spark.range(count).mapInArrow(run, f"{ID} long, g6 string")
+def _maximal_and_more(spark: SparkSession) -> DataFrame:
+    """Maximal planar graphs of order 10, and such with an edge more, by turns."""
+    lines = collections.random_lines(spark, 100, 10, lambda n, i, seed: kernels.random_planar(n, 3 * n - 6 + i % 2, seed))
+    return collections.statistics(embedding.verdicts(lines, "p"), ["cmd", "n", "m"])
+
+
+def _all_of_order_six(spark: SparkSession) -> DataFrame:
+    return collections.statistics(embedding.decide_rows(collections.all_graphs(spark, 6), "pdo234"), ["cmd"])
+
+
+def _certificates_checked(spark: SparkSession, d: str) -> DataFrame:
+    """(cmd, verdict, checked, failed): certificates of the distinct five-day graphs."""
+    from rotagraph.session import written
+
+    decided = written(embedding.decide(derive.event_lines(spark, d, "5day"), list("pdo234"), certificates=True), "certified")
+    bad = verify.failures(decided).select("g6").distinct().withColumn("bad", F.lit(1))
+    return decided.join(bad, "g6", "left").groupBy("cmd", "verdict").agg(F.count("*").alias("checked"), F.count("bad").alias("failed"))
+
+
+def _drawings_checked(spark: SparkSession, d: str) -> DataFrame:
+    """(drawn, conflicts): drawings of the distinct planar five-day graphs."""
+    from rotagraph.session import written
+
+    drawn = written(embedding.decide(derive.event_lines(spark, d, "5day"), "d", True).where("vis_v IS NOT NULL"), "drawn")
+    return drawn.agg(F.count("*").alias("drawn")).crossJoin(verify.drawing_conflicts(drawn).agg(F.count("*").alias("conflicts")))  # one row each
+
+
+def _leda_texts(spark: SparkSession, d: str) -> DataFrame:
+    edges = derive.event_edges(spark, d, "5day").groupBy(ID).agg(F.sort_array(F.collect_list(F.struct("u", "v"))).alias("e"))
+    line = F.transform("e", lambda x: F.concat((x["u"] + 1).cast("string"), F.lit(" "), (x["v"] + 1).cast("string"), F.lit(" 0 |{}|\n")))
+    return edges.select(ID, F.concat(F.lit("LEDA.GRAPH\nvoid\nvoid\n-2\n5\n" + "|{}|\n" * 5), F.size("e").cast("string"), F.lit("\n"), F.array_join(line, "")).alias("text"))
+
+
+def _parsed(df: DataFrame) -> DataFrame:
+    return texts.parse_texts(df).select(ID, F.explode("arcs").alias("a")).select(ID, "a.u", "a.v")
+
+
+def _listed(spark: SparkSession, d: str) -> DataFrame:
+    """Arcs from both ends with their places."""
+    arcs = relational.both_ways(derive.event_edges(spark, d, "5day"))
+    return arcs.withColumn("pos", F.row_number().over(Window.partitionBy(ID, "src").orderBy("dst")) - 1)
+
+
+def _disagreements(spark: SparkSession, d: str) -> DataFrame:
+    """Where counts of planar graphs by day and by five days differ."""
+    stats = [collections.statistics(embedding.verdicts(derive.event_lines(spark, d, b), "p"), ["cmd", "n", "m"]).withColumn("src", F.lit(b)) for b in ("day", "5day")]
+    return collections.discrepancies(stats[0].unionByName(stats[1]))
 
 
 def queries() -> dict:
@@ -159,6 +200,8 @@ def queries() -> dict:
     edges = lambda s, d: derive.event_edges(s, d)
     five = lambda s, d: derive.event_edges(s, d, "5day")
     graphs = lambda e: e.select(ID).distinct().withColumn("n", F.lit(5))
+    pair = lambda s, d, u, v: graphs(five(s, d)).select(ID, F.lit(u).alias("u"), F.lit(v).alias("v"))
+    classes = lambda s, d: relational.direction_classes(derive.event_arcs(s, d, "5day"))
     out = {
         "edges_user_events": edges,
         "arcs_user_events": lambda s, d: arcs(s, d).where("src != dst").groupBy(ID, "src", "dst").agg(F.count("*").alias("times")),
@@ -200,14 +243,53 @@ def queries() -> dict:
         "edge_list_text": lambda s, d: sections.edge_list_texts(five(s, d)),
         "drawing_sections": lambda s, d: sections.drawing_sections(embedding.decide(derive.event_lines(s, d, "5day"), "d", True)),
         "face_texts": lambda s, d: sections.face_texts(embedding.decide(derive.event_lines(s, d, "5day"), "p", True)),
+        "certificates_checked": _certificates_checked,
+        "drawings_checked": _drawings_checked,
+        "is_neighbor_directed": lambda s, d: relational.are_neighbours_directed(pair(s, d, 3, 1), classes(s, d)),
+        "find_edge": lambda s, d: relational.find_edges(pair(s, d, 3, 1), five(s, d)),
+        "find_directed_edge": lambda s, d: relational.find_edges(pair(s, d, 3, 1), classes(s, d), directed=True),
+        "graph_equality": lambda s, d: relational.equal_graphs(five(s, d), relational.without_vertex(five(s, d), F.lit(2))),
+        "max_degree": lambda s, d: relational.maximum_degree(five(s, d)),
+        "add_edges": lambda s, d: relational.with_edges(five(s, d), pair(s, d, 4, 0)),
+        "insert_arc": lambda s, d: relational.insert_arc(_listed(s, d), graphs(five(s, d)).select(ID, F.lit(0).alias("src"), F.lit(9).alias("dst"), F.lit(None).cast("int").alias("after"))),
+        "relabel_vertices": lambda s, d: relational.relabelled(five(s, d), graphs(five(s, d)).select(ID, F.explode(F.expr("sequence(0, 4)")).alias("v")).withColumn("number", 4 - F.col("v"))),
+        "keep_marked_edges": lambda s, d: relational.only_edges(five(s, d), five(s, d).where("u = 0")),
+        "edge_classes": lambda s, d: embedding.edge_classes(derive.event_lines(s, d, "5day")),
+        "blocks": lambda s, d: embedding.blocks(derive.event_lines(s, d, "5day")),
+        "matrix_roundtrip": lambda s, d: _parsed(texts.matrix_texts(graphs(five(s, d)), five(s, d))),
+        "matrix_of_digraphs": lambda s, d: texts.matrix_texts(graphs(five(s, d)), classes(s, d)).select(ID, F.col("text").isNull().alias("refused")),
+        "leda_read": lambda s, d: _parsed(_leda_texts(s, d)),
+        "count_discrepancies": _disagreements,
+        "all_graphs_of_order_6": lambda s, d: _all_of_order_six(s),
+        "random_maximal_planar": lambda s, d: _maximal_and_more(s),
         "batch_result_lines": lambda s, d: sections.batch_lines(_by_command(s, d), "events.g6"),
     }
     return out | {f"verdict_{c}5": _verdicts(c, "5day") for c in "pdo234"} | {"verdict_p_users": _verdicts("p", "user")}
 
 
+#: Depth-first search of five-vertex graphs: at every step the state is a stack and the lists of visited vertices and their parents.
+_SEARCH = """near AS (SELECT g.graph_id, list(coalesce(n.ns, []::INTEGER[]) ORDER BY x.x) AS near FROM graphs g CROSS JOIN (SELECT unnest(range(5)) AS x) x
+   LEFT JOIN (SELECT graph_id, src, list(dst::INTEGER ORDER BY dst) AS ns FROM ends GROUP BY 1, 2) n ON n.graph_id = g.graph_id AND n.src = x.x GROUP BY 1),
+ walk(graph_id, near, stack, visited, parents) AS (SELECT graph_id, near, []::INTEGER[], []::INTEGER[], []::INTEGER[] FROM near UNION ALL
+  SELECT graph_id, near, CASE WHEN len(stack) = 0 THEN [root] WHEN nxt IS NULL THEN stack[:len(stack) - 1] ELSE list_append(stack, nxt) END,
+   CASE WHEN len(stack) = 0 THEN list_append(visited, root) WHEN nxt IS NULL THEN visited ELSE list_append(visited, nxt) END,
+   CASE WHEN len(stack) = 0 THEN list_append(parents, NULL::INTEGER) WHEN nxt IS NULL THEN parents ELSE list_append(parents, stack[-1]) END
+  FROM (SELECT *, list_filter(near[coalesce(stack[-1], 0) + 1], lambda x: NOT list_contains(visited, x))[1] AS nxt, list_filter([0, 1, 2, 3, 4]::INTEGER[], lambda x: NOT list_contains(visited, x))[1] AS root FROM walk WHERE len(visited) < 5)),
+ found AS (SELECT graph_id, visited[i] AS v, parents[i] AS parent, CAST(i - 1 AS INTEGER) AS number FROM walk CROSS JOIN (SELECT unnest(range(1, 6)) AS i) WHERE len(visited) = 5)"""
+_DEPTH_FIRST_SQL = f"""WITH RECURSIVE {_arcs_sql('5day')}, {_SEARCH},
+ least AS (SELECT f.graph_id, f.v, f.parent, f.number, least(f.number, coalesce(min(w.number) FILTER (w.v IS DISTINCT FROM f.parent), f.number)) AS own
+   FROM found f LEFT JOIN ends e ON e.graph_id = f.graph_id AND e.src = f.v LEFT JOIN found w ON w.graph_id = f.graph_id AND w.v = e.dst GROUP BY 1, 2, 3, 4),
+ up(graph_id, v, a) AS (SELECT graph_id, v, v FROM found UNION SELECT u.graph_id, u.v, f.parent FROM up u JOIN found f ON f.graph_id = u.graph_id AND f.v = u.a WHERE f.parent IS NOT NULL)
+SELECT l.graph_id, l.v, l.parent, l.number, l.own AS least_ancestor, (SELECT min(d.own) FROM up JOIN least d ON d.graph_id = up.graph_id AND d.v = up.v WHERE up.graph_id = l.graph_id AND up.a = l.v) AS lowpoint FROM least l"""
+_EDGE_CLASSES_SQL = f"""WITH RECURSIVE {_arcs_sql('5day')}, {_SEARCH}
+SELECT e.graph_id, CAST(CASE WHEN a.number < b.number THEN e.u ELSE e.v END AS INTEGER) AS u, CAST(CASE WHEN a.number < b.number THEN e.v ELSE e.u END AS INTEGER) AS v,
+ CASE WHEN (a.number < b.number AND b.parent = a.v) OR (a.number > b.number AND a.parent = b.v) THEN 'tree' ELSE 'back' END AS class
+FROM edges e JOIN found a ON a.graph_id = e.graph_id AND a.v = e.u JOIN found b ON b.graph_id = e.graph_id AND b.v = e.v"""
+
+
 def edge_deletion(spark: SparkSession, d: str) -> DataFrame:
-    """(cmd, invalid_ok): graphs decided OK by a search that stay so, counted where deleting
-    an edge turns the verdict, which it must not."""
+    """(cmd, deletions, invalid_ok): deletions of an edge from distinct graphs that a search
+    decides OK, and graphs where one turns the verdict, which it must not."""
     import pyarrow as pa
 
     lines = derive.event_lines(spark, d, "5day")
@@ -223,8 +305,7 @@ def edge_deletion(spark: SparkSession, d: str) -> DataFrame:
 
     smaller = fine.mapInArrow(shrink, "whole string, cmd string, g6 string")
     found = smaller.join(embedding.decide(smaller, list("234")), ["g6", "cmd"])
-    bad = found.groupBy("cmd").agg(F.count_distinct(F.when(F.col("verdict") != "OK", F.col("whole"))).alias("invalid_ok"))
-    return bad.select("cmd", "invalid_ok")
+    return found.groupBy("cmd").agg(F.count("*").alias("deletions"), F.count_distinct(F.when(F.col("verdict") != "OK", F.col("whole"))).alias("invalid_ok"))
 
 
 def oracle_sql() -> dict[str, str]:
@@ -264,6 +345,34 @@ def oracle_sql() -> dict[str, str]:
         "visibility_conflicts": "SELECT '' AS g6, 0 AS u, 0 AS w, 0 AS v WHERE false",
         "edge_list_text": f"{five} SELECT graph_id, string_agg((u + 1)::VARCHAR || ' ' || (v + 1)::VARCHAR || chr(10), '' ORDER BY u, v) || '0 0' || chr(10) AS text FROM edges GROUP BY 1",
         "batch_result_lines": f"SELECT cmd, 'FILENAME=\"events.g6\" DURATION=\"0.000\"' || chr(10) || '-' || cmd || ' ' || sum(num_graphs)::BIGINT || ' ' || sum(num_ok)::BIGINT || ' ' || sum(num_nonembeddable)::BIGINT || ' SUCCESS' || chr(10) AS text FROM ({_STATS_SQL}) GROUP BY cmd",
-        "edge_deletion": "SELECT unnest(['2', '3', '4']) AS cmd, CAST(0 AS BIGINT) AS invalid_ok",
+        "edge_deletion": f"WITH {_arcs_sql('5day')}, {_LINES}, {_RULES}, whole AS (SELECT g6, min(graph_id) AS graph_id, min(m) AS m FROM lines GROUP BY g6), fine AS ("
+        + " UNION ALL ".join(f"SELECT '{c}' AS cmd, m FROM whole WHERE NOT ({_OFFENDS[c]})" for c in "234")
+        + ") SELECT cmd, CAST(sum(m) AS BIGINT) AS deletions, CAST(0 AS BIGINT) AS invalid_ok FROM fine GROUP BY cmd",
+        "certificates_checked": f"WITH {_arcs_sql('5day')}, {_LINES}, {_RULES}, whole AS (SELECT g6, min(graph_id) AS graph_id, min(m) AS m FROM lines GROUP BY g6), v AS ("
+        + " UNION ALL ".join(f"SELECT '{c}' AS cmd, CASE WHEN {x} THEN 'NONEMBEDDABLE' ELSE 'OK' END AS verdict FROM whole" for c, x in _OFFENDS.items())
+        + ") SELECT cmd, verdict, count(*) AS checked, CAST(0 AS BIGINT) AS failed FROM v GROUP BY 1, 2",
+        "drawings_checked": f"WITH {_arcs_sql('5day')}, {_LINES} SELECT count(DISTINCT g6) AS drawn, CAST(0 AS BIGINT) AS conflicts FROM lines WHERE m < 10",
+        "depth_first_search": _DEPTH_FIRST_SQL,
+        "edge_classes": _EDGE_CLASSES_SQL,
+        "graphml_text": f"""{classes}, body AS (SELECT graph_id, string_agg('  <edge source="n' || u || '" target="n' || v || '"' || CASE WHEN dir = 'OUT' THEN ' directed="true"' ELSE '' END || '/>' || chr(10), '' ORDER BY u, v) AS e FROM c GROUP BY 1)
+SELECT graph_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' || chr(10) || ' <graph id="G" edgedefault="undirected">' || chr(10)
+ || (SELECT string_agg('  <node id="n' || x || '"/>' || chr(10), '' ORDER BY x) FROM (SELECT unnest(range(5)) AS x)) || e || ' </graph>' || chr(10) || '</graphml>' || chr(10) AS text FROM body""",
+        "is_neighbor_directed": f"{five} SELECT graph_id, 3 AS u, 1 AS v, EXISTS (SELECT 1 FROM arcs a WHERE a.graph_id = g.graph_id AND a.src = 3 AND a.dst = 1) AS is_neighbor FROM graphs g",
+        "find_edge": f"{five}, e AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY u, v) - 1 AS eid FROM edges) SELECT g.graph_id, 3 AS u, 1 AS v, CAST(e.eid AS INTEGER) AS eid FROM graphs g LEFT JOIN e ON e.graph_id = g.graph_id AND e.u = 1 AND e.v = 3",
+        "find_directed_edge": f"{classes}, e AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY u, v) - 1 AS eid FROM c) SELECT g.graph_id, 3 AS u, 1 AS v, CAST(e.eid AS INTEGER) AS eid FROM graphs g LEFT JOIN e ON e.graph_id = g.graph_id AND ((e.u = 3 AND e.v = 1) OR (dir = 'UND' AND e.u = 1 AND e.v = 3))",
+        "graph_equality": f"{five} SELECT graph_id, bool_and(u <> 2 AND v <> 2) AS equal FROM edges GROUP BY 1",
+        "max_degree": f"{five}, {degree} SELECT graph_id, max(degree) AS max_degree FROM deg GROUP BY 1",
+        "add_edges": f"{five} SELECT graph_id, u, v FROM edges UNION SELECT graph_id, 0, 4 FROM graphs",
+        "insert_arc": f"{five} SELECT graph_id, src, dst, CAST(row_number() OVER (PARTITION BY graph_id, src ORDER BY dst) - CASE WHEN src = 0 THEN 0 ELSE 1 END AS INTEGER) AS pos FROM ends UNION ALL SELECT graph_id, 0, 9, 0 FROM graphs",
+        "relabel_vertices": f"{five} SELECT graph_id, 4 - v AS u, 4 - u AS v FROM edges",
+        "keep_marked_edges": f"{five} SELECT * FROM edges WHERE u = 0",
+        "matrix_roundtrip": f"{five} SELECT * FROM edges",
+        "matrix_of_digraphs": f"{classes} SELECT graph_id, bool_or(dir = 'OUT') AS refused FROM c GROUP BY 1",
+        "leda_read": f"{five} SELECT * FROM edges",
+        "count_discrepancies": f"WITH t AS (SELECT m, count(*) AS a FROM (WITH {_arcs_sql('day')} SELECT m FROM graphs) GROUP BY 1), f AS (SELECT m, count(*) AS a FROM (WITH {_arcs_sql('5day')} SELECT m FROM graphs) GROUP BY 1) SELECT 'p' AS cmd, 5 AS n, m, CAST(2 AS BIGINT) AS kinds, CAST(2 AS BIGINT) AS variants FROM t JOIN f USING (m) WHERE t.a <> f.a",
+        # fixed values: counts over all 156 graphs of order 6
+        "all_graphs_of_order_6": "SELECT cmd, CAST(156 AS BIGINT) AS num_graphs, CAST(ok AS BIGINT) AS num_ok, CAST(156 - ok AS BIGINT) AS num_nonembeddable, 'SUCCESS' AS error_flag FROM (VALUES ('p', 142), ('d', 142), ('o', 80), ('2', 87), ('3', 146), ('4', 92)) t(cmd, ok)",
+        "random_maximal_planar": "SELECT 'p' AS cmd, 10 AS n, CAST(24 + i % 2 AS INTEGER) AS m, count(*) AS num_graphs, count(*) FILTER (i % 2 = 0) AS num_ok, count(*) FILTER (i % 2 = 1) AS num_nonembeddable, 'SUCCESS' AS error_flag FROM range(100) t(i) GROUP BY i % 2",
+        "random_planar_verdicts": "SELECT 'p' AS cmd, 12 AS n, CAST(11 + i % 20 AS INTEGER) AS m, count(*) AS num_graphs, count(*) AS num_ok, CAST(0 AS BIGINT) AS num_nonembeddable, 'SUCCESS' AS error_flag FROM range(200) t(i) GROUP BY i % 20",
     }
     return out | {f"verdict_{c}5": _verdict_sql(c, "5day") for c in "pdo234"} | {"verdict_p_users": _verdict_sql("p", "user")}

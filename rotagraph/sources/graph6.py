@@ -6,7 +6,9 @@ by column, six bits a character from 63 on, padded with zero bits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Orders beyond this are an error.
 LARGEST = 100_000
@@ -14,10 +16,16 @@ HEADER = ">>graph6<<"
 
 
 def read_g6(spark: SparkSession, path: str) -> DataFrame:
-    """(src, line_no, g6) of graph6 files: lines in file order, the header stripped. Line
-    numbers count within a file, so a file is read as one split."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("src"), F.posexplode(F.split(F.rtrim(F.regexp_replace("value", "\r", ""), F.lit("\n")), "\n")).alias("at", "g6"))
-    return lines.select("src", (F.col("at") + 1).alias("line_no"), F.regexp_replace("g6", "^>>graph6<<", "").alias("g6")).where("g6 != ''")
+    """(src, line_no, g6) of graph6 files, the header stripped; line numbers count within a
+    file. Files are read by splits: a line's number is its place in the split and the lines
+    of the splits before it, which one row a split brings together."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("src"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    splits = lines.groupBy("src", "block").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
+    earlier = Window.partitionBy("src").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("src", "block", "first", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before"))
+    numbered = lines.join(splits, ["src", "block"])
+    line = F.rtrim(F.col("value"), F.lit("\r"))
+    return numbered.select("src", (F.col("before") + F.col("at") - F.col("first") + 1).cast("int").alias("line_no"), F.regexp_replace(line, "^>>graph6<<", "").alias("g6")).where("g6 != ''")
 
 
 def order_of(g6: Column) -> Column:
@@ -66,9 +74,19 @@ def order_prefix(n: Column) -> Column:
     return F.when(n <= 62, char(n)).otherwise(F.concat(F.lit("~"), char(F.expr("0") + F.floor(n / 4096)), char(F.floor(n / 64) % 64), char(n % 64)))
 
 
+def without_digraphs(texts: DataFrame, edges: DataFrame, column: str, id_col: str = "graph_id") -> DataFrame:
+    """``texts`` with null in ``column`` where ``edges`` (id, ..., dir) hold a directed one, as
+    the form has no directions. Edges without ``dir`` are undirected."""
+    if "dir" not in edges.columns:
+        return texts
+    directed = edges.where("dir != 'UND'").select(id_col).distinct().withColumn("_directed", F.lit(True))
+    return texts.join(directed, id_col, "left").withColumn(column, F.when(F.col("_directed").isNull(), F.col(column))).drop("_directed")
+
+
 def encode(graphs: DataFrame, edges: DataFrame, id_col: str = "graph_id") -> DataFrame:
-    """(id, n, m, g6) of ``graphs`` (id, n) and their ``edges`` (id, u, v; u < v, distinct).
-    Bits are summed by character, then the characters of a graph meet in one row."""
+    """(id, n, m, g6) of ``graphs`` (id, n) and their ``edges`` (id, u, v[, dir]; u < v,
+    distinct); g6 is null for digraphs. Bits are summed by character, then the characters of a
+    graph meet in one row."""
     k = F.expr("CAST(v AS LONG) * (v - 1) div 2 + u")
     chars = (
         edges.withColumn("k", k)
@@ -82,7 +100,7 @@ def encode(graphs: DataFrame, edges: DataFrame, id_col: str = "graph_id") -> Dat
     none = F.create_map().cast("map<bigint,int>")
     both = both.withColumn("chars", F.coalesce("chars", none))
     body = F.when(size > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), size - 1), lambda i: F.chr(F.coalesce(F.try_element_at("chars", i), F.lit(0)) + 63)), "")).otherwise("")
-    return both.select(id_col, "n", F.coalesce("m", F.lit(0)).alias("m"), F.concat(order_prefix(F.col("n")), body).alias("g6"))
+    return without_digraphs(both.select(id_col, "n", F.coalesce("m", F.lit(0)).alias("m"), F.concat(order_prefix(F.col("n")), body).alias("g6")), edges, "g6", id_col)
 
 
 def parse_g6(line: str) -> tuple[int, list[tuple[int, int]]]:
@@ -98,21 +116,30 @@ def parse_g6(line: str) -> tuple[int, list[tuple[int, int]]]:
     body = codes[at:]
     if len(body) != -(-n * (n - 1) // 12):
         raise ValueError("the length does not fit the order")
-    edges, u, v = [], 0, 1
-    for x in body:
-        for b in (32, 16, 8, 4, 2, 1):
-            if v >= n:
-                if x & b:
-                    raise ValueError("padding bits are set")
-                continue
-            if x & b:
-                edges.append((u, v))
-            u += 1
-            if u == v:
-                u, v = 0, v + 1
+    bits = "".join(map(_SIXES.__getitem__, body))
+    size = n * (n - 1) // 2
+    if "1" in bits[size:]:
+        raise ValueError("padding bits are set")
+    if n <= 64:
+        pairs = _pairs(n)
+        return n, [pairs[k] for k, bit in enumerate(bits[:size]) if bit == "1"]
+    edges, start = [], 0
+    for v in range(1, n):
+        row = bits[start : start + v]
+        edges += [(u, v) for u, bit in enumerate(row) if bit == "1"] if "1" in row else []
+        start += v
     return n, edges
 
 
+_SIXES = [format(x, "06b") for x in range(64)]
+
+
+@lru_cache(64)
+def _pairs(n: int) -> list[tuple[int, int]]:
+    """The pair of vertices of each bit."""
+    return [(u, v) for v in range(n) for u in range(v)]
+
+
 def format_g6(n: int, edges) -> str:
     bits = [0] * (-(-n * (n - 1) // 12) * 6)
     for u, v in edges:

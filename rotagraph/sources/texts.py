@@ -8,7 +8,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rotagraph.sources.graph6 import parse_g6
+from rotagraph.sources.graph6 import parse_g6, without_digraphs
+from rotagraph.sources.sections import parse_drawings
 
 PARSED = "n int, base int, directed boolean, arcs array<struct<u:int,v:int,dir:string>>, extra string, error string"
 
@@ -137,6 +138,11 @@ def read_graphs(spark: SparkSession, path: str) -> DataFrame:
     return parse_texts(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("src"), F.col("value").alias("text")))
 
 
+def read_drawings(spark: SparkSession, path: str) -> DataFrame:
+    """The same with ``places``: (key, pos, start, end) of the drawing section behind the graph; null without one."""
+    return parse_drawings(read_graphs(spark, path), "extra")
+
+
 def adjacency_texts(graphs: DataFrame, arcs: DataFrame, base: int = 0, id_col: str = "graph_id") -> DataFrame:
     """(id, text): adjacency lists. ``arcs`` (id, src, dst[, pos]): listed in the order of
     ``pos`` where there is one, else of ``dst``."""
@@ -149,11 +155,12 @@ def adjacency_texts(graphs: DataFrame, arcs: DataFrame, base: int = 0, id_col: s
 
 
 def matrix_texts(graphs: DataFrame, edges: DataFrame, id_col: str = "graph_id") -> DataFrame:
-    """(id, text): upper-triangular rows of undirected graphs, with leading blanks."""
+    """(id, text): upper-triangular rows of undirected graphs, with leading blanks; null for digraphs."""
     sets = edges.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("-", "u", "v"), F.lit("1")))).alias("on"))
     both = graphs.select(id_col, "n").join(sets, id_col, "left").withColumn("on", F.coalesce("on", F.create_map().cast("map<string,string>")))
     row = lambda u: F.concat(F.repeat(F.lit(" "), u + 1), F.array_join(F.filter(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda v: F.when(v > u, F.coalesce(F.try_element_at("on", F.concat_ws("-", u, v)), F.lit("0")))), lambda x: x.isNotNull()), ""), F.lit("\n"))
-    return both.select(id_col, F.concat(F.col("n").cast("string"), F.lit("\n"), F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), row), "")).alias("text"))
+    out = both.select(id_col, F.concat(F.col("n").cast("string"), F.lit("\n"), F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), row), "")).alias("text"))
+    return without_digraphs(out, edges, "text", id_col)
 
 
 def graphml_texts(graphs: DataFrame, arcs: DataFrame, id_col: str = "graph_id") -> DataFrame:

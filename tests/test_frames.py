@@ -125,6 +125,67 @@ def test_changes(spark):
     assert rows(relational.transposed(relational.direction_classes(arcs))) == [(1, 0, 1, "UND"), (1, 1, 2, "OUT")]
 
 
+def test_all_graphs_of_an_order(spark):
+    # fixed values: graphs of orders 1 to 7, and those of order 7 that each command finds OK
+    for n, count in enumerate((1, 2, 4, 11, 34), 1):
+        assert collections.all_graphs(spark, n).count() == count
+    seven = collections.all_graphs(spark, 7)
+    got = {r.cmd: (r.num_graphs, r.num_ok) for r in collections.statistics(embedding.decide_rows(seven, "pdo234"), ["cmd"]).collect()}
+    assert got == {"p": (1044, 822), "d": (1044, 822), "o": (1044, 277), "2": (1044, 302), "3": (1044, 851), "4": (1044, 360)}
+
+
+def test_canonical_forms():
+    import itertools
+    import random
+
+    r = random.Random(1)
+    for i in range(40):
+        n = r.randrange(2, 8)
+        edges = K.random_graph(n, r.randrange(n - 1, n * (n - 1) // 2 + 1), i)
+        names = list(range(n))
+        r.shuffle(names)
+        assert K.canonical(n, edges) == K.canonical(n, K.simple((names[u], names[v]) for u, v in edges))
+        moved = [K.simple((p[u], p[v]) for u, v in edges) for p in itertools.islice(itertools.permutations(range(n)), 5040)]
+        assert K.canonical(n, edges) in moved
+
+
+def test_classes_blocks_and_lookups(spark):
+    lines = spark.createDataFrame([(1, graph6.format_g6(6, [(0, 1), (1, 2), (0, 2), (2, 3), (4, 5)]))], "graph_id long, g6 string")
+    assert sorted((r.u, r.v, r["class"]) for r in embedding.edge_classes(lines).collect()) == [(0, 1, "tree"), (0, 2, "back"), (1, 2, "tree"), (2, 3, "tree"), (4, 5, "tree")]
+    assert sorted((r.vertices, r.edges) for r in embedding.blocks(lines).collect()) == [([0, 1, 2], 3), ([2, 3], 1), ([4, 5], 1)]
+    classes = spark.createDataFrame([(1, 0, 1, "UND"), (1, 2, 1, "OUT")], "graph_id long, u int, v int, dir string")
+    pairs = spark.createDataFrame([(1, 1, 0), (1, 1, 2), (1, 2, 1), (1, 0, 2)], "graph_id long, u int, v int")
+    found = lambda df, c: {(r.u, r.v): r[c] for r in df.collect()}
+    assert found(relational.find_edges(pairs, classes), "eid") == {(1, 0): 0, (1, 2): 1, (2, 1): 1, (0, 2): None}
+    assert found(relational.are_neighbours_directed(pairs, classes), "is_neighbor") == {(1, 0): True, (1, 2): False, (2, 1): True, (0, 2): False}
+    graphs = spark.createDataFrame([(1, 3), (2, 2)], "graph_id long, n int")
+    both = classes.unionByName(spark.createDataFrame([(2, 0, 1, "UND")], classes.schema))
+    assert {r.graph_id: r.text for r in texts.matrix_texts(graphs, both).collect()} == {1: None, 2: "2\n 1\n  \n"}
+    assert {r.graph_id: r.g6 for r in graph6.encode(graphs, both).collect()} == {1: None, 2: "A_"}
+    a = spark.createDataFrame([(1, 0, 1), (2, 0, 1), (3, 0, 1)], "graph_id long, u int, v int")
+    b = spark.createDataFrame([(1, 0, 1), (2, 0, 2), (2, 0, 1)], "graph_id long, u int, v int")
+    assert {r.graph_id: r.equal for r in relational.equal_graphs(a, b).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    lines = [graph6.format_g6(6, K.random_graph(6, 5 + i % 9, i)) for i in range(500)]
+    (tmp_path / "a.g6").write_text(">>graph6<<" + "\n".join(lines) + "\n")
+    (tmp_path / "b.g6").write_bytes(b"A_\r\n\r\nA?\r\n")
+    from rotagraph.session import settings
+
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1"}):
+        got = graph6.read_g6(spark, str(tmp_path / "*.g6"))
+        assert got.rdd.getNumPartitions() > 1
+        rows = {(r.src.rsplit("/", 1)[1], r.line_no): r.g6 for r in got.collect()}
+    assert rows == {("a.g6", k): x for k, x in enumerate(lines, 1)} | {("b.g6", 1): "A_", ("b.g6", 3): "A?"}
+
+
+def test_drawings_are_read_with_their_graphs(spark, tmp_path):
+    (tmp_path / "g.txt").write_text("N=2\n0: 1 -1\n1: 0 -1\n<DrawPlanar>\n0: 0 0 0\n1: 1 0 0\n4: 0 0 1\n5: 0 0 1\n</DrawPlanar>\n")
+    r = texts.read_drawings(spark, str(tmp_path / "g.txt")).first()
+    assert r.n == 2 and [(p.key, p.pos, p.start, p.end) for p in r.places] == [(0, 0, 0, 0), (1, 1, 0, 0), (4, 0, 0, 1), (5, 0, 0, 1)]
+
+
 def test_components_and_large_graphs(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1002), (7, 7)]
     got = {r.node: r.root for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -211,9 +272,24 @@ def test_entry_without_the_optional_parts(spark):
 
 
 def test_forgetting_shared_tables(spark):
-    from rotagraph.session import forget, shared_dir, written
+    from rotagraph.session import forget, own_dir, written
 
     kept = written(spark.range(3), "gone")
     assert kept.count() == 3 and forget(spark)
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/rotagraph")
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_failed_tables_and_settings(spark):
+    from rotagraph.session import own_dir, settings, written
+
+    with pytest.raises(Exception, match="no luck"):
+        written(spark.range(3).select(F.raise_error(F.lit("no luck")).alias("x")), "failing")
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert not store.exists(path) or not any("failing" in str(x.getPath()) for x in store.listStatus(path))
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    with settings(spark, {key: "7"}):
+        assert spark.conf.get(key) == "7"
+    assert spark.conf.get(key) == before
