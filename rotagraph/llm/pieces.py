@@ -51,6 +51,7 @@ class PieceModel:
         shown = {kinds.CONTROL: "", kinds.UNKNOWN: " \u2047 "}
         #: The bytes that each id stands for.
         self.bytes_of = [bytes([self.byte_of[i]]) if i in self.byte_of else shown.get(p.type, p.piece).replace(MARK, " ").encode() for i, p in enumerate(proto.pieces)]
+        self.table = pa.array(self.bytes_of, pa.binary())
         self.automaton = ahocorasick.Automaton()
         self.cuttable = True
         for i, p in enumerate(proto.pieces):
@@ -119,13 +120,31 @@ class PieceModel:
         head = np.array(self.viterbi(first), np.int32).tobytes()
         return np.frombuffer(head + b"".join([known[w] if w in known else new[w] for w in words]), np.int32)
 
-    def decode(self, ids: list[int]) -> str | None:
+    def decode(self, ids) -> str | None:
         """The text of ids: marks become spaces, byte pieces join, the prefix space goes. What
         is not UTF-8 then becomes U+FFFD. None if an id is not of the model."""
-        if ids and not 0 <= min(ids) <= max(ids) < len(self.bytes_of):
-            return None
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
-        return (raw[1:] if self.dummy_prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
+        return self.decode_lists(pa.array([list(map(int, ids))], pa.list_(pa.int32())))[0]
+
+    def decode_lists(self, lists: pa.Array) -> list[str | None]:
+        """The texts of many lists of ids at once; of a null list, and of one with a null, None."""
+        import pyarrow.compute as pc
+
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(counts)
+        ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+        strange = (ids < 0) | (ids >= len(self.bytes_of))
+        until = np.concatenate(([0], np.cumsum(strange)))
+        taken = self.table.take(pa.array(np.where(strange, 0, ids)))
+        at = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1).tolist()
+        raw = memoryview(taken.buffers()[2] or b"")
+        out: list[str | None] = []
+        for n, end, known in zip(counts.tolist(), ends.tolist(), lists.is_valid().to_pylist(), strict=True):
+            if not known or until[end] > until[end - n]:
+                out.append(None)
+                continue
+            lo, hi = at[end - n], at[end]
+            out.append(str(raw[lo + (self.dummy_prefix and hi > lo and raw[lo] == 32) : hi], "utf-8", "replace"))
+        return out
 
 
 _models: dict[str, PieceModel] = {}
@@ -180,7 +199,6 @@ def decode_pieces(rows: DataFrame, model: str, ids: str = "ids", into: str = "te
     spaces there. A column of ``rows`` of that name is replaced."""
 
     def run(lists: pa.Array):
-        m = model_of(model)
-        return (pa.array([None if x is None or None in x else m.decode(x) for x in lists.to_pylist()], pa.string()),)
+        return (pa.array(model_of(model).decode_lists(lists), pa.string()),)
 
     return _mapped(rows, ids, [c for c in rows.columns if c != into], f"`{into}` string", run)
