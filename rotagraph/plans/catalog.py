@@ -255,7 +255,7 @@ def queries() -> dict:
         "relabel_vertices": lambda s, d: relational.relabelled(five(s, d), graphs(five(s, d)).select(ID, F.explode(F.expr("sequence(0, 4)")).alias("v")).withColumn("number", 4 - F.col("v"))),
         "keep_marked_edges": lambda s, d: relational.only_edges(five(s, d), five(s, d).where("u = 0")),
         "edge_classes": lambda s, d: embedding.edge_classes(derive.event_lines(s, d, "5day")),
-        "blocks": lambda s, d: embedding.blocks(derive.event_lines(s, d, "5day")),
+        "blocks": lambda s, d: embedding.blocks(derive.event_lines(s, d, "5day")).withColumn("vertices", F.array_join("vertices", " ")),
         "matrix_roundtrip": lambda s, d: _parsed(texts.matrix_texts(graphs(five(s, d)), five(s, d))),
         "matrix_of_digraphs": lambda s, d: texts.matrix_texts(graphs(five(s, d)), classes(s, d)).select(ID, F.col("text").isNull().alias("refused")),
         "leda_read": lambda s, d: _parsed(_leda_texts(s, d)),
@@ -281,6 +281,20 @@ _DEPTH_FIRST_SQL = f"""WITH RECURSIVE {_arcs_sql('5day')}, {_SEARCH},
    FROM found f LEFT JOIN ends e ON e.graph_id = f.graph_id AND e.src = f.v LEFT JOIN found w ON w.graph_id = f.graph_id AND w.v = e.dst GROUP BY 1, 2, 3, 4),
  up(graph_id, v, a) AS (SELECT graph_id, v, v FROM found UNION SELECT u.graph_id, u.v, f.parent FROM up u JOIN found f ON f.graph_id = u.graph_id AND f.v = u.a WHERE f.parent IS NOT NULL)
 SELECT l.graph_id, l.v, l.parent, l.number, l.own AS least_ancestor, (SELECT min(d.own) FROM up JOIN least d ON d.graph_id = up.graph_id AND d.v = up.v WHERE up.graph_id = l.graph_id AND up.a = l.v) AS lowpoint FROM least l"""
+#: Edges share a block iff no vertex, taken away, leaves them in different components; of
+#: the four vertices left, three rounds of least neighbours tell the components.
+_BLOCKS_SQL = f"""WITH {_arcs_sql('5day')},
+ here AS (SELECT unnest(range(5)) AS x),
+ close AS (SELECT graph_id, src, dst FROM ends UNION ALL SELECT g.graph_id, h.x, h.x FROM graphs g CROSS JOIN here h),
+ rest AS (SELECT h.x, c.graph_id, c.src, c.dst FROM close c JOIN here h ON c.src <> h.x AND c.dst <> h.x),
+ one AS (SELECT graph_id, x, src, min(dst) AS least FROM rest GROUP BY 1, 2, 3),
+ two AS (SELECT r.graph_id, r.x, r.src, min(o.least) AS least FROM rest r JOIN one o ON o.graph_id = r.graph_id AND o.x = r.x AND o.src = r.dst GROUP BY 1, 2, 3),
+ three AS (SELECT r.graph_id, r.x, r.src, min(o.least) AS least FROM rest r JOIN two o ON o.graph_id = r.graph_id AND o.x = r.x AND o.src = r.dst GROUP BY 1, 2, 3),
+ sides AS (SELECT e.graph_id, e.u, e.v, string_agg(t.least::VARCHAR, ' ' ORDER BY t.x) AS block FROM edges e JOIN three t ON t.graph_id = e.graph_id AND t.src = CASE WHEN t.x = e.u THEN e.v ELSE e.u END GROUP BY 1, 2, 3),
+ members AS (SELECT graph_id, block, u AS v FROM sides UNION SELECT graph_id, block, v FROM sides)
+SELECT graph_id, vertices, edges FROM (SELECT graph_id, block, string_agg(v::VARCHAR, ' ' ORDER BY v) AS vertices FROM members GROUP BY 1, 2)
+ JOIN (SELECT graph_id, block, CAST(count(*) AS INTEGER) AS edges FROM sides GROUP BY 1, 2) USING (graph_id, block)"""
+
 _EDGE_CLASSES_SQL = f"""WITH RECURSIVE {_arcs_sql('5day')}, {_SEARCH}
 SELECT e.graph_id, CAST(CASE WHEN a.number < b.number THEN e.u ELSE e.v END AS INTEGER) AS u, CAST(CASE WHEN a.number < b.number THEN e.v ELSE e.u END AS INTEGER) AS v,
  CASE WHEN (a.number < b.number AND b.parent = a.v) OR (a.number > b.number AND a.parent = b.v) THEN 'tree' ELSE 'back' END AS class
@@ -354,6 +368,7 @@ def oracle_sql() -> dict[str, str]:
         "drawings_checked": f"WITH {_arcs_sql('5day')}, {_LINES} SELECT count(DISTINCT g6) AS drawn, CAST(0 AS BIGINT) AS conflicts FROM lines WHERE m < 10",
         "depth_first_search": _DEPTH_FIRST_SQL,
         "edge_classes": _EDGE_CLASSES_SQL,
+        "blocks": _BLOCKS_SQL,
         "graphml_text": f"""{classes}, body AS (SELECT graph_id, string_agg('  <edge source="n' || u || '" target="n' || v || '"' || CASE WHEN dir = 'OUT' THEN ' directed="true"' ELSE '' END || '/>' || chr(10), '' ORDER BY u, v) AS e FROM c GROUP BY 1)
 SELECT graph_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' || chr(10) || ' <graph id="G" edgedefault="undirected">' || chr(10)
  || (SELECT string_agg('  <node id="n' || x || '"/>' || chr(10), '' ORDER BY x) FROM (SELECT unnest(range(5)) AS x)) || e || ' </graph>' || chr(10) || '</graphml>' || chr(10) AS text FROM body""",
