@@ -14,7 +14,9 @@ what a lost task left behind is never read.
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections.abc import Iterable
 from operator import attrgetter
 
 import numpy as np
@@ -36,6 +38,8 @@ MANIFEST = "shard int, ids_uri string, index_uri string, n_docs long, n_ids long
 
 
 CLOSING = ".,;:!?"
+#: A space that no visible character follows.
+APART = re.compile(r" (?:\s|\Z)")
 ID = attrgetter("id")
 
 
@@ -90,7 +94,7 @@ class SegmentEncoder:
         finally:
             self.tokenizer.encode_special_tokens = True
 
-    def _learn(self, segments: list[str]) -> None:
+    def _learn(self, segments: Iterable[str]) -> None:
         """New segments. Letters are one pre-token, which the library's model takes as it
         is, and closing punctuation after them is another; the rest is encoded in runs."""
         young, closing, tokenize = self.young, self.closing, self.tokenizer.model.tokenize
@@ -153,32 +157,30 @@ class SegmentEncoder:
             known.clear()
         if len(young) > YOUNG:
             young.clear()
-        parts, gaps, new = [], [], set()
+        parts, gaps = [], []
         held = [k for k, text in enumerate(texts) if any(a in text for a in self.added)]
         apart = dict(zip(held, self._special_ids([texts[k] for k in held]), strict=True))
+        # a segment that is empty or starts with white space depends on what stands before it
+        whole = [k for k, text in enumerate(texts) if k not in apart and (text[:1].isspace() or APART.search(text))]
+        plain = apart | dict(zip(whole, self._ids([texts[k] for k in whole]), strict=True))
         for k, text in enumerate(texts):
-            if k in apart:
+            if k in plain:
                 parts.append(None)
                 continue
             first, *segments = text.split(" ")
             got = list(map(known.get, segments))
-            missing = [i for i, x in enumerate(got) if x is None] if None in got else []
             parts.append((first, got))
-            for i in missing:
-                s = segments[i]
-                if s in young:
-                    got[i] = known[s] = young.pop(s)
-                else:
-                    gaps.append((got, i, s))
-                    new.add(s)
-            if text[:1].isspace() or any(not s or s[0].isspace() for s in new.intersection([segments[i] for i in missing])):
-                parts[-1] = None
-        # no segment that starts with white space is ever learned, so such texts are seen above
-        self._learn([s for s in new if s and not s[0].isspace()])
+            if None in got:
+                for i, x in enumerate(got):
+                    if x is None:
+                        s = segments[i]
+                        if s in young:
+                            got[i] = known[s] = young.pop(s)
+                        else:
+                            gaps.append((got, i, s))
+        self._learn(dict.fromkeys(s for _, _, s in gaps))
         for got, i, s in gaps:
-            got[i] = young.get(s, b"")
-        whole = [k for k, p in enumerate(parts) if p is None and k not in apart]
-        plain = apart | dict(zip(whole, self._ids([texts[k] for k in whole]), strict=True))
+            got[i] = young[s]
         firsts = self.firsts
         if len(firsts) > YOUNG:
             firsts.clear()
