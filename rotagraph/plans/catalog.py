@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rotagraph.functions import kernels
-from rotagraph.operators import collections, components, embedding, relational, verify
+from rotagraph.operators import analysis, collections, components, embedding, relational, verify
 from rotagraph.plans import derive
 from rotagraph.session import table
 from rotagraph.sources import graph6, sections, texts
@@ -207,6 +207,30 @@ def _disagreements(spark: SparkSession, d: str) -> DataFrame:
     return collections.discrepancies(stats[0].unionByName(stats[1]))
 
 
+def _cross_checked(spark: SparkSession, d: str) -> DataFrame:
+    checked = analysis.cross_checked(derive.event_lines(spark, d, "5day"))
+    return checked.groupBy("cmd", "kind").agg(F.count("*").alias("graphs"), F.sum("deletions").alias("deletions"), F.count(F.when(F.col("invalid_ok"), 1)).alias("invalid_ok"))
+
+
+def _stats_invalid(spark: SparkSession, d: str) -> DataFrame:
+    lines = derive.event_lines(spark, d, "5day")
+    return analysis.with_invalid(embedding.decide(lines, list(analysis.OTHER_TEST)), analysis.cross_checked(lines))
+
+
+def _discrepancy_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that only one of the collections by day and by five days holds, where counts differ."""
+    sides = [derive.event_lines(spark, d, b).select("n", "m", "g6", F.lit(b).alias("src")) for b in ("day", "5day")]
+    return analysis.discrepancy_differences(sides[0].unionByName(sides[1]), _disagreements(spark, d))
+
+
+def _single_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """Which texts every command gives for the distinct five-day graphs, and how many edges
+    the embeddings have that are read back from them."""
+    given = analysis.outputs(embedding.decide(derive.event_lines(spark, d, "5day"), list("pdo234"), certificates=True))
+    read = texts.parse_texts(given.withColumn("text", F.when(F.col("verdict") == "OK", F.col("primary"))))
+    return read.groupBy("cmd", "verdict").agg(F.count("*").alias("graphs"), F.count("primary").alias("primaries"), F.count("secondary").alias("secondaries"), F.coalesce(F.sum(F.size("arcs")), F.lit(0)).alias("edges"))
+
+
 def queries() -> dict:
     arcs = lambda s, d: derive.event_arcs(s, d)
     edges = lambda s, d: derive.event_edges(s, d)
@@ -252,6 +276,11 @@ def queries() -> dict:
         "drawing_pictures": lambda s, d: embedding.rendered(embedding.decide(derive.event_lines(s, d, "5day"), "d", True)),
         "random_planar_verdicts": lambda s, d: collections.statistics(embedding.verdicts(_generated(s), "p"), ["cmd", "n", "m"]),
         "edge_deletion": edge_deletion,
+        "cross_checked_searches": _cross_checked,
+        "stats_with_invalid": _stats_invalid,
+        "discrepancy_differences": _discrepancy_differences,
+        "single_graph_outputs": _single_outputs,
+        "most_edges": lambda s, d: graphs(five(s, d)).select(ID, analysis.most_edges("n").alias("most_edges")),
         "edge_list_text": lambda s, d: sections.edge_list_texts(five(s, d)),
         "drawing_sections": lambda s, d: sections.drawing_sections(embedding.decide(derive.event_lines(s, d, "5day"), "d", True)),
         "face_texts": lambda s, d: sections.face_texts(embedding.decide(derive.event_lines(s, d, "5day"), "p", True)),
@@ -316,20 +345,9 @@ FROM edges e JOIN found a ON a.graph_id = e.graph_id AND a.v = e.u JOIN found b
 def edge_deletion(spark: SparkSession, d: str) -> DataFrame:
     """(cmd, deletions, invalid_ok): deletions of an edge from distinct graphs that a search
     decides OK, and graphs where one turns the verdict, which it must not."""
-    import pyarrow as pa
-
     lines = derive.event_lines(spark, d, "5day")
     fine = embedding.decide(lines, list("234")).where("verdict = 'OK'").select("g6", "cmd")
-
-    def shrink(batches):
-        for b in batches:
-            rows = []
-            for line, cmd in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n, edges = graph6.parse_g6(line)
-                rows += [(line, cmd, graph6.format_g6(n, edges[:k] + edges[k + 1 :])) for k in range(len(edges))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["whole", "cmd", "g6"])
-
-    smaller = fine.mapInArrow(shrink, "whole string, cmd string, g6 string")
+    smaller = analysis.edge_deleted(fine)
     found = smaller.join(embedding.decide(smaller, list("234")), ["g6", "cmd"])
     return found.groupBy("cmd").agg(F.count("*").alias("deletions"), F.count_distinct(F.when(F.col("verdict") != "OK", F.col("whole"))).alias("invalid_ok"))
 
@@ -337,6 +355,9 @@ def edge_deletion(spark: SparkSession, d: str) -> DataFrame:
 def oracle_sql() -> dict[str, str]:
     five = f"WITH {_arcs_sql('5day')}"
     classes = f"{five}, c AS (SELECT graph_id, CASE WHEN f = 0 THEN b ELSE a END AS u, CASE WHEN f = 0 THEN a ELSE b END AS v, CASE WHEN f = 1 AND k = 1 THEN 'UND' ELSE 'OUT' END AS dir FROM (SELECT graph_id, least(src, dst) AS a, greatest(src, dst) AS b, max(CASE WHEN src < dst THEN 1 ELSE 0 END) AS f, max(CASE WHEN src > dst THEN 1 ELSE 0 END) AS k FROM arcs WHERE src <> dst GROUP BY 1, 2, 3))"
+    whole = f"WITH {_arcs_sql('5day')}, {_LINES}, {_RULES}, whole AS (SELECT g6, min(graph_id) AS graph_id, min(m) AS m FROM lines GROUP BY g6)"
+    # what the other test finds in a graph without the homeomorph that a search looks for
+    kinds = {"2": "CASE WHEN graph_id IN (SELECT graph_id FROM k4) THEN 'K4' END", "3": "CASE WHEN m = 10 THEN 'K5' END", "4": "CASE WHEN graph_id IN (SELECT graph_id FROM k23) THEN 'K2,3' END"}
     degree = "deg AS (SELECT graph_id, src AS v, count(*) AS degree FROM ends GROUP BY 1, 2)"
     out = {
         "edges_user_events": f"WITH {_arcs_sql()} SELECT * FROM edges",
@@ -379,6 +400,21 @@ def oracle_sql() -> dict[str, str]:
         + " UNION ALL ".join(f"SELECT '{c}' AS cmd, CASE WHEN {x} THEN 'NONEMBEDDABLE' ELSE 'OK' END AS verdict FROM whole" for c, x in _OFFENDS.items())
         + ") SELECT cmd, verdict, count(*) AS checked, CAST(0 AS BIGINT) AS failed FROM v GROUP BY 1, 2",
         "drawings_checked": f"WITH {_arcs_sql('5day')}, {_LINES} SELECT count(DISTINCT g6) AS drawn, CAST(0 AS BIGINT) AS conflicts FROM lines WHERE m < 10",
+        "cross_checked_searches": f"{whole}, fine AS ("
+        + " UNION ALL ".join(f"SELECT '{c}' AS cmd, {k} AS kind, m FROM whole WHERE NOT ({_OFFENDS[c]})" for c, k in kinds.items())
+        + ") SELECT cmd, kind, count(*) AS graphs, CAST(coalesce(sum(m) FILTER (kind IS NOT NULL), 0) AS BIGINT) AS deletions, CAST(0 AS BIGINT) AS invalid_ok FROM fine GROUP BY 1, 2",
+        "stats_with_invalid": f"{whole}, v AS ("
+        + " UNION ALL ".join(f"SELECT '{c}' AS cmd, m, {x} AS bad FROM whole" for c, x in _OFFENDS.items() if c in '234')
+        + ") SELECT cmd, 5 AS n, m, count(*) AS num_graphs, count(*) FILTER (NOT bad) AS num_ok, count(*) FILTER (bad) AS num_nonembeddable, CAST(0 AS BIGINT) AS num_invalid_ok FROM v GROUP BY 1, 2, 3",
+        "single_graph_outputs": f"{whole}, v AS ("
+        + " UNION ALL ".join(f"SELECT '{c}' AS cmd, m, {x} AS bad FROM whole" for c, x in _OFFENDS.items())
+        + ") SELECT cmd, CASE WHEN bad THEN 'NONEMBEDDABLE' ELSE 'OK' END AS verdict, count(*) AS graphs, count(*) FILTER (bad = (cmd IN ('2', '3', '4'))) AS primaries, count(*) FILTER ((cmd IN ('p', 'o') AND bad) OR (cmd = 'd' AND NOT bad)) AS secondaries, CAST(coalesce(sum(m) FILTER (cmd IN ('p', 'd', 'o') AND NOT bad), 0) AS BIGINT) AS edges FROM v GROUP BY 1, 2",
+        "discrepancy_differences": f"""WITH a AS (SELECT m, g6, count(*) AS c FROM (WITH {_arcs_sql('day')}, {_LINES} SELECT m, g6 FROM lines) GROUP BY 1, 2),
+ b AS (SELECT m, g6, count(*) AS c FROM (WITH {_arcs_sql('5day')}, {_LINES} SELECT m, g6 FROM lines) GROUP BY 1, 2),
+ cells AS (SELECT m FROM (SELECT m, sum(c) AS k FROM a GROUP BY 1) x JOIN (SELECT m, sum(c) AS k FROM b GROUP BY 1) y USING (m) WHERE x.k <> y.k)
+SELECT 5 AS n, m, g6, 'day' AS present, '5day' AS absent FROM a SEMI JOIN cells USING (m) WHERE g6 NOT IN (SELECT g6 FROM b)
+UNION ALL SELECT 5, m, g6, '5day', 'day' FROM b SEMI JOIN cells USING (m) WHERE g6 NOT IN (SELECT g6 FROM a)""",
+        "most_edges": f"{five} SELECT graph_id, CAST(10 AS BIGINT) AS most_edges FROM graphs",
         "depth_first_search": _DEPTH_FIRST_SQL,
         "edge_classes": _EDGE_CLASSES_SQL,
         "blocks": _BLOCKS_SQL,

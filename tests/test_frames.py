@@ -214,6 +214,55 @@ def test_components_of_all_lines(spark, tmp_path):
     want = {r: list(root.values()).count(r) for r in root.values()}
     got = {r.root: r.vertices for r in catalog.queries()["components_all"](spark, str(tmp_path)).collect()}
     assert len(want) == 6 and got == want
+    months = {}
+    for part, supplier, day in rows:
+        months.setdefault((int(day[:4]) * 12 + int(day[5:7]) - 1, 2 * part), set()).add(2 * supplier + 1)
+    # within a month a part has two suppliers, which no other part has
+    got = {(r.month, r.root): r.vertices for r in catalog.queries()["components"](spark, str(tmp_path)).collect()}
+    assert got == {(month, min(part, *suppliers)): 1 + len(suppliers) for (month, part), suppliers in months.items()}
+
+
+def test_analyses(spark):
+    from rotagraph.operators import analysis
+    from rotagraph.sources.graph6 import format_g6
+
+    k5 = [(u, v) for v in range(5) for u in range(v)]
+    k23 = [(u, v) for u in (0, 1) for v in (2, 3, 4)]
+    lines = spark.createDataFrame([(format_g6(5, sorted(e)),) for e in (k5, k23, [(0, 1)])], "g6 string")
+    checked = {(r.g6, r.cmd): (r.kind, r.deletions, r.invalid_ok) for r in analysis.cross_checked(lines).collect()}
+    k5, k23, one = (r.g6 for r in lines.collect())
+    assert checked == {(k5, "3"): ("K5", 10, False), (k23, "3"): (None, 0, False), (k23, "4"): ("K2,3", 6, False), **{(one, c): (None, 0, False) for c in "234"}}
+    # an OK that the cross-check holds invalid is counted beside the others
+    decided = embedding.decide(lines, list("234"))
+    bad = spark.createDataFrame([(k5, "3", True), (k23, "3", False)], "g6 string, cmd string, invalid_ok boolean")
+    table = {(r.cmd, r.m): (r.num_graphs, r.num_ok, r.num_invalid_ok) for r in analysis.with_invalid(decided, bad).collect()}
+    assert table["3", 10] == (1, 1, 1) and table["3", 6] == (1, 1, 0) and table["2", 6] == (1, 0, 0)
+    texts = {(r.g6, r.cmd): (r.primary, r.secondary) for r in analysis.outputs(embedding.decide(lines, list("pdo234"), certificates=True)).collect()}
+    whole = "N=5\n" + "".join(f"{v}: {' '.join(str(w) for w in range(5) if w != v)} -1\n" for v in range(5))
+    assert texts[k5, "p"] == (None, whole) and texts[k5, "3"] == (None, None) and texts[k5, "d"] == (None, None)
+    two = "N=5\n0: 2 3 4 -1\n1: 2 3 4 -1\n2: 0 1 -1\n3: 0 1 -1\n4: 0 1 -1\n"
+    assert texts[k23, "2"] == (two, None) and texts[k23, "o"] == (None, two) and texts[one, "p"][0].startswith("N=5\n0: 1 -1\n1: 0 -1\n2: -1\n")
+    assert texts[one, "d"][1].count("\n") == 10
+    cells = spark.createDataFrame([(5, 6)], "n int, m int")
+    sides = spark.createDataFrame([("a", 5, 6, "x"), ("a", 5, 6, "x"), ("b", 5, 6, "y"), ("a", 5, 6, "z"), ("b", 5, 6, "z"), ("a", 5, 7, "w")], "src string, n int, m int, g6 string")
+    assert sorted(map(tuple, analysis.discrepancy_differences(sides, cells).collect())) == [(5, 6, "x", "a", "b"), (5, 6, "y", "b", "a")]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from rotagraph import __main__, __version__
+
+    lists = "N=5\n0: 2 3 4 -1\n1: 2 3 4 -1\n2: 0 1 -1\n3: 0 1 -1\n4: 0 1 -1\n"
+    path, out, out2 = (str(tmp_path / x) for x in ("in.txt", "out.txt", "out2.txt"))
+    open(path, "w").write(lists)
+    assert __main__.main(["version"]) == 0 and capsys.readouterr().out == __version__ + "\n"
+    assert __main__.main(["specific", "2", path, out, out2]) == 1 and capsys.readouterr().out == "NONEMBEDDABLE\n"
+    assert open(out).read() == lists and not os.path.exists(out2)
+    assert __main__.main(["specific", "-d", path, out, out2]) == 0 and capsys.readouterr().out == "OK\n"
+    assert open(out).read().startswith("N=5\n0: ") and open(out2).read().count("\n") == 10
+    assert __main__.main(["convert", "adjmatrix", path, out]) == 0 and open(out).read().startswith("5\n 0111\n")
+    assert __main__.main(["convert", "g6", path]) == 0 and capsys.readouterr().out == "D]o\n"
+    open(path, "w").write("N=2\n0: 0 -1\n1: -1\n")
+    assert __main__.main(["specific", "p", path]) == 2 and __main__.main(["nothing"]) == 1
 
 
 def test_collections(spark):
