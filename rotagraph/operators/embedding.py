@@ -50,7 +50,7 @@ def _decide(line: str, cmd: str, added: dict) -> dict:
         rings = kernels.outerplanar_rotation(n, edges) if cmd == "o" else kernels.planar_rotation(n, edges)
         out["rotation"] = [{"v": v, "nbrs": ring} for v, ring in enumerate(rings)]
     if cmd == "d":
-        vertices, lines = kernels.visibility(n, edges)
+        vertices, lines = kernels.visibility(n, edges, rings)
         out["vis_v"] = [dict(zip(("v", "pos", "start", "end"), x, strict=True)) for x in vertices]
         out["vis_e"] = [dict(zip(("u", "v", "pos", "start", "end"), x, strict=True)) for x in lines]
     return out
