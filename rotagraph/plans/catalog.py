@@ -231,6 +231,22 @@ def _single_outputs(spark: SparkSession, d: str) -> DataFrame:
     return read.groupBy("cmd", "verdict").agg(F.count("*").alias("graphs"), F.count("primary").alias("primaries"), F.count("secondary").alias("secondaries"), F.coalesce(F.sum(F.size("arcs")), F.lit(0)).alias("edges"))
 
 
+def _face_text_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """(g6, components, faces): headers and lines of the face texts."""
+    texts_ = sections.face_texts(embedding.decide(derive.event_lines(spark, d, "5day"), "p", True))
+    count = lambda what: F.regexp_count("text", F.lit(what)).cast("long")
+    return texts_.select("g6", count("Component_").alias("components"), count("\n  ").alias("faces"))
+
+
+def _drawing_text_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """(g6, section_lines, rows, columns, labels): of drawings as sections and as pictures."""
+    drawn = embedding.decide(derive.event_lines(spark, d, "5day"), "d", True)
+    lines = F.size(F.split("section", "\n")) - 1
+    parts = F.split("picture", "\n")
+    pictures = embedding.rendered(drawn).select("g6", (F.size(parts) - 1).alias("rows"), F.length(parts[0]).alias("columns"), F.regexp_count("picture", F.lit("\\d")).alias("labels"))
+    return sections.drawing_sections(drawn).select("g6", lines.alias("section_lines")).join(pictures, "g6")
+
+
 def queries() -> dict:
     arcs = lambda s, d: derive.event_arcs(s, d)
     edges = lambda s, d: derive.event_edges(s, d)
@@ -284,6 +300,8 @@ def queries() -> dict:
         "edge_list_text": lambda s, d: sections.edge_list_texts(five(s, d)),
         "drawing_sections": lambda s, d: sections.drawing_sections(embedding.decide(derive.event_lines(s, d, "5day"), "d", True)),
         "face_texts": lambda s, d: sections.face_texts(embedding.decide(derive.event_lines(s, d, "5day"), "p", True)),
+        "face_text_sizes": _face_text_sizes,
+        "drawing_text_sizes": _drawing_text_sizes,
         "certificates_checked": _certificates_checked,
         "drawings_checked": _drawings_checked,
         "is_neighbor_directed": lambda s, d: relational.are_neighbours_directed(pair(s, d, 3, 1), classes(s, d)),
@@ -414,6 +432,11 @@ def oracle_sql() -> dict[str, str]:
  cells AS (SELECT m FROM (SELECT m, sum(c) AS k FROM a GROUP BY 1) x JOIN (SELECT m, sum(c) AS k FROM b GROUP BY 1) y USING (m) WHERE x.k <> y.k)
 SELECT 5 AS n, m, g6, 'day' AS present, '5day' AS absent FROM a SEMI JOIN cells USING (m) WHERE g6 NOT IN (SELECT g6 FROM b)
 UNION ALL SELECT 5, m, g6, '5day', 'day' FROM b SEMI JOIN cells USING (m) WHERE g6 NOT IN (SELECT g6 FROM a)""",
+        "face_text_sizes": f"""WITH RECURSIVE {_arcs_sql('5day')}, {_LINES}, one AS (SELECT g6, min(graph_id) AS graph_id, min(m) AS m FROM lines WHERE m < 10 GROUP BY g6),
+ reach(graph_id, s, t) AS (SELECT DISTINCT e.graph_id, src, src FROM ends e SEMI JOIN one USING (graph_id) UNION SELECT r.graph_id, r.s, e.dst FROM reach r JOIN ends e ON e.graph_id = r.graph_id AND e.src = r.t),
+ parts AS (SELECT graph_id, count(*) AS used, count(DISTINCT least_t) AS c FROM (SELECT graph_id, s, min(t) AS least_t FROM reach GROUP BY 1, 2) GROUP BY 1)
+SELECT g6, c AS components, CAST(m - used + 2 * c AS BIGINT) AS faces FROM one JOIN parts USING (graph_id)""",
+        "drawing_text_sizes": f"WITH {_arcs_sql('5day')}, {_LINES} SELECT DISTINCT g6, CAST(5 + 2 * m + 2 AS INTEGER) AS section_lines, 10 AS rows, m AS columns, 5 AS labels FROM lines WHERE m < 10",
         "most_edges": f"{five} SELECT graph_id, CAST(10 AS BIGINT) AS most_edges FROM graphs",
         "depth_first_search": _DEPTH_FIRST_SQL,
         "edge_classes": _EDGE_CLASSES_SQL,
